@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import decontam, langid, lm, pii, quality
+from . import decontam, langid, lm, pii, quality, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_suffix_dedup": lambda s, d: suffixes.op3(table(s, d, "documents")),
         "op4_language_id": lambda s, d: langid.op4(table(s, d, "documents")),
         "op5_quality_rules": lambda s, d: quality.op5(table(s, d, "documents"), table(s, d, "labels")),
         "op7_decontamination": lambda s, d: decontam.op7(table(s, d, "documents"), table(s, d, "benchmark")),
