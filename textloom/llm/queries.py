@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import decontam, langid, lm, pii, quality, suffixes
+from . import decontam, jaccard, langid, lm, pii, quality, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op3_suffix_dedup": lambda s, d: suffixes.op3(table(s, d, "documents")),
         "op4_language_id": lambda s, d: langid.op4(table(s, d, "documents")),
         "op5_quality_rules": lambda s, d: quality.op5(table(s, d, "documents"), table(s, d, "labels")),
+        "op6_ngram_jaccard": lambda s, d: jaccard.op6(table(s, d, "documents")),
         "op7_decontamination": lambda s, d: decontam.op7(table(s, d, "documents"), table(s, d, "benchmark")),
         "op8_pii": lambda s, d: pii.op8(table(s, d, "documents")),
         "op9_lm_scoring": lambda s, d: lm.op9(table(s, d, "documents")),
