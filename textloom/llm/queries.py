@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import decontam, jaccard, langid, lm, pii, quality, suffixes
+from . import decontam, jaccard, langid, lm, packing, pii, quality, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op7_decontamination": lambda s, d: decontam.op7(table(s, d, "documents"), table(s, d, "benchmark")),
         "op8_pii": lambda s, d: pii.op8(table(s, d, "documents")),
         "op9_lm_scoring": lambda s, d: lm.op9(table(s, d, "documents")),
+        "op10_best_fit_packing": lambda s, d: packing.op10(table(s, d, "documents")),
     }
 
 
