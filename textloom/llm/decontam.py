@@ -194,5 +194,20 @@ def _one_block(docs: DataFrame, sent, carry: tuple[str, ...] = ("doc_id",)) -> D
     return arrow_map(docs.select(*(F.col(c).cast("long").alias(c) for c in carry), utf8().alias("text")), run, ddl)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no window of an item; one map a block of items, nothing is joined."""
+    columns = docs.columns
+    for items in item_blocks(benchmark, size):
+        sent = docs.sparkSession.sparkContext.broadcast(WindowIndex(items, size, corpus_frequency(docs, items, size)))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            for batch in batches:
+                keep = [not (t := text.as_py()) or not sent.value.hits(words(t.encode()))[0] for text in batch.column(columns.index("text"))]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op7(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return hits(docs, benchmark, 10)

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import decontam, jaccard, langid, lm, packing, pii, quality, suffixes
+from . import chat, decontam, jaccard, langid, lm, packing, pii, quality, secrets, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_chat_formatting": lambda s, d: chat.op1(table(s, d, "conversations")),
+        "op2_secret_scan": lambda s, d: secrets.op2(table(s, d, "documents")),
         "op3_suffix_dedup": lambda s, d: suffixes.op3(table(s, d, "documents")),
         "op4_language_id": lambda s, d: langid.op4(table(s, d, "documents")),
         "op5_quality_rules": lambda s, d: quality.op5(table(s, d, "documents"), table(s, d, "labels")),
