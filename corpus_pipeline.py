@@ -21,8 +21,8 @@ MIN_LANGUAGE_SCORE = 0.4
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no language the model is sure of, go."""
     model = langid.fit(docs, id_bucket("doc_id", 5) != 0)
-    found = langid.predict(docs, model, tuple(docs.columns))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    found = langid.predict(docs.select(F.struct("*").alias("whole"), "text"), model, ("whole",))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("whole.*")
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

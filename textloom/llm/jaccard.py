@@ -273,4 +273,5 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     kept = components(docs, k, percent).where("k = root").select("k").distinct()
     text = F.coalesce("text", F.lit(""))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_ID // 2)))
-    return docs.withColumn("_k", key).join(kept.withColumnRenamed("k", "_k"), "_k", "left_semi").dropDuplicates(["_k"]).drop("_k")
+    whole = docs.select(key.alias("k"), F.struct("*").alias("whole"))  # an extra column of any name does no harm
+    return whole.join(kept, "k", "left_semi").dropDuplicates(["k"]).select("whole.*")

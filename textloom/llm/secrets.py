@@ -225,9 +225,12 @@ def findings(docs: DataFrame, forest: list[Node], threshold: float = 0.5) -> Dat
 
 def redact(docs: DataFrame, forest: list[Node], threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``; other rows and columns are as before."""
-    d = scored(docs, forest)
-    joined = F.array_join(F.transform("_pieces", lambda p, i: F.concat(p, F.coalesce(F.when(F.get("_scores", i) >= threshold, mark).otherwise(F.get("_values", i)), F.lit("")))), "")
-    return d.withColumn("text", F.when(F.col("_values").isNull(), F.col("text")).otherwise(joined)).select(*docs.columns)
+    source = F.col("source") if "source" in docs.columns else F.lit("").alias("source")
+    d = scored(docs.select(F.struct("*").alias("whole"), "text", source), forest)
+    marked = lambda i: F.when(F.get("_scores", i) >= threshold, mark).otherwise(F.get("_values", i))
+    joined = F.array_join(F.transform("_pieces", lambda p, i: F.concat(p, F.coalesce(marked(i), F.lit("")))), "")
+    text = F.when(F.col("_values").isNull(), F.col("text")).otherwise(joined)
+    return d.select(*(text.alias(c) if c == "text" else F.col("whole")[c].alias(c) for c in docs.columns))
 
 
 def op2(docs: DataFrame) -> DataFrame:
