@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_bucket, stage, utf8
+from .common import arrow_map, id_bucket, most_frequent, stage, utf8
 
 #: Classes: 0 before the text (context only), 1 the end, then FREQUENT words, then TAIL classes.
 CLASSES, TAIL, COARSE = 256, 64, 32
@@ -192,7 +192,8 @@ def fit(docs: DataFrame, trainable: Column) -> tuple[LanguageModel, DataFrame]:
     tail = F.crc32(F.substring(F.col("token"), -2, 2)) % TAIL
     sums = counts.groupBy(F.when(F.length("token") > 0, tail).alias("tail")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     n, v = sum(r.n for r in sums), sum(r.v for r in sums)
-    top = [(bytes(r.token), r.c) for r in counts.where(F.length("token") > 0).orderBy(F.desc("c"), "token").limit(HEAD).collect()]
+    top = [(bytes(r.token), r.c) for r in most_frequent(counts.where(F.length("token") > 0), "c", HEAD).collect()]
+    top.sort(key=lambda x: (-x[1], x[0]))
     rest = np.ones(CLASSES)  # one unseen word
     for r in sums:
         if r.tail is not None:
