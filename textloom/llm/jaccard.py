@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, stage, utf8
+from .common import arrow_map, most_frequent, stage, utf8
 
 #: Shingles whose frequency is broadcast.
 RARITY = 1 << 17
@@ -92,8 +92,8 @@ def frequent_shingles(texts: DataFrame, k: int) -> np.ndarray:
             yield _often(parts)
 
     counts = arrow_map(texts.select("text"), run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "hash").limit(RARITY).toArrow()
-    return top.column("hash").to_numpy()[::-1].view(np.uint64)
+    top = most_frequent(stage(counts, "shingle-counts"), "n", RARITY).toArrow().sort_by([("n", "ascending"), ("hash", "descending")])
+    return top.column("hash").to_numpy().view(np.uint64)
 
 
 def _often(parts: list[np.ndarray]) -> dict:
