@@ -64,7 +64,7 @@ SYMBOLS = (
 MAP = f"language string, total_lines int, imports array<string>, detail_level string, symbols array<struct<{SYMBOLS.replace(' int', ':int').replace(' string', ':string').replace(' array', ':array').replace(' boolean', ':boolean')}>>"
 
 
-def _schema(ddl: str) -> pa.Schema:
+def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -76,9 +76,9 @@ def file_maps(docs: DataFrame, key: str = "doc_id", language_id: str = "language
     source = docs.select(key, F.col(language_id).alias("_l"), (F.col(name) if name else F.lit("")).alias("_n"), F.coalesce("text", F.lit("")).alias("_t"))
     ddl = f"{key} {source.schema[key].dataType.simpleString()}, {MAP}"
     names = [part.split()[0] for part in SYMBOLS.split(", ")]
+    schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _schema(ddl)
         for batch in batches:
             rows = []
             for k, lang, title, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
