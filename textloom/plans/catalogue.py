@@ -129,12 +129,14 @@ def anchor_verify(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def anchor_relocate(spark: SparkSession, folder: str) -> DataFrame:
-    return anchors.relocated(_moved_anchors(spark, folder), _keyed_lines(spark, folder), mark="mark")
+    """new_line is 0 where there is none."""
+    found = anchors.relocated(_moved_anchors(spark, folder), _keyed_lines(spark, folder), mark="mark")
+    return found.withColumn("new_line", F.coalesce("new_line", F.lit(0)))
 
 
 def anchor_parse(spark: SparkSession, folder: str) -> DataFrame:
-    refs = table(spark, folder, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(" : a"), (F.col("doc_id") % 10).cast("string"), F.lit("|"), F.left("text", F.lit(20))).alias("ref"))
-    return refs.select("doc_id", lines.parsed_anchor("ref").alias("a")).select("doc_id", "a.line", "a.hash", "a.content")
+    refs = table(spark, folder, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(" : a"), (F.col("doc_id") % 10).cast("string"), F.lit("|"), F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(20))).alias("ref"))
+    return refs.select("doc_id", lines.parsed_anchor("ref").alias("a")).select("doc_id", F.coalesce("a.line", F.lit(0)).alias("line"), "a.hash", "a.content")
 
 
 def similar_lines_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -177,19 +179,19 @@ def fence_headings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def heading_parent(spark: SparkSession, folder: str) -> DataFrame:
-    """For each heading the last one before it of lower level."""
+    """For each heading the last one before it of lower level, 0 where there is none."""
     w = Window.partitionBy("page_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     above = F.lit(None).cast("int")
     for k in range(1, 6):
         above = F.greatest(above, F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col("line_no")), True).over(w)))
-    return fence_headings(spark, folder).withColumn("parent_line", above)
+    return fence_headings(spark, folder).withColumn("parent_line", F.coalesce(above, F.lit(0)))
 
 
 def sections_forward_fill(spark: SparkSession, folder: str) -> DataFrame:
-    """For each line the last heading at or before it."""
+    """For each line the last heading at or before it, 0 where there is none."""
     w = Window.partitionBy("page_id").orderBy("line_no")
     head = F.when(F.col("text").rlike("^#{1,6} "), F.col("line_no"))
-    return _markdown_lines(spark, folder).select("page_id", "line_no", F.last(head, True).over(w).alias("section_line"))
+    return _markdown_lines(spark, folder).select("page_id", "line_no", F.coalesce(F.last(head, True).over(w), F.lit(0)).alias("section_line"))
 
 
 def lead_end_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -348,7 +350,7 @@ def markup_outline(spark: SparkSession, folder: str) -> DataFrame:
     """Symbols of the pages, read as Markdown."""
     text = _markdown_lines(spark, folder)
     docs = lines.rendered(text, "page_id", "text").select("page_id", "text", F.lit("markdown").alias("language_id"))
-    return outline.symbols(outline.file_maps(docs, "page_id"), "page_id").select("page_id", "sym_id", "parent_id", "depth", "start_line", "end_line")
+    return outline.symbols(outline.file_maps(docs, "page_id"), "page_id").select("page_id", "sym_id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"), "start_line", "end_line")
 
 
 def map_budget(spark: SparkSession, folder: str) -> DataFrame:
