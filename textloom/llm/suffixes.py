@@ -5,8 +5,8 @@ equal strings meet:
 
 1. Every window of SIZE bytes has an anchor, the least of its 32-byte grams by hash (leftmost on ties). Equal windows
    have equal anchors, so only anchors whose hash occurs twice can matter; the others drop out after one count.
-2. Neighbouring windows with one anchor make a piece. Equal pieces are collapsed to one with a count before anything is
-   compared, so a group of exact copies costs one piece.
+2. Neighbouring windows with one anchor make a piece. Equal pieces are collapsed in each task, and again where they
+   meet, so a group of exact copies costs one piece a task.
 3. The pieces of one anchor hash form a collection, aligned at the anchor. Its suffix order is built from the right:
    each round inserts one symbol a piece, read from the next column of a sequential external file, re-sorts the
    collection by it (stable, so the order of the suffixes behind it is kept: the step of the Burrows-Wheeler transform)
@@ -14,7 +14,7 @@ equal strings meet:
 4. Repeats go back to the documents as byte ranges, which are united and cut out.
 
 Scale: a count of (hash, n), pre-aggregated in each task; a bitmap of fixed size, broadcast, that keeps the pieces of
-unrepeated anchors at home (it only saves traffic, never decides); a shuffle of distinct pieces; and one of the texts
+unrepeated anchors at home (it only saves traffic, never decides); a shuffle of each task's distinct pieces; and one of the texts
 with their ranges. A collection of over ``LARGEST`` distinct pieces (a common passage with ever other surroundings) is
 split: its windows become collections of their own, keyed by their content, so no task holds an unbounded group.
 
@@ -44,6 +44,8 @@ BLOCK, POSITION = 1 << 19, (1 << 20) - 1
 BITS = 1 << 27
 #: Distinct pieces that one collection may have in memory.
 LARGEST = 100_000
+#: Distinct pieces that a task holds before it hands them on.
+AT_ONCE = 200_000
 #: Pieces whose collections are built together.
 TOGETHER = 20_000
 _TABLE = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64)
@@ -145,14 +147,19 @@ def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap.view(np.uint64)[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
-MEMBER = "hash long, pid binary, anchor int, piece binary, k long, th long, at long"
+MEMBER = "pid binary, k long, th long, at long, hash long, anchor int, piece binary, n long"
 
 
 def members(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """Every piece that may have a repeat: anchor hash, identity, place of the anchor in it, bytes, owner, place."""
+    """Every piece that may have a repeat, in two sorts of rows.
+
+    Places (pid, k, th, at): the piece's identity, owner and place. Pieces (pid, hash, anchor, piece, n): each piece once
+    a task, with its anchor's hash, the anchor's place in it, its bytes, and how often the task saw it.
+    """
     sent = texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        seen: dict[bytes, list] = {}
         for buf, ends, keys, offsets in blocks(_texts(batches)):
             first, last, at, hashes = anchor_runs(buf, ends)
             use = np.flatnonzero(in_bitmap(sent.value, hashes))
@@ -160,32 +167,51 @@ def members(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
             owner = np.searchsorted(ends, first, side="right")
             begins = ends - np.diff(ends, prepend=0)
             raw = buf.tobytes()
-            pieces = [raw[a : b + SIZE] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-            anchor = at - first
+            pids = []
+            for a, b, anchor, h in zip(first.tolist(), last.tolist(), (at - first).tolist(), signed.tolist(), strict=True):
+                piece = raw[a : b + SIZE]
+                pids.append(pid := xxhash.xxh3_128_digest(piece, anchor))
+                if known := seen.get(pid):
+                    known[3] += 1
+                else:
+                    seen[pid] = [h, anchor, piece, 1]
+            n = len(pids)
             yield {
-                "hash": signed, "anchor": anchor, "piece": pieces,
-                "pid": [xxhash.xxh3_128_digest(p, a) for p, a in zip(pieces, anchor.tolist(), strict=True)],
-                "k": [keys[i][0] for i in owner], "th": [keys[i][1] for i in owner], "at": first - begins[owner] + offsets[owner],
+                "pid": pids, "k": [keys[i][0] for i in owner], "th": [keys[i][1] for i in owner], "at": first - begins[owner] + offsets[owner],
+                "hash": [None] * n, "anchor": [None] * n, "piece": [None] * n, "n": [None] * n,
             }
+            if len(seen) > AT_ONCE:
+                yield _pieces(seen)
+                seen = {}
+        yield _pieces(seen)
 
     return arrow_map(texts.select("k", "th", "text"), run, MEMBER)
 
 
-def split_members(hot: DataFrame) -> DataFrame:
-    """Pieces of a collection that is too large: each window for itself, keyed by its content."""
+def _pieces(seen: dict[bytes, list]) -> dict:
+    h, anchor, piece, n = ([x[i] for x in seen.values()] for i in range(4))
+    none = [None] * len(seen)
+    return {"pid": list(seen), "k": none, "th": none, "at": none, "hash": h, "anchor": anchor, "piece": piece, "n": n}
+
+
+def window_repeats(pieces: DataFrame) -> DataFrame:
+    """pid, ranges for collections that are too large to be held: each window is a collection of its own.
+
+    The windows of equal content are counted with pre-aggregation, so nothing is gathered.
+    """
+    distinct = pieces.groupBy("hash", "pid", "anchor", "piece").agg(F.sum("n").alias("n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for row in batch.to_pylist():
-                piece = row["piece"]
-                windows = [piece[i : i + SIZE] for i in range(len(piece) - SIZE + 1)]
-                pids = [xxhash.xxh3_128_digest(w, 1 << 20) for w in windows]
-                yield {
-                    "hash": [int.from_bytes(p[:8], "big", signed=True) for p in pids], "pid": pids, "anchor": [0] * len(pids), "piece": windows,
-                    "k": [row["k"]] * len(pids), "th": [row["th"]] * len(pids), "at": range(row["at"], row["at"] + len(pids)),
-                }
+            for pid, piece, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                count = len(piece) - SIZE + 1
+                keys = [xxhash.xxh3_128_digest(piece[i : i + SIZE]) for i in range(count)]
+                yield {"key": keys, "pid": [pid] * count, "begin": range(count), "n": [n] * count}
 
-    return arrow_map(hot.select(*(c.split()[0] for c in MEMBER.split(", "))), run, MEMBER)
+    windows = arrow_map(distinct.select("pid", "piece", "n"), run, "key binary, pid binary, begin int, n long")
+    twice = windows.groupBy("key").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("key")
+    found = windows.join(twice, "key").groupBy("pid").agg(F.collect_list("begin").alias("begins"))
+    return found.select("pid", F.flatten(F.transform("begins", lambda b: F.array(b, b + SIZE))).alias("ranges"))
 
 
 def repeated_windows(group: np.ndarray, anchor: np.ndarray, pieces: list[bytes]) -> list[np.ndarray]:
@@ -261,7 +287,7 @@ def runs(mask: np.ndarray) -> list[int]:
 
 
 def repeats(pieces: DataFrame) -> DataFrame:
-    """pid and covered byte ranges of the distinct ``pieces`` (hash, pid, anchor, piece, n) that hold repeats."""
+    """pid and covered byte ranges of the ``pieces`` (hash, pid, anchor, piece, n) that hold repeats."""
 
     def build(rows: list[tuple]) -> dict:
         out = {"pid": [], "ranges": []}
@@ -286,6 +312,9 @@ def repeats(pieces: DataFrame) -> DataFrame:
         rows: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and row[1] == rows[-1][1]:  # the same piece from another task
+                    rows[-1] = (*rows[-1][:4], rows[-1][4] + row[4])
+                    continue
                 if len(rows) >= TOGETHER and row[0] != rows[-1][0]:
                     yield build(rows)
                     rows = []
@@ -293,7 +322,7 @@ def repeats(pieces: DataFrame) -> DataFrame:
         if rows:
             yield build(rows)
 
-    dealt = pieces.repartition("hash").sortWithinPartitions("hash")
+    dealt = pieces.repartition("hash").sortWithinPartitions("hash", "pid")
     return arrow_map(dealt.select("hash", "pid", "anchor", "piece", "n"), run, "pid binary, ranges array<int>")
 
 
@@ -313,13 +342,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     texts = docs.select(id_key().alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), utf8().alias("text"), F.col("doc_id").cast("long"))
     twice = anchor_counts(texts).where("n > 1").select("hash")
     found = stage(members(texts, bitmap_of(twice)), "pieces")
-    distinct = found.groupBy("hash", "pid", "anchor", "piece").agg(F.count("*").alias("n"))
-    counted = found.select("hash", "pid").distinct().groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > LARGEST).select("hash")
-    counted = stage(counted, "large-collections")
-    if not counted.isEmpty():
-        found = found.join(counted, "hash", "left_anti").unionByName(split_members(found.join(counted, "hash", "left_semi")))
-        distinct = found.groupBy("hash", "pid", "anchor", "piece").agg(F.count("*").alias("n"))
-    back = found.select("pid", "k", "th", "at").join(repeats(distinct), "pid")
+    pieces = found.where("piece is not null")
+    counts = pieces.groupBy("hash", "pid").agg(F.lit(1)).groupBy("hash").agg(F.count("*").alias("n"))
+    large = stage(counts.where(F.col("n") > LARGEST).select("hash"), "large-collections")
+    if large.isEmpty():
+        repeated = repeats(pieces)
+    else:
+        repeated = repeats(pieces.join(large, "hash", "left_anti")).unionByName(window_repeats(pieces.join(large, "hash", "left_semi")))
+    back = found.where("piece is null").select("pid", "k", "th", "at").join(repeated, "pid")
     spans = back.groupBy("k", "th").agg(F.collect_set(F.struct("at", "ranges")).alias("found"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
