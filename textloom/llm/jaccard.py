@@ -8,7 +8,8 @@ first ``n - ceil(t * n) + 1`` shingles of each (their prefixes).
    most frequent (a fixed bound) are broadcast and come last in the order, the others follow their hash. Any order is
    right; this one keeps common passages out of the prefixes.
 2. Sets with one prefix and one size are a group. Groups are what the prefix index holds and what pairs are made of,
-   filtered by size and by the overlap that the positions in the prefixes still allow. Groups are expanded to their
+   filtered by size, by the overlap that the positions in the prefixes still allow, and by how many prefix shingles
+   similar sets of their sizes must share. Groups are expanded to their
    members for verification, which intersects the whole sets.
 3. Near copies in thousands would give pairs in millions, so the pairs of a prefix shingle are first tried against its
    least set only ("star"), verified, and united into classes; that is done ``STARS`` times, each time with the least
@@ -39,41 +40,63 @@ from .common import arrow_map, most_frequent, stage, utf8
 #: Shingles whose frequency is broadcast.
 RARITY = 1 << 17
 #: A task keeps the shingles seen this often among COUNTED shingles.
-COUNTED, SEEN = 2_000_000, 4
+COUNTED, SEEN = 1_000_000, 3
 STARS = 2
 #: Stand-in ids of rows whose id is null start here.
 NO_ID = 1 << 62
 #: Ids that may be broadcast to fetch the sets of candidates; beyond it they are joined.
 FEW = 1 << 20
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
+_BYTE = np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64)
+_IN_WORD = np.array([b not in b" \t\n\x0b\x0c\r" for b in range(256)], np.int8)
 
 
 class Shingler:
-    """Hashed shingle sets of texts; word hashes are remembered."""
+    """Hashed shingle sets of texts.
+
+    A word's hash is a polynomial over a random table of byte values, modulo 2**64, mixed; the hashes of all words of a
+    text come from one running sum. Two words agree only if their polynomials do.
+    """
 
     def __init__(self, k: int) -> None:
-        self.k, self.known = k, {}
+        self.k = k
+        self._extend(1 << 14)
+
+    def _extend(self, size: int) -> None:
+        base, inverse = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
+        first = np.ones(1, np.uint64)
+        self.power, self.back = (np.cumprod(np.concatenate([first, np.full(size - 1, x, np.uint64)])) for x in (base, inverse))
+
+    def word_hashes(self, text: bytes) -> np.ndarray:
+        """Of the words between the six ASCII blanks, A-Z lower-cased."""
+        buf = np.frombuffer(text.lower(), np.uint8)  # lower() of bytes looks at ASCII only
+        if len(buf) > len(self.power):
+            self._extend(2 * len(buf))
+        edge = np.zeros(len(buf) + 2, np.int8)
+        edge[1:-1] = _IN_WORD[buf]
+        turns = np.flatnonzero(edge[1:] != edge[:-1])
+        starts, ends = turns[::2], turns[1::2]
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(_BYTE[buf] * self.power[: len(buf)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64)
+        h ^= h >> np.uint64(32)
+        h *= _MUL[0]
+        return h ^ (h >> np.uint64(29))
 
     def __call__(self, text: bytes) -> np.ndarray:
         """The sorted distinct shingle hashes."""
-        words = text.lower().split()  # of bytes: A-Z and the six ASCII blanks only
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        h = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words):
-            x = known.get(w)
-            if x is None:
-                x = known[w] = xxhash.xxh3_64_intdigest(w)
-            h[i] = x
-        span = min(self.k, len(words))
-        out = np.full(len(words) - span + 1, span, np.uint64)
+        h = self.word_hashes(text)
+        if not len(h):
+            return h
+        span = min(self.k, len(h))
+        out = np.full(len(h) - span + 1, span, np.uint64)
         for i in range(span):
             out = (out ^ h[i : len(h) - span + 1 + i]) * _MUL[i % 3]
             out ^= out >> np.uint64(31)
-        return np.unique(out)
+        out.sort()
+        fresh = np.ones(len(out), bool)
+        np.not_equal(out[1:], out[:-1], out=fresh[1:])
+        return out[fresh]
 
 
 def frequent_shingles(texts: DataFrame, k: int) -> np.ndarray:
@@ -216,8 +239,10 @@ def classes(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
         own = index.join(roots.withColumnRenamed("node", "gid"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
         ends = own.groupBy("shingle").agg(F.min(F.struct("root", "gid", "n", "pos")).alias("lo"), F.max(F.struct("root", "gid", "n", "pos")).alias("hi")).where("lo.root != hi.root")
         met = own.join(ends, "shingle").withColumn("to", F.when(F.col("root") == F.col("lo")["root"], F.col("hi")).otherwise(F.col("lo")))
-        met = met.where(_may_link(F.col("n"), F.col("pos"), F.col("to")["n"], F.col("to")["pos"], percent))
-        best = met.groupBy("gid", F.col("to")["gid"].alias("to")).agg(F.count("*").alias("c")).groupBy("gid").agg(F.max_by("to", F.struct("c", -F.col("to"))).alias("to"))
+        # a pair that shares but few of the prefix shingles it would have to is left for later
+        shared_by = met.groupBy("gid", "n", F.col("to")["gid"].alias("to"), F.col("to")["n"].alias("m")).agg(F.count("*").alias("c"))
+        shared_by = shared_by.where(_sizes_fit(F.col("n"), F.col("m"), percent) & (2 * F.col("c") >= _least_shared(F.col("n"), F.col("m"), percent)))
+        best = shared_by.groupBy("gid").agg(F.max_by("to", F.struct("c", -F.col("to"))).alias("to"))
         pairs = best.select(F.least("gid", "to").alias("a"), F.greatest("gid", "to").alias("b"))
         inside = several.where("gid != rid").select(F.col("gid").alias("a"), F.col("rid").alias("b"))
         pairs = stage(pairs.union(inside).distinct(), "pairs")
@@ -234,8 +259,11 @@ def classes(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     x, y = own.alias("x"), own.alias("y")
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.gid") < F.col("y.gid")))
     met = met.where(~((F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo"))))
-    met = met.where(_may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent))
-    met = met.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
+    met = met.where(_sizes_fit(F.col("x.n"), F.col("y.n"), percent))
+    met = met.groupBy(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(
+        F.count("*").alias("c"), F.max(_may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)).alias("may")
+    )
+    met = met.where(F.col("may") & (F.col("c") >= _least_shared(F.col("n"), F.col("m"), percent))).select("ga", "gb")
     mixed = spread.where("lo != hi").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     a = placed.select(F.col("gid").alias("ga"), F.col("rid").alias("a"), F.col("root").alias("root_a"))
     b = placed.select(F.col("gid").alias("gb"), F.col("rid").alias("b"), F.col("root").alias("root_b"))
@@ -247,10 +275,26 @@ def classes(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return contract(links.union(more))
 
 
-def _may_link(n_a, pos_a, n_b, pos_b, percent: int):  # noqa: ANN001, ANN202 (columns)
+def _least_overlap(n, m, percent: int):  # noqa: ANN001, ANN202 (columns)
+    return F.ceil(percent * (n + m) / (100 + percent))
+
+
+def _sizes_fit(n, m, percent: int):  # noqa: ANN001, ANN202
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def _may_link(n_a, pos_a, n_b, pos_b, percent: int):  # noqa: ANN001, ANN202
     """Whether sets of these sizes may be similar if these are the places of the first prefix shingle they share."""
-    most = 1 + F.least(n_a - pos_a - 1, n_b - pos_b - 1)
-    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (most * (100 + percent) >= percent * (n_a + n_b))
+    return 1 + F.least(n_a - pos_a - 1, n_b - pos_b - 1) >= _least_overlap(n_a, n_b, percent)
+
+
+def _least_shared(n, m, percent: int):  # noqa: ANN001, ANN202
+    """How many prefix shingles similar sets of these sizes share at least.
+
+    Take the set whose prefix ends first in the order. At most size - overlap of its shingles aren't in the other set, so
+    of its prefix at least length - size + overlap are; and they are in the other's prefix, which reaches further.
+    """
+    return F.greatest(F.lit(1), _least_overlap(n, m, percent) + 1 - F.ceil(percent * F.greatest(n, m) / 100))
 
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
