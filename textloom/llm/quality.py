@@ -70,13 +70,13 @@ def statistics(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFra
     lines = F.size("_lines")
     upper = F.length("text") - F.length(F.regexp_replace("text", r"\p{Lu}+", ""))
     n = F.greatest(F.col("n_words"), F.lit(1))
-    return d.select(
-        *carry, F.col("_n").cast("long").alias("n_words"), F.col("_chars").cast("long").alias("word_chars"),
-        F.col("_symbols").cast("long").alias("n_symbols"),
-        (lines - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+    counted = F.struct(
+        F.col("_n").cast("long").alias("n_words"), F.col("_chars").cast("long").alias("word_chars"), F.col("_symbols").cast("long").alias("n_symbols"),
+        (lines - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         lines.alias("_lines"), upper.alias("_upper"),
-    ).select(
+    )
+    # made as a generator's row: a later filter isn't pushed below it, which would copy these expressions over and over
+    return d.select(*carry, F.inline(F.array(counted))).select(
         *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("word_chars") / n).alias("mean_word"), (F.col("n_symbols") / n).alias("symbol_share"),
         (F.col("n_dup_lines") / F.greatest("_lines", F.lit(1))).alias("dup_share"),
