@@ -257,13 +257,19 @@ def classes(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     open_ = own.groupBy("shingle").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least != most").select("shingle")
     own = stage(own.join(open_, "shingle"), "open-index")
     x, y = own.alias("x"), own.alias("y")
-    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.gid") < F.col("y.gid")))
-    met = met.where(~((F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo"))))
-    met = met.where(_sizes_fit(F.col("x.n"), F.col("y.n"), percent))
-    met = met.groupBy(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(
-        F.count("*").alias("c"), F.max(_may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)).alias("may")
-    )
-    met = met.where(F.col("may") & (F.col("c") >= _least_shared(F.col("n"), F.col("m"), percent))).select("ga", "gb")
+    # the first shingle that two similar sets share has all the others behind it, which bounds its place in both prefixes
+    need = _least_shared(F.col("x.n"), F.col("y.n"), percent)
+    met = x.join(
+        y,
+        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.gid") < F.col("y.gid"))
+        & ~((F.col("x.lo") == F.col("x.hi")) & (F.col("y.lo") == F.col("y.hi")) & (F.col("x.lo") == F.col("y.lo")))
+        & _sizes_fit(F.col("x.n"), F.col("y.n"), percent) & _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
+        & (F.col("x.pos") <= _prefix(F.col("x.n"), percent) - need) & (F.col("y.pos") <= _prefix(F.col("y.n"), percent) - need),
+    )
+    met = met.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
+    la, lb = (lists.select(F.col("gid").alias(g), F.col("n").alias(f"n_{g}"), F.col("prefix").alias(f"p_{g}")) for g in ("ga", "gb"))
+    met = met.join(la, "ga").join(lb, "gb")
+    met = met.where(F.size(F.array_intersect("p_ga", "p_gb")) >= _least_shared(F.col("n_ga"), F.col("n_gb"), percent)).select("ga", "gb")
     mixed = spread.where("lo != hi").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     a = placed.select(F.col("gid").alias("ga"), F.col("rid").alias("a"), F.col("root").alias("root_a"))
     b = placed.select(F.col("gid").alias("gb"), F.col("rid").alias("b"), F.col("root").alias("root_b"))
@@ -279,6 +285,10 @@ def _least_overlap(n, m, percent: int):  # noqa: ANN001, ANN202 (columns)
     return F.ceil(percent * (n + m) / (100 + percent))
 
 
+def _prefix(n, percent: int):  # noqa: ANN001, ANN202
+    return n - F.ceil(percent * n / 100) + 1
+
+
 def _sizes_fit(n, m, percent: int):  # noqa: ANN001, ANN202
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
