@@ -17,6 +17,10 @@ LOCAL_SHARED = "/tmp/textloom-shared"
 #: Word separators of the contracts: space and \t to \r.
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Rows in an Arrow batch while a table is staged.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _staged: list[tuple[SparkSession, str]] = []
 
 
@@ -35,7 +39,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     if not _staged:
         atexit.register(drop_staged)
     _staged.append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
+    rows = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(BATCH_ROWS))  # whole texts in a batch of the default size could be large
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_ROWS, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 
