@@ -53,6 +53,15 @@ def test_json_lines_and_sessions():
     assert got[0][0] == "Schema: object {k}" and len(got) == 7 and got[-1][0] == "... 20 more lines"
 
 
+def test_long_texts_reach_their_scanner():
+    long = "x" * 20_000_001
+    log = '{"type":"session","cwd":"/w","timestamp":"2024-01-02T03:04:05Z"}\n{"type":"message","message":{"role":"user","content":"hi"}}\n{"type":"message","message":{"role":"assistant","content":"%s"}}'
+    assert names(log % long, "jsonl") == [("Pi Session: /w (2024-01-02 03:04 UTC)", "module", 1, 1), ("Stats: 1 user, 1 assistant", "property", 1, 3), ("[User] hi", "function", 2, 3)]
+    assert names(f"# A\n{long}\n# B", "markdown") == [("A", "class", 1, 2), ("B", "class", 3, 3)]
+    many = "".join(f"k{i}:\n  a: 1\n" for i in range(50_000))
+    assert len(names(many, "yaml")) == 100_000
+
+
 def test_exports_docs_and_imports():
     ts = outline.outline('import {x} from "./x"\n/** Does. */\nfunction f(a: string): void {}\nexport { f }', "typescript")
     assert (ts.imports, ts.symbols[0].doc, ts.symbols[0].exported, ts.symbols[0].signature) == (["./x"], "Does.", True, "(a: string): void")

@@ -29,8 +29,9 @@ SCANNERS: dict[str, Callable[[str, str], Outline | None]] = {
     "c-header": code.cpp, "cpp": code.cpp, "clojure": code.clojure, "sql": prose.sql, "json": data.json_outline, "jsonl": data.jsonl,
     "markdown": prose.markdown, "yaml": data.yaml, "toml": data.toml, "csv": data.csv,
 }
-#: Longest text that a scanner takes; longer ones get the keyword outline.
-MOST_CHARS = 20_000_000
+#: Longest text that a scanner of source code takes (its time grows faster than the text); longer ones get the keyword
+#: outline. Scanners of data and prose go over lines and take any length.
+MOST_CODE_CHARS = 20_000_000
 
 
 def extension(path: Column) -> Column:
@@ -48,7 +49,7 @@ def outline(text: str, language_id: str | None, name: str = "") -> Outline | Non
     """The language's scanner; where it finds no structure, the keyword outline; else none."""
     scan = SCANNERS.get(language_id or "")
     found = None
-    if scan and len(text) <= MOST_CHARS:
+    if scan and (len(text) <= MOST_CODE_CHARS or scan.__module__ != code.__name__):
         try:
             found = scan(text, name)
         except Exception:  # one odd document doesn't fail the job

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from datetime import UTC, datetime
 
 from .model import Outline, Symbol
@@ -172,8 +173,10 @@ def yaml(text: str, name: str = "") -> Outline | None:
     least = 0 if any(k[0] == 0 for k in keys) else min(k[0] for k in keys)
     roots = [k for k in keys if k[0] == least]
     symbols = []
+    nested = [k for k in keys if 0 < k[0] <= 4] if least == 0 else []
     for root, stop in zip(roots, [k[1] for k in roots[1:]] + [total + 1], strict=True):
-        inner = [k for k in keys if root[1] < k[1] < stop and 0 < k[0] <= 4][:SHOWN] if least == 0 else []
+        first = bisect_right(nested, root[1], key=lambda k: k[1])
+        inner = [k for k in nested[first : first + SHOWN] if k[1] < stop]
         children = [Symbol(k[2], "variable" if k[3] else "property", k[1], k[1]) for k in inner]
         symbols.append(Symbol(root[2], "property", root[1], stop - 1, children=children))
     return Outline("YAML", total, symbols)

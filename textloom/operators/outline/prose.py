@@ -55,7 +55,7 @@ def sql(text: str, name: str = "") -> Outline:
             if m := pattern.match(line):
                 names = [g for g in m.groups() if g]
                 title = " ON ".join(names) if prefix == "INDEX" else names[-1]
-                stop = next((j + (";" in x) for j, x in enumerate(lines[i:], i) if ";" in x or (j > i and _NEXT.match(x))), len(lines))
+                stop = next((j + (";" in x) for j, x in ((j, lines[j]) for j in range(i, len(lines))) if ";" in x or (j > i and _NEXT.match(x))), len(lines))
                 symbols.append(Symbol(f"{prefix} {title}", kind, i + 1, stop))
                 break
     for a, b in zip(symbols, symbols[1:], strict=False):
