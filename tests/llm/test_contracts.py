@@ -251,6 +251,24 @@ def test_op2(spark, odd_docs, no_docs):
     assert secrets.op2(no_docs).count() == 0 and secrets.op2(odd_docs).count() >= 0
 
 
+MISSED = (
+    ('password = "{}"', "CorrectHorseBatteryStaple"), ('api_key = "{}"', "abcdefghijklmnopqrstuvwx"), ('pwd: "{}"', "CorrectHorseBattery"), ("password={}", "CorrectHorseBatteryStaple"),
+    ("password={}", "abc12345"), ('password="{}"', "P@ssw0rd!2024#x"), ('{{"password": "{}", "a": 1}}', "P@ssw0rd!2024#x"), ("secret: {}, then", "hunter2xyz"), ("env: password={}", "abc12345"), ("https://x.org/?id=1234567&token={}", "q8Zr4TyLm2Kp9"),
+)
+
+
+def test_op2_values_behind_cues_and_assignments(spark):
+    texts = ["we keep " + form.format(value) + " here" for form, value in MISSED]
+    fine = ["Note: something happens", 'see class="container" and', "the secret garden was hidden", "std::vector of words", "x: 1, y: 2", "the author decided that", "auth" + "a" * 100_000, "x=" + "a,b" * 50_000]
+    docs = spark.createDataFrame(list(enumerate(texts + fine)), "doc_id long, text string")
+    forest = secrets.fit(spark)
+    got = {(r.doc_id, r.start, r.end) for r in secrets.findings(docs, forest).where("is_secret").collect()}
+    want = {(i, texts[i].index(v), texts[i].index(v) + len(v)) for i, (_, v) in enumerate(MISSED)}
+    assert want <= got and not {i for i, _, _ in got if len(texts) <= i < len(texts) + 6}
+    red = {r.doc_id: r.text for r in secrets.redact(docs, forest).collect()}
+    assert all(v not in red[i] for i, (_, v) in enumerate(MISSED))
+
+
 def test_op2_positions_over_many_candidates(spark):
     text = " ".join(f"id{i:03d}-value-{i:05d}x" for i in range(300))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")

@@ -1,7 +1,7 @@
 """Secret scans: candidate strings, and a random forest that removes false positives.
 
-Candidates are runs of token characters with at least two digits, key formats of fixed prefix, and quoted values behind
-an assignment. Each gets its length, character transitions, distinct characters, dictionary coverage, the path of its
+Candidates are runs of token characters with at least two digits, key formats of fixed prefix, and values of six or more
+characters other than blanks and quotes behind a cue or an assignment, in quotes or not. Each gets its length, character transitions, distinct characters, dictionary coverage, the path of its
 document, and the neighbouring words. The forest is trained on the driver from labelled findings (a bounded table; the
 default one is generated by rule) and emitted as conditional expressions.
 
@@ -24,15 +24,22 @@ from pyspark.sql import functions as F
 
 _TOKEN = r"[A-Za-z0-9+/_.~-]"
 _NO_DIGIT = r"[A-Za-z+/_.~-]"
-#: A candidate: a whole run with two digits, a key of known form, or a value assigned in quotes.
+_CUES = "passw(?:or)?d|passwd|pwd|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer|mot.?de.?passe|kennwort|contrase"
+_CUE = f"(?i)(?:{_CUES})"
+#: What may stand between a cue or an assignment and its value, up to the quote.
+_LEAD = rf"(?:[=:]>?\s{{0,3}}|(?i:{_CUES})[A-Za-z0-9_]{{0,12}}\s{{1,2}}(?:is\s{{1,2}})?)"
+#: Where a value may start: not at a cue's own name before its assignment, nor at what follows a scheme.
+_START = rf"(?![=:>\\]|//|(?i:bearer|basic)\s|[\w.-]{{0,20}}(?i:{_CUES})[\w.-]{{0,20}}\\?[\"'`]?\s{{0,3}}[=:])"
+_PART = r"[^\s\"'`&;,]+"
+#: A candidate: a value in quotes or bare, behind a cue or an assignment; a whole run with two digits; a key of known form.
 CANDIDATE = (
-    rf"(?<!{_TOKEN})(?={_NO_DIGIT}*+[0-9]{_NO_DIGIT}*+[0-9]){_TOKEN}{{10,}}={{0,2}}"
+    rf"(?<=[\"'`])(?<={_LEAD}\\?[\"'`])[^\s\"'`]{{5,}}[^\s\"'`\\](?=\\?[\"'`])"
+    rf"|(?<=[\s=:>\"'`])(?<={_LEAD}\\?[\"'`]?){_START}(?=[^\s\"'`]{{6}}){_PART}(?:[&;,](?![\w.-]{{1,40}}[=:]){_PART}){{0,30}}(?<![.:)\]}}>\\])"
+    rf"|(?<!{_TOKEN})(?={_NO_DIGIT}*+[0-9]{_NO_DIGIT}*+[0-9]){_TOKEN}{{10,}}={{0,2}}"
     r"|(?:AKIA|ASIA)[A-Z0-9]{16}"
-    rf"|(?<=[=:][\"' ]){_TOKEN}{{10,}}={{0,2}}"
 )
 #: What a text must have to be split at all.
-_MAYBE = r"[0-9][A-Za-z+/_.~-]*+[0-9]|AKIA|ASIA|[=:][\"' ][A-Za-z0-9+/_.~-]{10}"
-_CUE = r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api.?key|access.?key|private.?key|credential|auth|bearer|mot.?de.?passe|kennwort|contrase)"
+_MAYBE = rf"[0-9][A-Za-z+/_.~-]*+[0-9]|AKIA|ASIA|[=:]>?\s{{0,3}}\\?[\"'`]?[^\s\"'`]{{6}}|(?i:{_CUES})"
 _BENIGN = r"(?i)(?:commit|sha1|sha256|md5|checksum|digest|hash|uuid|guid|version|build|isbn|issue|ticket|invoice|order|serial|phone|tel|file|image|path)"
 #: Words that real secrets seldom hold (fixed values, in alphabetical order).
 DICTIONARY = (
@@ -47,6 +54,7 @@ DICTIONARY = (
 FEATURES = (
     "length", "digit_share", "upper_share", "transitions", "distinct_share", "hex", "digits_only", "known_prefix", "coverage",
     "slashes", "dots", "path_like", "path_is_sample", "cue_before", "assigned", "benign_before", "url_before", "at_after",
+    "quoted", "signs", "lower_only", "brackets",
 )
 
 
@@ -60,7 +68,7 @@ def _flag(c: Column) -> Column:
 
 def features(value: Column, before: Column, after: Column, path: Column) -> Column:
     """A struct of FEATURES, all double."""
-    classes = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[A-Z]", "b"), "[0-9]", "c"), "+/_.~=-", "ddddddd")
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[A-Z]", "b"), "[0-9]", "c"), "[^abc]", "d")
     runs = F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(classes, "a+", "a"), "b+", "b"), "c+", "c"), "d+", "d"))
     words = "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))
     got = {
@@ -77,11 +85,15 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
         "dots": _share(value, r"\."),
         "path_like": _flag(value.rlike(r"^[/.~]|/.*/|\.[a-z]{2,4}$")),
         "path_is_sample": _flag(path.rlike("(?i)(?:test|example|sample|fixture|mock)")),
-        "cue_before": _flag(before.rlike(_CUE + r"[A-Za-z_]*[\"']?\s{0,2}(?:is|:?=>?|:)?\s{0,2}[\"']?$")),
-        "assigned": _flag(before.rlike(r"[=:]\s?[\"']?$")),
+        "cue_before": _flag(before.rlike(_CUE + r"[A-Za-z0-9_]*\\?[\"'`]?\s{0,2}(?:is|:?=>?|:)?\s{0,3}\\?[\"'`]?$")),
+        "assigned": _flag(before.rlike(r"[=:]>?\s{0,3}\\?[\"'`]?$")),
         "benign_before": _flag(before.rlike(_BENIGN + r"[\s:=#\"']{0,3}$")),
         "url_before": _flag(before.rlike(r"(?:://|www\.)\S*$")),
         "at_after": _flag(after.rlike("^@")),
+        "quoted": _flag(before.rlike("[\"'`]$") & after.rlike(r"^\\?[\"'`]")),
+        "signs": _share(value, "[^A-Za-z0-9+/_.~=-]"),
+        "lower_only": _flag(value.rlike(r"^\p{Ll}+$")),
+        "brackets": _share(value, r"[()<>\[\]{}]"),
     }
     return F.struct(*(got[k].cast("double").alias(k) for k in FEATURES))
 
@@ -93,7 +105,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     d = d.withColumn("_values", F.when(F.size("_values") > 0, F.col("_values")))
     d = d.withColumn("_pieces", F.when(F.col("_values").isNotNull(), F.split("text", CANDIDATE, -1)))
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
-    made = F.transform("_values", lambda v, i: features(v, F.right(F.get("_pieces", i), F.lit(48)), F.left(F.get("_pieces", i + 1), F.lit(16)), path))
+    ahead = lambda i: F.concat(F.coalesce(F.get("_values", i - 1), F.lit("")), F.get("_pieces", i))
+    made = F.transform("_values", lambda v, i: features(v, F.right(ahead(i), F.lit(48)), F.left(F.get("_pieces", i + 1), F.lit(16)), path))
     return d.withColumn("_features", made)
 
 
@@ -164,12 +177,21 @@ def labelled_findings(n: int = 1200, seed: int = 9) -> list[tuple[str, str, bool
     word = lambda: rng.choice(DICTIONARY)
     key = lambda: rng.choice(("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "client_secret", "auth_token", "PASSWORD", "API_KEY", "Secret"))
     value = lambda: rng.choice((some(hexa, 16, 64), some(alnum, 14, 44), some(base64, 24, 60) + rng.choice(("", "=", "==")), some(alnum, 6, 9) + "-" + some(alnum, 6, 9) + num(2, 2)))
+    camel = lambda: "".join(w.capitalize() for w in prose().split()[: rng.randint(2, 4)])
+    odd = lambda: rng.choice((some(alnum, 2, 6), prose().split()[0].capitalize())) + rng.choice("!@#$%^*?") + some(alnum + "!@#$%^*?", 3, 10) + num(1, 4)
+    short = lambda: rng.choice((prose().split()[0] + num(2, 5), prose().split()[0] + num(1, 2) + some(string.ascii_lowercase, 2, 4), some(alnum, 4, 7) + num(1, 3), odd()))
+    words = lambda: rng.choice((camel() + camel(), some(string.ascii_lowercase, 16, 32), some(string.ascii_letters, 12, 32), odd()))
+    plain = lambda: rng.choice((word(), some(string.ascii_lowercase, 6, 12), prose().split()[0] + "ing", word() + some(string.ascii_lowercase, 2, 4)))
+    name = lambda: rng.choice(("name", "title", "note", "class", "href", "type", "lang", "from", "to", "key", "label", "x", "result", "Author", "Subject"))
     secret = (
-        lambda: f"{key()}={value()}", lambda: f'{key()} = "{value()}"', lambda: f"{key()}: {value()}", lambda: f"{key()}='{value()}'", lambda: f"{key()} {value()}",
+        lambda: f"{key()}={short()}", lambda: f'{key()}: "{short()}"', lambda: f"{key()} = '{words()}'", lambda: f'{key()} = "{words()}"', lambda: f"{key()}={camel() + camel()}", lambda: f'"{key()}": "{words()}"',
+        lambda: f"{key()} is {short()}", lambda: f"{key()}: {short()}" + rng.choice(("", ",", ".")), lambda: f"{key()}={value()}", lambda: f'{key()} = "{value()}"', lambda: f"{key()}: {value()}", lambda: f"{key()}='{value()}'", lambda: f"{key()} {value()}",
         lambda: rng.choice(("AKIA", "ASIA")) + some(upper, 16, 16), lambda: "ghp_" + some(alnum, 34, 38), lambda: "sk-" + some(alnum, 24, 48), lambda: "AIza" + some(alnum, 33, 35),
         lambda: "xoxb-" + num(10, 12) + "-" + some(alnum, 20, 28), lambda: "Authorization: Bearer " + value(), lambda: "eyJ" + some(alnum, 20, 30) + "." + some(alnum, 20, 60) + "." + some(alnum, 20, 40),
     )
     clean = (
+        lambda: f"{name()}: {plain()}", lambda: f'{name()}="{plain()}"', lambda: f'{name()} = "{plain()} {plain()}"', lambda: f"{key()} {plain()} {prose()}", lambda: f"{key()} is {plain()}", lambda: f"{key()}: {plain()}",
+        lambda: f"{name()} = {plain()}({plain()})", lambda: f"{plain()}: {plain().capitalize()}", lambda: f'{name()}="https://{plain()}.com/{plain()}"', lambda: f"{name()}={camel()}", lambda: f"{key()}={word()}({name()})", lambda: f"{name()}: {camel()}{num(1, 2)}",
         lambda: "commit " + some(hexa, 40, 40), lambda: "sha256: " + some(hexa, 64, 64), lambda: "md5 " + some(hexa, 32, 32), lambda: "-".join(some(hexa, k, k) for k in (8, 4, 4, 4, 12)),
         lambda: num(10, 19), lambda: ".".join(num(1, 3) for _ in range(4)), lambda: f"v{num(1, 2)}.{num(1, 2)}.{num(1, 3)}-{word()}.{num(1, 4)}",
         lambda: "/" + "/".join(word() + num(1, 2) for _ in range(rng.randint(2, 5))), lambda: f"20{num(2, 2)}-0{num(1, 1)}-1{num(1, 1)}T1{num(1, 1)}",
