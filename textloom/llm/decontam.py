@@ -10,8 +10,8 @@ Scale: the documents are only mapped over. The windows are broadcast in blocks o
 a size that is checked: one block (the usual case) needs no shuffle; more blocks are more passes over the documents,
 whose hits are brought together by document.
 
-Defined results: null or wordless texts have no words and no hits; items without words are left out; item rows that
-repeat count once; repeated documents each get their own row; extra columns are ignored.
+Defined results: null or wordless texts have no words and no hits; items without words are left out; an item
+with a null id counts for hits and contamination, not for n_items and items_sha256; item rows that repeat count once; repeated documents each get their own row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,12 +50,12 @@ def shingles(window: tuple[bytes, ...]) -> list[tuple[bytes, ...]]:
 class WindowIndex:
     """Windows by first word and shingle of their join prefix."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], size: int, frequency: dict[tuple[bytes, ...], int]) -> None:
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], size: int, frequency: dict[tuple[bytes, ...], int]) -> None:
         self.by_word: dict[bytes, dict[tuple[bytes, ...], list[tuple[int, tuple[bytes, ...], tuple[str, ...]]]]] = defaultdict(lambda: defaultdict(list))
         owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
         for item_id, item in items:
             for w in windows(item, size):
-                owners[w].add(item_id)
+                owners[w] |= set() if item_id is None else {item_id}
         for w, ids in owners.items():
             parts = shingles(w)
             at = min(range(len(parts)), key=lambda i: (frequency.get(parts[i], 0), parts[i], i))
@@ -92,10 +92,10 @@ def covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def item_blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def item_blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The items in blocks of bounded size, streamed to the driver one partition at a time."""
     block, n = [], 0
-    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    rows = benchmark.where(F.col("text").isNotNull())
     for row in rows.select(F.col("item_id").cast("string").alias("item_id"), utf8().alias("text")).distinct().toLocalIterator():
         item = words(bytes(row.text))
         if item:
