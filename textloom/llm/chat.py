@@ -9,7 +9,7 @@ Scale: everything is DataFrame expressions; the join's key holds the call id, so
 turns is dealt out like any other. No conversation is gathered in one task.
 
 Defined results: a call without a result has status ``no_result``, a result without a call ``orphan``; of results
-(calls) with one id the first by position counts; arguments that aren't JSON are invalid and serialised as a string;
+(calls) with one id the first by position counts, of those with one position the least by content; arguments that aren't JSON are invalid and serialised as a string;
 calls in or behind a cycle of dependencies have no level; rows with a null conversation or id can't be linked and
 keep their own row; null text is an empty argument or result; extra columns are ignored.
 """
@@ -92,10 +92,11 @@ def levels(calls: DataFrame) -> DataFrame:
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """conv_id, call_id, level, position, status, valid, errors and json of every call, and of every orphan result."""
-    first = lambda df, *cols: df.groupBy("conv_id", "call_id").agg(F.min_by(F.struct(*cols), "position").alias("x")).select("conv_id", "call_id", "x.*")
+    least = lambda *cols: F.min(F.struct(F.col(cols[-1]).isNull().alias("_none"), cols[-1], *cols[:-1]))
+    first = lambda df, *cols: df.groupBy("conv_id", "call_id").agg(least(*cols).alias("x")).select("conv_id", "call_id", "x.*").drop("_none")
     can = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
-    made = first(calls.where(can), "name", "arguments", "position", "after")
-    got = first(results.where(can), "content", F.col("position").alias("answered"))
+    made = first(calls.where(can), "name", "arguments", "after", "position")
+    got = first(results.where(can).withColumnRenamed("position", "answered"), "content", "answered")
     both = made.join(got.hint("shuffle_hash"), ["conv_id", "call_id"], "full").join(levels(made), ["conv_id", "call_id"], "left")
     alone = calls.where(~can).select(*CALLS).unionByName(results.where(~can).select("conv_id", "call_id", "content", F.col("position").alias("answered")), allowMissingColumns=True)
     both = both.unionByName(alone, allowMissingColumns=True)
