@@ -56,6 +56,23 @@ def test_op6_no_rows_and_one_of_each(no_docs, odd_docs):
     assert 5 in ids and not {6, 7, 19} & set(ids) and {0, 1, 2, 3, 8, 14} <= set(ids)
 
 
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+def test_op6_repeated_ids(spark, words, k, percent):
+    """Texts that share an id are documents of their own: none is lost, none links the others."""
+    a, b, c, d = (words(60, 30 + i, 10**6) for i in range(4))
+    near = " ".join([*c.split()[:-1], "other"])
+    rows = [(3, a), (6, a), (6, b), (9, b), (2**62 + 5, c), (7, near), (7, d), (7, d), (None, d), (None, None), (8, ""), (8, " "), (None, "")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int")
+    numbered = [(i if i is not None else 2**63 + n, t) for n, (i, t) in enumerate(rows)]
+    want = sorted(x for x in brute.op6(numbered, k, percent) if x[0] < 2**63)
+    got = sorted((r.doc_id, r.n_shingles, r.root) for r in jaccard.components(docs, k, percent).collect() if r.doc_id is not None)
+    assert got == want
+    assert {(3, 3), (6, 3), (6, 6), (9, 6)} <= {(i, root) for i, _, root in got}
+    kept = sorted((r.doc_id, r.text) for r in jaccard.one_of_each(docs, k, percent).where("text > ' '").collect())
+    assert kept == sorted([(3, a), (6, b), (7, near), (7, d)])
+    assert jaccard.one_of_each(docs, k, percent).where("coalesce(text, '') <= ' '").count() == 4
+
+
 def test_op6_chain_is_one_class(spark, words):
     base = words(400, 7, 10**6).split(" ")
     rows = []

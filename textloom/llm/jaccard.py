@@ -1,8 +1,9 @@
 """N-gram Jaccard join: which documents' shingle sets are similar, by a grouped prefix join, and their classes.
 
 Sets of word shingles (as 64-bit hashes) are equal only together, so documents with one set are one *set* from the
-start, known by the digest of its shingles. With sets ordered by rarity, two sets of similarity ``t`` share one of the
-first ``n - ceil(t * n) + 1`` shingles of each (their prefixes).
+start, known by the 128-bit digest of its shingles and numbered once; document ids play no part until the classes are
+found. With sets ordered by rarity, two sets of similarity ``t`` share one of the first ``n - ceil(t * n) + 1`` shingles
+of each (their prefixes).
 
 1. Rarity: frequent shingles are counted over all documents by lossy counting in each task and a sum; the ``RARITY``
    most frequent (a fixed bound) are broadcast and come last in the order, the others follow their hash. Any order is
@@ -21,8 +22,8 @@ round, joins on hot keys are split by adaptive execution, and classes are found
 staged tables. Nothing about single documents reaches the driver.
 
 Defined results: null, empty or blank text has the empty set, is linked with nothing and is its own class; a text with
-fewer words than a shingle is one shingle; equal rows are linked; a null id is never a class's id unless all are null;
-extra columns are ignored.
+fewer words than a shingle is one shingle; equal rows are linked; rows that share an id but not a text are documents of
+their own, linked only by their sets; a null id is never a class's id unless all are null; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,19 +33,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, most_frequent, stage, utf8
+from .common import SPACES, arrow_map, most_frequent, stage, utf8
 
 #: Shingles whose frequency is broadcast.
 RARITY = 1 << 17
 #: A task keeps the shingles seen this often among COUNTED shingles.
 COUNTED, SEEN = 1_000_000, 3
 STARS = 2
-#: Stand-in ids of rows whose id is null start here.
-NO_ID = 1 << 62
-#: Ids that may be broadcast to fetch the sets of candidates; beyond it they are joined.
+#: Candidates whose keys may be broadcast to fetch their texts; beyond it they are joined.
 FEW = 1 << 20
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _BYTE = np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64)
@@ -146,38 +145,50 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100 + 1
 
 
+def keys() -> list[Column]:
+    """What finds a row's text again: k (the id, 0 for null) and th (a hash of the text)."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, k (the id, or a stand-in made of the text) and the text's bytes."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_ID // 2))).alias("k"), utf8().alias("text"),
-    )
+    """doc_id, k, th and the text's bytes."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys(), utf8().alias("text"))
 
 
 def set_rows(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, k, n_shingles, digest, grp and prefix (null where the set is empty) of every row; staged."""
+    """doc_id, k, th, n_shingles, digest, grp and prefix (null where the set is empty) of every row; staged."""
     sent = texts.sparkSession.sparkContext.broadcast(Order(frequent_shingles(texts, k)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         shingles = Shingler(k)
         for batch in batches:
-            sets = [shingles(text.as_py()) for text in batch.column(2)]
+            sets = [shingles(text.as_py()) for text in batch.column(3)]
             prefix = [sent.value.prefix(s, prefix_length(len(s), percent)).view(np.int64) if len(s) else None for s in sets]
             yield {
-                "doc_id": batch.column(0), "k": batch.column(1), "n_shingles": [len(s) for s in sets], "prefix": prefix,
+                "doc_id": batch.column(0), "k": batch.column(1), "th": batch.column(2), "n_shingles": [len(s) for s in sets], "prefix": prefix,
                 "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                 "grp": [xxhash.xxh3_128_digest(p.tobytes(), len(s)) if len(s) else None for p, s in zip(prefix, sets, strict=True)],
             }
 
-    return stage(arrow_map(texts, run, "doc_id long, k long, n_shingles long, digest binary, grp binary, prefix array<long>"), "sets")
+    return stage(arrow_map(texts, run, "doc_id long, k long, th long, n_shingles long, digest binary, grp binary, prefix array<long>"), "sets")
+
+
+def distinct_sets(rows: DataFrame) -> DataFrame:
+    """rid (a number), digest, n_shingles, grp and rep of every set that isn't empty; staged, so the numbers stand.
+
+    rep: of the set's rows the one of least id, then text hash, and how many rows are equal to it.
+    """
+    alike = rows.where(F.col("digest").isNotNull()).groupBy("digest", "n_shingles", "grp", "doc_id", "k", "th").agg(F.count("*").alias("copies"))
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "th", "copies")).alias("rep")
+    sets = alike.groupBy("digest", "n_shingles", "grp").agg(rep)
+    return stage(sets.withColumn("rid", F.monotonically_increasing_id()), "distinct-sets")
 
 
 def contract(links: DataFrame) -> DataFrame:
     """node, root of the linked nodes (columns a, b): the least node of each class, by alternating star contractions."""
     edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    before = None
-    while True:
+    n = edges.count()
+    while n:
         # large star: greater neighbours go to the least of a node's neighbourhood
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -185,20 +196,23 @@ def contract(links: DataFrame) -> DataFrame:
         # small star: a node and its lesser neighbours go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        before, m = edges, n
         edges = stage(small.where("u != v").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == before or not now[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+        n = edges.count()
+        if n == m and edges.join(before, ["u", "v"], "left_anti").isEmpty():
+            break
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: both whole texts are brought to the pair and their sets intersected."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    if ids.count() <= FEW:
-        ids = F.broadcast(ids)
-    there = texts.select("k", "text").join(ids, "k", "left_semi")
-    brought = pairs.join(there.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a").join(there.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(sets, "rid").select("rid", "rep.k", "rep.th", "rep.copies")
+    n, copies = wanted.agg(F.count("*"), F.max("copies")).first()
+    wanted = wanted.drop("copies")
+    there = texts.join(F.broadcast(wanted) if n <= FEW else wanted, ["k", "th"]).select("rid", "text")
+    if (copies or 1) > 1:  # rows that repeat, ids included
+        there = there.dropDuplicates(["rid"])
+    brought = pairs.join(there.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a").join(there.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         shingles = Shingler(k)
@@ -219,15 +233,14 @@ def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return arrow_map(brought.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
-def classes(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """rid, root: for each set (by the least k of its rows) that is linked with another, the least set of its class."""
+def classes(rows: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, root: for each set that is linked with another, the least set of its class."""
     spark = rows.sparkSession
-    filled = rows.where(F.col("digest").isNotNull())
-    sets = stage(filled.groupBy("digest", "n_shingles", "grp").agg(F.min("k").alias("rid")), "distinct-sets")
     groups = sets.groupBy("grp").agg(F.min("rid").alias("gid"), F.max("n_shingles").alias("n"), F.count("*").alias("size"))
-    members = stage(sets.join(groups, "grp").select("gid", "rid", "n", "size"), "groups")
-    whole = members.where("gid = rid").select("gid", "n")
-    lists = filled.join(whole, filled["k"] == whole["gid"]).select("gid", "n", "prefix").dropDuplicates(["gid"])
+    members = stage(sets.join(groups, "grp").select("gid", "rid", "n", "size", "rep.k", "rep.th"), "groups")
+    whole = members.where("gid = rid").select("gid", "n", "k", "th")
+    members = members.drop("k", "th")
+    lists = rows.where(F.col("digest").isNotNull()).select("k", "th", "prefix").join(whole, ["k", "th"]).select("gid", "n", "prefix").dropDuplicates(["gid"])
     entries = lists.select("gid", "n", F.posexplode("prefix").alias("pos", "shingle"))
     shared = entries.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1").select("shingle")
     index = stage(entries.join(shared, "shingle"), "prefix-index")
@@ -246,7 +259,7 @@ def classes(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
         pairs = best.select(F.least("gid", "to").alias("a"), F.greatest("gid", "to").alias("b"))
         inside = several.where("gid != rid").select(F.col("gid").alias("a"), F.col("rid").alias("b"))
         pairs = stage(pairs.union(inside).distinct(), "pairs")
-        links = stage(links.union(linked(pairs, texts, k, percent)), "links")
+        links = stage(links.union(linked(pairs, sets, texts, k, percent)), "links")
         roots = contract(links)
         several = several.limit(0)
     # what is left: pairs of groups with a common prefix shingle whose members are not all in one class
@@ -275,7 +288,7 @@ def classes(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     b = placed.select(F.col("gid").alias("gb"), F.col("rid").alias("b"), F.col("root").alias("root_b"))
     pairs = met.union(mixed).join(a, "ga").join(b, "gb").where("root_a != root_b")
     pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    more = stage(linked(pairs, texts, k, percent), "links")
+    more = stage(linked(pairs, sets, texts, k, percent), "links")
     if more.isEmpty():
         return roots
     return contract(links.union(more))
@@ -307,25 +320,33 @@ def _least_shared(n, m, percent: int):  # noqa: ANN001, ANN202
     return F.greatest(F.lit(1), _least_overlap(n, m, percent) + 1 - F.ceil(percent * F.greatest(n, m) / 100))
 
 
-def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, k (the id or its stand-in), n_shingles, root (a k) of every row."""
+def classed(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows, and digest and best of every set that isn't empty; best: the class's row of least id (as in ``rep``)."""
     texts = keyed(docs)
     rows = set_rows(texts, k, percent)
-    found = classes(rows, texts, k, percent)
-    own = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("k").alias("rid"))
-    own = own.join(found.withColumnRenamed("node", "rid"), "rid", "left").select("digest", F.coalesce("root", "rid").alias("root"))
-    return rows.select("doc_id", "k", "n_shingles", "digest").join(own, "digest", "left").select("doc_id", "k", "n_shingles", F.coalesce("root", "k").alias("root"))
+    sets = distinct_sets(rows)
+    roots = classes(rows, sets, texts, k, percent)
+    own = sets.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("digest", "rep", F.coalesce("root", "rid").alias("root"))
+    best = stage(own.groupBy("root").agg(F.min("rep").alias("best")), "best")
+    return rows, stage(own.select("digest", "root").join(best, "root").select("digest", "best"), "classes")
+
+
+def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and root (the least id of the class) of every row."""
+    rows, found = classed(docs, k, percent)
+    joined = rows.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
+    return joined.select("doc_id", "n_shingles", F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("root"))
 
 
 def op6(docs: DataFrame) -> DataFrame:
-    found = components(docs, 3, 90)
-    return found.select("doc_id", "n_shingles", F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))
+    return components(docs, 3, 90).withColumnRenamed("root", "component_id")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are the least of their class by id; of equal rows one stays."""
-    kept = components(docs, k, percent).where("k = root").select("k").distinct()
-    text = F.coalesce("text", F.lit(""))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_ID // 2)))
-    whole = docs.select(key.alias("k"), F.struct("*").alias("whole"))  # an extra column of any name does no harm
-    return whole.join(kept, "k", "left_semi").dropDuplicates(["k"]).select("whole.*")
+    """Of each class the row of ``docs`` with the least id (of several texts of that id the one of least hash, of equal
+    rows one); all rows without words."""
+    _, found = classed(docs, k, percent)
+    blank = F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES)) == ""
+    whole = docs.where(~blank).select(*keys(), F.struct("*").alias("whole"))  # an extra column of any name does no harm
+    chosen = whole.join(found.select("best.k", "best.th").distinct(), ["k", "th"], "left_semi").dropDuplicates(["k", "th"])
+    return chosen.select("whole.*").union(docs.where(blank))
