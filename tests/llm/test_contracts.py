@@ -170,21 +170,46 @@ def test_op9_tail_is_joined(odd, odd_docs, monkeypatch):
 
 
 def test_op9_probabilities_sum_to_one(odd_docs):
-    """Over all words and one unseen word a class, after any context."""
+    """Over all words and one unseen word a tail class, after any context."""
     import numpy as np
 
     model, counts = lm.fit(odd_docs, odd_docs["doc_id"] >= 0)
-    assert np.allclose((10 ** model.log_p[:, 1:]).sum(1), 1, atol=1e-4)
+    every = np.arange(1, lm.OUTPUTS)
+    for before in (lm.START, lm.END, 2, 40, lm.OUTPUTS - 1):
+        assert np.isclose((10 ** model.neural.log_p(np.full(len(every), before), every)).sum(), 1, atol=1e-3)
     share = {}
     for r in counts.collect():
         if r.token and bytes(r.token) in model.head.index:
             at = model.head.index[bytes(r.token)]
             share[model.head.cls[at]] = share.get(model.head.cls[at], 0) + 10 ** model.head.log_share[at]
     for c, total in share.items():
-        rest = 10 ** model.head.log_rest[c] if c >= lm.CLASSES - lm.TAIL else 0
+        rest = 10 ** model.head.log_rest[c] if c >= lm.OUTPUTS - lm.TAIL else 0
         assert math.isclose(total + rest, 1, rel_tol=1e-9)
 
 
+def test_op9_noise_contrastive_fit_learns_the_pairs():
+    """Pairs of a known distribution: after training a context's likely token scores far above its share of all tokens."""
+    import numpy as np
+
+    pair, n = [], []
+    for a in range(2, 42):
+        pair += [a * lm.OUTPUTS + (a * 7 % 40 + 2), a * lm.OUTPUTS + (a * 11 % 40 + 2)]
+        n += [900, 100]
+    order = np.argsort(pair)
+    model = lm.fit_nce(np.array(pair, np.int32)[order], np.array(n)[order], steps=300)
+    a = np.arange(2, 42)
+    assert (10 ** model.log_p(a, a * 7 % 40 + 2)).mean() > 0.5
+
+
+def test_most_frequent_keeps_its_bound_on_ties(spark):
+    from textloom.llm.common import most_frequent
+
+    counts = spark.range(20_000).selectExpr("id AS token", "if(id < 10, 1000, 5) AS c")
+    got = [r.c for r in most_frequent(counts, "token", "c", 1000).collect()]
+    assert got.count(1000) == 10 and 700 < len(got) <= 1000
+    assert most_frequent(counts, "token", "c", 30_000).count() == 20_000
+
+
 def test_op4(spark, odd_docs, no_docs):
     import random
 

@@ -25,14 +25,18 @@ _staged: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; on one machine a local one will do."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return LOCAL_SHARED
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and reread it: lineage is cut, and a lost executor costs nothing.
 
-    The files go when the session ends.
+    The files go with ``release``, or when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
@@ -45,20 +49,38 @@ def stage(df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_ROWS, rows)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._staged_at = path
+    return found
+
+
+def staged_so_far() -> int:
+    """A mark for ``release``."""
+    return len(_staged)
+
+
+def release(mark: int, *kept: DataFrame) -> None:
+    """Remove the tables staged since ``mark`` but for ``kept``, once nothing else reads them."""
+    stay = {df._staged_at for df in kept}
+    for spark, path in [x for x in _staged[mark:] if x[1] not in stay]:
+        _staged.remove((spark, path))
+        _delete(spark, path)
 
 
 def drop_staged(keep: int = 0) -> None:
     """Remove what ``stage`` wrote, but for the first ``keep`` tables."""
     while len(_staged) > keep:
-        spark, path = _staged.pop()
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(*_staged.pop())
         except Exception:  # the session is over; a cluster's own clean-up takes the folder
             return
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def id_key(name: str = "doc_id") -> Column:
     """The id with null replaced by ``NULL_ID``."""
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
@@ -94,17 +116,19 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
-def most_frequent(counts: DataFrame, n: str, limit: int) -> DataFrame:
-    """The rows of ``counts`` with the greatest ``n``, at most ``limit``, cut between steps of an eighth of a doubling.
+def most_frequent(counts: DataFrame, key: str, n: str, limit: int) -> DataFrame:
+    """About the ``limit`` rows of ``counts`` with the greatest ``n``, in steps of an eighth of a doubling.
 
-    Only a histogram of bounded size goes to the driver to find the cut, not the candidates of every partition.
+    Of the step that doesn't fit whole, the rows whose hash of ``key`` lies under a share of all hashes that leaves four
+    standard deviations of room. Only a histogram of bounded size goes to the driver to find the cut.
     """
     step = F.floor(F.log2(F.col(n)) * 8).cast("int")
     steps = sorted(((r.step, r["count"]) for r in counts.groupBy(step.alias("step")).count().collect()), reverse=True)
-    total, least = 0, None
+    room = limit
     for at, rows in steps:
-        total += rows
-        if total > limit:
-            break
-        least = at
-    return counts.where(F.lit(False)) if least is None else counts.where(step >= least)
+        if rows > room:
+            share = max(0.0, room - 4 * room**0.5) / rows
+            drawn = F.pmod(F.xxhash64(key), F.lit(1 << 53)) < F.lit(int(share * (1 << 53)))
+            return counts.where((step > at) | ((step == at) & drawn))
+        room -= rows
+    return counts

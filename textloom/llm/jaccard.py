@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, arrow_map, most_frequent, stage, utf8
+from .common import SPACES, arrow_map, most_frequent, release, stage, staged_so_far, utf8
 
 #: Shingles whose frequency is broadcast.
 RARITY = 1 << 17
@@ -113,8 +113,10 @@ def frequent_shingles(texts: DataFrame, k: int) -> np.ndarray:
         if parts:
             yield _often(parts)
 
+    mark = staged_so_far()
     counts = arrow_map(texts.select("text"), run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    top = most_frequent(stage(counts, "shingle-counts"), "n", RARITY).toArrow().sort_by([("n", "ascending"), ("hash", "descending")])
+    top = most_frequent(stage(counts, "shingle-counts"), "hash", "n", RARITY).toArrow().sort_by([("n", "ascending"), ("hash", "descending")])
+    release(mark)
     return top.column("hash").to_numpy().view(np.uint64)
 
 
@@ -186,6 +188,7 @@ def distinct_sets(rows: DataFrame) -> DataFrame:
 
 def contract(links: DataFrame) -> DataFrame:
     """node, root of the linked nodes (columns a, b): the least node of each class, by alternating star contractions."""
+    mark = staged_so_far()
     edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     n = edges.count()
     while n:
@@ -201,6 +204,7 @@ def contract(links: DataFrame) -> DataFrame:
         n = edges.count()
         if n == m and edges.join(before, ["u", "v"], "left_anti").isEmpty():
             break
+        release(mark, edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -322,13 +326,16 @@ def _least_shared(n, m, percent: int):  # noqa: ANN001, ANN202
 
 def classed(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The rows, and digest and best of every set that isn't empty; best: the class's row of least id (as in ``rep``)."""
+    mark = staged_so_far()
     texts = keyed(docs)
     rows = set_rows(texts, k, percent)
     sets = distinct_sets(rows)
     roots = classes(rows, sets, texts, k, percent)
     own = sets.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("digest", "rep", F.coalesce("root", "rid").alias("root"))
     best = stage(own.groupBy("root").agg(F.min("rep").alias("best")), "best")
-    return rows, stage(own.select("digest", "root").join(best, "root").select("digest", "best"), "classes")
+    found = stage(own.select("digest", "root").join(best, "root").select("digest", "best"), "classes")
+    release(mark, rows, found)
+    return rows, found
 
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

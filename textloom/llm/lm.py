@@ -1,21 +1,20 @@
-"""Language-model scoring: a log-bilinear neural model over word classes, trained by noise-contrastive estimation.
+"""Language-model scoring: a log-bilinear neural model of words, trained by noise-contrastive estimation.
 
-A token is predicted in two factors. The neural model gives the class: each of the most frequent words and the end is a
-class of its own, the other words fall in ``TAIL`` classes by their last two bytes. Within a tail class a word has its
-share of the class's training tokens, one unseen word included. Both factors are normalised, so the scores are true
-log-probabilities over all words.
+Outputs are the end, the ``WORDS`` most frequent words, each with vectors of its own, and ``TAIL`` classes that all other
+words fall in by their last two bytes; within a tail class a word has its share of the class's training tokens, one
+unseen word included. A token's score is the product of its context's vector (that of the token before) and its own,
+plus a bias; it is normalised over all outputs, so the scores are true log-probabilities over all words. The
+normalisers of all contexts come from batched matrix products, once.
 
-The log-bilinear model adds two context vectors (the word before, and the coarse class of the one before that), each
-scaled by its position's diagonal matrix, and takes the product with the target's vector, plus a bias. Training uses the
-counts of (coarse, before, target) over *all* training documents; their number is bounded by the class counts, so the
-expectation over the noise distribution is taken exactly, as batched matrix products, in place of sampled noise.
+Training is stochastic: each step draws (context, token) pairs by their counts over *all* training documents, and noise
+tokens from the unigram distribution, and moves the vectors so that pairs are told from noise.
 
-Scale: token counts are summed in a shuffle with pre-aggregation in each task, and kept as a table. The ``HEAD`` most
-frequent tokens (a fixed bound) are broadcast; every other token of a text is looked up by a join, so the vocabulary
-may grow without limit. The driver holds at most HEAD tokens and COARSE * CLASSES**2 counts.
+Scale: token counts and pair counts are summed in a shuffle with pre-aggregation in each task. Token counts are kept as
+a table; the ``HEAD`` most frequent tokens (a fixed bound) are broadcast, every other token of a text is looked up by a
+join, so the vocabulary may grow without limit. The driver holds at most HEAD tokens and OUTPUTS**2 pair counts.
 
-Defined results: null text is empty (only the end is scored); with no training token the counts are 0 and N is 0;
-each input row gives one row, repeated rows too.
+Defined results: null text is empty (only the end is scored); with no training token the counts are 0 and N is 0; a null
+id counts as empty text in the split; each input row gives one row, repeated rows too.
 """
 
 from __future__ import annotations
@@ -32,14 +31,14 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, id_bucket, most_frequent, stage, utf8
 
-#: Classes: 0 before the text (context only), 1 the end, then FREQUENT words, then TAIL classes.
-CLASSES, TAIL, COARSE = 256, 64, 32
-FREQUENT = CLASSES - TAIL - 2
+#: Outputs: 0 before the text (context only), 1 the end, then WORDS frequent words, then TAIL classes.
+OUTPUTS, TAIL = 4096, 256
+WORDS = OUTPUTS - TAIL - 2
 START, END = 0, 1
 #: Tokens whose counts are broadcast; the others are joined.
 HEAD = 1 << 16
-#: Tokens handled at once by a Python worker.
-CHUNK = 200_000
+#: Tokens handled at once by a Python worker, and pairs that it holds before it hands them on.
+CHUNK, PAIRS = 200_000, 1_000_000
 END_TOKEN = b""
 
 
@@ -49,7 +48,7 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def tail_class(token: bytes) -> int:
-    return CLASSES - TAIL + zlib.crc32(token[-2:]) % TAIL
+    return OUTPUTS - TAIL + zlib.crc32(token[-2:]) % TAIL
 
 
 def token_counts(texts: DataFrame, flush: int = 300_000) -> DataFrame:
@@ -71,16 +70,16 @@ def token_counts(texts: DataFrame, flush: int = 300_000) -> DataFrame:
 
 @dataclass
 class Head:
-    """The most frequent tokens: class, log10(c + 1), and log10 of their share of their class."""
+    """The most frequent tokens: output, log10(c + 1), and log10 of their share of their output."""
 
     index: dict[bytes, int]
     cls: np.ndarray
     log_count: np.ndarray
     log_share: np.ndarray
-    log_rest: np.ndarray  # by class: -log10 of what the shares are taken of
+    log_rest: np.ndarray  # by output: -log10 of what the shares are taken of
 
     def classes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Place among the head (-1: not there) and class of each word."""
+        """Place among the head (-1: not there) and output of each word."""
         get = self.index.get
         at = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
         cls = self.cls[at]
@@ -89,24 +88,35 @@ class Head:
         return at, cls
 
 
+@dataclass
+class LogBilinear:
+    """Vectors and log normalisers of contexts, vectors and biases of outputs."""
+
+    context: np.ndarray
+    output: np.ndarray
+    bias: np.ndarray
+    normaliser: np.ndarray
+
+    def log_p(self, before: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """log10 probability of each output after its context."""
+        score = np.einsum("ij,ij->i", self.context[before], self.output[cls]) + self.bias[cls] - self.normaliser[before]
+        return score.astype(np.float64) / np.log(10)
+
+
 @dataclass
 class LanguageModel:
     train_tokens: int
     train_words: int
     head: Head
-    log_p: np.ndarray  # (COARSE * CLASSES, CLASSES): log10 of the class given the context
+    neural: LogBilinear
 
 
 def contexts(cls: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The context's row in ``log_p`` for each token; ``starts``: where texts begin."""
-    one, two = np.empty_like(cls), np.empty_like(cls)
-    one[1:], two[2:] = cls[:-1], cls[:-2]
-    one[starts] = START
-    two[:2] = START
-    two[starts] = START
-    second = starts + 1
-    two[second[second < len(cls)]] = START
-    return np.minimum(two, COARSE - 1) * CLASSES + one
+    """The output before each token; ``starts``: where texts begin."""
+    before = np.empty_like(cls)
+    before[1:] = cls[:-1]
+    before[starts] = START
+    return before
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], np.ndarray]]:
@@ -128,61 +138,70 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes
         yield rows, words, np.array(starts)
 
 
-def class_trigrams(texts: DataFrame, head: Head) -> np.ndarray:
-    """Counts of (context, class) over all rows: COARSE * CLASSES by CLASSES."""
+def pair_counts(texts: DataFrame, head: Head) -> tuple[np.ndarray, np.ndarray]:
+    """The (context * OUTPUTS + output) pairs that occur in any row, and how often."""
     sent = texts.sparkSession.sparkContext.broadcast(head)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        total = np.zeros(COARSE * CLASSES * CLASSES, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for _, words, starts in chunks(batches):
             _, cls = sent.value.classes(words)
-            total += np.bincount(contexts(cls, starts).astype(np.int64) * CLASSES + cls, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield {"cell": at, "n": total[at]}
+            held.append(np.unique(contexts(cls, starts).astype(np.int32) * OUTPUTS + cls, return_counts=True))
+            if sum(len(x) for x, _ in held) > PAIRS:
+                held = [_summed(held)]
+                if len(held[0][0]) > PAIRS // 2:
+                    yield {"pair": held[0][0], "n": held[0][1]}
+                    held = []
+        if held:
+            pair, n = _summed(held)
+            yield {"pair": pair, "n": n}
+
+    got = arrow_map(texts, count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow().sort_by("pair")
+    return got.column("pair").to_numpy(), got.column("n").to_numpy()
+
 
-    got = arrow_map(texts, count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(COARSE * CLASSES * CLASSES)
-    counts[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return counts.reshape(COARSE * CLASSES, CLASSES)
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    pair, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+    return pair, np.bincount(at, np.concatenate([n for _, n in parts]), len(pair)).astype(np.int64)
 
 
-def fit_nce(counts: np.ndarray, *, size: int = 16, noise: int = 8, steps: int = 80, rate: float = 0.08, seed: int = 3) -> np.ndarray:
-    """log10 class probabilities by context, of a log-bilinear model fitted to ``counts`` by noise-contrastive estimation."""
+def fit_nce(
+    pair: np.ndarray, n: np.ndarray, *, size: int = 32, noise: int = 512, batch: int = 4096, steps: int = 800, rate: float = 0.05, seed: int = 1,
+) -> LogBilinear:
+    """A model fitted to pair counts. Each step tells ``batch`` drawn pairs from ``noise`` drawn tokens, with AdaGrad."""
     rng = np.random.default_rng(seed)
-    used = np.flatnonzero(counts.sum(1))
-    n = counts[used].astype(np.float32)
-    n /= max(1.0, n.sum())
-    of = n.sum(1, keepdims=True)
-    unigram = n.sum(0) + 1e-6
-    unigram[START] = 1e-9
+    unigram = np.bincount(pair % OUTPUTS, n, OUTPUTS) + 0.5
+    unigram[START] = 1e-3
     unigram /= unigram.sum()
     log_noise = np.log(noise * unigram).astype(np.float32)
-    one, two = used % CLASSES, used // CLASSES
-    p = {
-        "word": rng.normal(0, 0.1, (CLASSES, size)), "target": rng.normal(0, 0.1, (CLASSES, size)),
-        "near": np.ones(size), "far": np.full(size, 0.3), "bias": np.log(unigram),
-    }
-    p = {k: v.astype(np.float32) for k, v in p.items()}
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    for step in range(1, steps + 1 if len(used) else 1):
-        r1, r2 = p["word"][one], p["word"][two]
-        q = p["near"] * r1 + p["far"] * r2
-        sure = 1 / (1 + np.exp(np.clip(log_noise - (q @ p["target"].T + p["bias"]), -30, 30)))
-        g = sure * (n + noise * of * unigram.astype(np.float32)) - n  # by the score of each (context, class)
-        gq = g @ p["target"]
-        grad = {"target": g.T @ q, "bias": g.sum(0), "near": (gq * r1).sum(0), "far": (gq * r2).sum(0), "word": np.zeros_like(p["word"])}
-        np.add.at(grad["word"], one, gq * p["near"])
-        np.add.at(grad["word"], two, gq * p["far"])
-        for k, x in grad.items():
-            m[k] += 0.1 * (x - m[k])
-            v[k] += 0.01 * (x * x - v[k])
-            p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-    rows = np.arange(COARSE * CLASSES)
-    q = p["near"] * p["word"][rows % CLASSES] + p["far"] * p["word"][rows // CLASSES]
-    score = q @ p["target"].T + p["bias"]
-    score[:, START] = -np.inf
-    top = score.max(1, keepdims=True)
-    return ((score - top - np.log(np.exp(score - top).sum(1, keepdims=True))) / np.log(10)).astype(np.float32)
+    seen, drawn_noise = np.cumsum(n), np.cumsum(unigram)
+    context, output = (rng.normal(0, 0.1, (OUTPUTS, size)).astype(np.float32) for _ in range(2))
+    bias = np.log(unigram).astype(np.float32)
+    paces = [np.full((OUTPUTS, 1), 1e-3, np.float32), np.full((OUTPUTS, 1), 1e-3, np.float32), np.full(OUTPUTS, 1e-3, np.float32)]
+    for _ in range(steps if len(pair) else 0):
+        drawn = pair[np.searchsorted(seen, rng.integers(0, seen[-1], batch), side="right")]
+        before, token = drawn // OUTPUTS, drawn % OUTPUTS
+        other = np.minimum(np.searchsorted(drawn_noise, rng.random(noise)), OUTPUTS - 1)
+        c, t, o = context[before], output[token], output[other]
+        true = (c * t).sum(1) + bias[token] - log_noise[token]
+        false = c @ o.T + (bias[other] - log_noise[other])
+        true = 1 / (1 + np.exp(-np.clip(true, -30, 30))) - 1  # from here on gradients by the score
+        false = 1 / (1 + np.exp(-np.clip(false, -30, 30)))
+        g_context, g_output = np.zeros_like(context), np.zeros_like(output)
+        np.add.at(g_context, before, true[:, None] * t + false @ o)
+        np.add.at(g_output, token, true[:, None] * c)
+        np.add.at(g_output, other, false.T @ c)
+        g_bias = (np.bincount(token, true, OUTPUTS) + np.bincount(other, false.sum(0), OUTPUTS)).astype(np.float32)
+        for x, pace, g in zip((context, output, bias), paces, (g_context, g_output, g_bias), strict=True):
+            pace += (g * g).mean(1, keepdims=True) if g.ndim > 1 else g * g
+            x -= rate * g / np.sqrt(pace)
+    normaliser = np.empty(OUTPUTS, np.float32)
+    for begin in range(0, OUTPUTS, 512):
+        score = context[begin : begin + 512] @ output.T + bias
+        score[:, START] = -np.inf  # never an output
+        top = score.max(1, keepdims=True)
+        normaliser[begin : begin + 512] = (top + np.log(np.exp(score - top).sum(1, keepdims=True)))[:, 0]
+    return LogBilinear(context, output, bias, normaliser)
 
 
 def fit(docs: DataFrame, trainable: Column) -> tuple[LanguageModel, DataFrame]:
@@ -192,21 +211,22 @@ def fit(docs: DataFrame, trainable: Column) -> tuple[LanguageModel, DataFrame]:
     tail = F.crc32(F.substring(F.col("token"), -2, 2)) % TAIL
     sums = counts.groupBy(F.when(F.length("token") > 0, tail).alias("tail")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     n, v = sum(r.n for r in sums), sum(r.v for r in sums)
-    top = [(bytes(r.token), r.c) for r in most_frequent(counts.where(F.length("token") > 0), "c", HEAD).collect()]
+    got = most_frequent(counts.where(F.length("token") > 0), "token", "c", HEAD).toArrow()
+    top = list(zip(got.column("token").to_pylist(), got.column("c").to_pylist(), strict=True))
     top.sort(key=lambda x: (-x[1], x[0]))
-    rest = np.ones(CLASSES)  # one unseen word
+    rest = np.ones(OUTPUTS)  # one unseen word
     for r in sums:
         if r.tail is not None:
-            rest[CLASSES - TAIL + r.tail] += r.n + r.v
-    for word, c in top[:FREQUENT]:  # these are classes of their own
+            rest[OUTPUTS - TAIL + r.tail] += r.n + r.v
+    for word, c in top[:WORDS]:  # these are outputs of their own
         rest[tail_class(word)] -= c + 1
-    log_rest = np.where(np.arange(CLASSES) < CLASSES - TAIL, 0.0, -np.log10(rest))
+    log_rest = np.where(np.arange(OUTPUTS) < OUTPUTS - TAIL, 0.0, -np.log10(rest))
     ends = next((r.n for r in sums if r.tail is None), 0)
-    cls = np.array([END, *(END + 1 + i if i < FREQUENT else tail_class(w) for i, (w, _) in enumerate(top)), 0])
+    cls = np.array([END, *(END + 1 + i if i < WORDS else tail_class(w) for i, (w, _) in enumerate(top)), 0])
     log_count = np.log10(np.array([ends, *(c for _, c in top), 0]) + 1.0)
-    log_share = np.where(cls < CLASSES - TAIL, 0.0, log_count + log_rest[cls])
+    log_share = np.where(cls < OUTPUTS - TAIL, 0.0, log_count + log_rest[cls])
     head = Head({END_TOKEN: 0} | {w: i + 1 for i, (w, _) in enumerate(top)}, cls.astype(np.int32), log_count, log_share, log_rest)
-    return LanguageModel(n, v, head, fit_nce(class_trigrams(texts, head))), counts
+    return LanguageModel(n, v, head, fit_nce(*pair_counts(texts, head))), counts
 
 
 def score(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame:
@@ -221,7 +241,7 @@ def score(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame
         for rows, words, starts in chunks(batches):
             at, cls = m.head.classes(words)
             there = at >= 0
-            logs = m.log_p[contexts(cls, starts), cls].astype(np.float64)
+            logs = m.neural.log_p(contexts(cls, starts), cls)
             logs += np.where(there, m.head.log_share[at], m.head.log_rest[cls])
             sums = [np.add.reduceat(x, starts) for x in (np.where(there, m.head.log_count[at], 0.0), logs, (there & (m.head.log_count[at] > 0)).astype(np.int64))]
             ends = np.append(starts[1:], len(words))
