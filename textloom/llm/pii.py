@@ -1,18 +1,20 @@
 """Personal data: one Aho-Corasick pass finds anchors, deterministic local parsers expand and validate them.
 
-Anchors are at-signs, plus signs, digits, address schemes and account cues. From an anchor a parser walks to the
-boundaries of the candidate and validates it (address parts, Luhn, mod 97, digit counts); no pattern is run over the
-whole text. Kinds: email, ip, card, phone; and, added by the method, ``url`` (an address with user information, or a
-``mailto:``/``tel:`` address) and ``account`` (an IBAN, or a number that follows an account cue).
-
-Scale: one map over whole texts, without a shuffle. Defined results: null text is empty and has no spans; spans of a
-kind never overlap; each input row gives one row; extra columns are ignored.
+Anchors are at-signs, plus signs, digits, address schemes and account cues (both in any case of A-Z). From an anchor a
+parser walks to the boundaries of the candidate and validates it (address parts, Luhn, mod 97, digit counts); no pattern
+is run over the whole text. Kinds: email, ip, card, phone; and, added by the method, ``url`` (an address with user
+information, or a ``mailto:``/``tel:`` address) and ``account`` (an IBAN, or a number that follows an account cue).
+
+Scale: one map over whole texts, without a shuffle; the time is in proportion to the text, however many anchors fail.
+Defined results: null text is empty and has no spans; spans of a kind never overlap; texts of any length are read whole;
+each input row gives one row, repeated rows too; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -32,19 +34,22 @@ _LABEL = _ALNUM | frozenset("-")
 _PHONE = _DIGITS | frozenset(" ().-")
 _BLANK = frozenset(" \t\n\x0b\x0c\r")
 _SCHEMES = ("http://", "https://", "ftp://", "ssh://", "mailto:", "tel:")
+_GAP = frozenset(" :=#.")
+#: An IBAN has 34 characters at most, in blocks of four.
+LONGEST_IBAN = 42
 _CUES = ("iban", "account", "acct", "konto", "compte", "cuenta", "ssn", "passport")
 
 
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for x in ("@", "+", *_DIGITS):
         a.add_word(x, ("digit" if x in _DIGITS else x, 1))
-    for x in _SCHEMES:
-        for form in {x, x.upper(), x.capitalize()}:
-            a.add_word(form, ("scheme", len(x)))
-    for x in _CUES:
-        for form in {x, x.upper(), x.capitalize()}:
-            a.add_word(form, ("cue", len(x)))
+    for kind, forms in (("scheme", _SCHEMES), ("cue", _CUES)):
+        for x in forms:
+            a.add_word(x, (kind, len(x)))
     a.make_automaton()
     return a
 
@@ -119,29 +124,51 @@ def parse_phone(text: str, plus: int) -> Span | None:
     return (plus, end) if end > plus + 3 else None
 
 
-def parse_url(text: str, start: int, after: int) -> Span | None:
-    """An address that identifies a person: user information before the host, or a mail or telephone address."""
-    end = after
-    while end < len(text) and text[end] not in _BLANK and text[end] not in "<>\"'":
-        end += 1
-    while end > after and text[end - 1] in ".,;:!?)":
-        end -= 1
-    body = text[after:end]
-    if text[start:after].lower() in ("mailto:", "tel:"):
-        ok = "@" in body if text[start].lower() == "m" else sum(c in _DIGITS for c in body) >= 8
-    else:
-        host = body.split("/")[0]
-        ok = "@" in host and 0 < host.index("@") < len(host) - 1
-    return (start, end) if ok else None
+class Address:
+    """The run without blanks, quotes and angle brackets that an address may reach to; schemes in one run share it."""
+
+    def __init__(self, text: str, start: int) -> None:
+        self.text, self.start = text, start
+        self.end = start
+        while self.end < len(text) and text[self.end] not in _BLANK and text[self.end] not in "<>\"'":
+            self.end += 1
+        self.trimmed = self.end
+        while self.trimmed > start and text[self.trimmed - 1] in ".,;:!?)":
+            self.trimmed -= 1
+        self.next = {"@": -1, "/": -1}
+        self.digits: list[int] | None = None
+
+    def find(self, sign: str, after: int) -> int:
+        """The first place of a sign from ``after`` on, else the end."""
+        if self.next[sign] < after:
+            at = self.text.find(sign, after, self.trimmed)
+            self.next[sign] = at if at >= 0 else self.trimmed
+        return self.next[sign]
+
+    def digits_from(self, after: int) -> int:
+        if self.digits is None:
+            self.digits = [0, *accumulate(c in _DIGITS for c in self.text[self.start : self.trimmed])]
+        return self.digits[-1] - self.digits[min(after - self.start, len(self.digits) - 1)]
+
+    def parse(self, start: int, after: int) -> Span | None:
+        """An address that identifies a person: user information before the host, or a mail or telephone address."""
+        end = max(self.trimmed, after)
+        scheme = self.text[start:after].lower()
+        if scheme == "mailto:":
+            ok = self.find("@", after) < end
+        elif scheme == "tel:":
+            ok = self.digits_from(after) >= 8
+        else:
+            at, host = self.find("@", after), min(self.find("/", after), end)
+            ok = after < at < host - 1
+        return (start, end) if ok else None
 
 
 def parse_account(text: str, after: int) -> Span | None:
-    """The IBAN or number of 6 to 18 digits that follows a cue within a few blanks or signs."""
-    at = after
-    while at < len(text) and at < after + 8 and text[at] in " :=#.":
-        at += 1
+    """The IBAN or number of 6 to 18 digits that follows a cue, blanks and signs between them."""
+    at = run_end(text, after, _GAP)
     end = at
-    while end < len(text) and (text[end] in _ALNUM or text[end] == " " and end + 1 < len(text) and text[end + 1] in _ALNUM) and end - at < 42:
+    while end < len(text) and end - at < LONGEST_IBAN and (text[end] in _ALNUM or text[end] == " " and end + 1 < len(text) and text[end + 1] in _ALNUM):
         end += 1
     packed = text[at:end].replace(" ", "")
     if len(packed) >= 15 and packed[:2].isalpha() and packed[:2].isupper() and packed[2:4].isdigit():
@@ -153,10 +180,12 @@ def parse_account(text: str, after: int) -> Span | None:
                     seen += text[stop] != " "
                     stop += 1
                 return at, stop
-    stop = run_end(text, at, _DIGITS | frozenset("-"))
+    stop, digits = at, 0
+    while stop < len(text) and digits <= 18 and (text[stop] in _DIGITS or text[stop] == "-"):
+        digits += text[stop] != "-"
+        stop += 1
     while stop > at and text[stop - 1] == "-":
         stop -= 1
-    digits = sum(c in _DIGITS for c in text[at:stop])
     return (at, stop) if 6 <= digits <= 18 and (stop == len(text) or text[stop] not in _ALNUM) else None
 
 
@@ -167,7 +196,9 @@ def find_spans(text: str) -> dict[str, list[Span]]:
     """All spans of a text, by kind, in order."""
     spans: dict[str, list[Span]] = {k: [] for k in KINDS}
     past = dict.fromkeys(KINDS, 0)  # where the kind's next candidate may begin
-    for at, (anchor, size) in _AUTOMATON.iter(text):
+    run: Address | None = None
+    low = text.lower() if text.isascii() else text.translate(_LOWER)
+    for at, (anchor, size) in _AUTOMATON.iter(low):
         if anchor == "digit":
             if at >= past["card"]:
                 span = parse_card(text, at)
@@ -190,7 +221,9 @@ def find_spans(text: str) -> dict[str, list[Span]]:
                     spans["phone"].append(span)
         elif anchor == "scheme":
             start = at + 1 - size
-            if start >= past["url"] and (span := parse_url(text, start, at + 1)):
+            if run is None or at + 1 > run.end:
+                run = Address(text, at + 1)
+            if start >= past["url"] and (span := run.parse(start, at + 1)):
                 past["url"] = span[1]
                 spans["url"].append(span)
         else:
