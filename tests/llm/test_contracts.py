@@ -148,6 +148,45 @@ def test_op8_added_spans():
     assert pii.find_spans("https://host.org/a and iban DE88 3704 0044 0532 0130 00 accounting 12345678")["url"] == []
 
 
+def test_op8_any_case_and_gap():
+    found = pii.find_spans("HtTp://Me:pw@Host.org x MAILTO:a@b.co IbAn" + " " * 500 + "DE89370400440532013000 TEL:+49-170-1234567 tel:12")
+    assert [k for k in ("url", "account") for _ in found[k]] == ["url", "url", "url", "account"]
+
+
+def _times(work, sizes):
+    import time
+
+    out = []
+    for n in sizes:
+        began = time.process_time()
+        work(n)
+        out.append(time.process_time() - began)
+    return out
+
+
+@pytest.mark.parametrize("part", ["http://", "tel:x", "mailto:x", "https://a@", "a@b.", "1.1.", "+1(", "iban 1-", "4 ", "@"])
+def test_op8_time_follows_the_text(part):
+    """Four times the text takes about four times as long, sixteen by far not."""
+    small, large = _times(lambda n: pii.find_spans(part * n), (20_000, 80_000))
+    assert large < 8 * small + 0.5
+
+
+@pytest.mark.parametrize("same", ["cluster", "source", "both", "none"])
+def test_op10_time_follows_the_rows(same):
+    def work(n):
+        packing.pack([(i, 0 if same in ("source", "both") else i % 50, 0 if same in ("cluster", "both") else i, 1 + i % 40) for i in range(n)], 2048, 2)
+
+    small, large = _times(work, (4_000, 16_000))
+    assert large < 8 * small + 0.5
+
+
+def test_op10_sources_follow_the_corpus(spark):
+    """One source alone fills its bins."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(19)), "only") for i in range(800)], "doc_id long, text string, source string")
+    bins = {(r.shard, r.bin) for r in packing.op10(docs).collect()}
+    assert len(bins) == 8
+
+
 def test_op9(odd, odd_docs, no_docs):
     cols = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")
     rows = [(i, t) for i, t in odd if i is not None]

@@ -1,11 +1,15 @@
 """Best-fit packing of documents into bins of fixed length, under conflicts.
 
 Documents are cut into pieces of at most ``capacity`` tokens; pieces are placed in the order of falling length. A bin
-carries bitmaps of what it holds: one of duplicate clusters (no two pieces of different documents of a cluster share a
-bin) and ``per_source`` of sources (a bin holds at most that many documents of a source; bitmap j says which
-sources it holds j + 1 times). Bins are ordered by what is left in them. For a piece the search starts at the bins with
-just enough room and goes on to the successor until it finds a compatible one: the tightest compatible bin. If there is
-none, a bin is opened.
+carries bitmaps of what it holds: one of duplicate clusters (no two pieces of a cluster share a bin; a document that
+occurs once is in no cluster) and ``per_source`` of sources (a bin holds at most that many documents of a source; bitmap
+j says which sources it holds j + 1 times). Bins are ordered by what is left in them, and bins with the same left and
+the same bitmaps are one class. For a piece the search starts at the bins with just enough room and goes on to the
+successor until it finds a compatible class: the tightest compatible bin. A class that conflicts is passed as a whole,
+so thousands of bins with one cluster or a full source cost one step. If there is no compatible bin, one is opened.
+
+By default ``per_source`` follows the corpus: about as many documents as its most frequent source has in a bin's worth
+of tokens, two at least.
 
 Scale: lengths and cluster digests come from one map over whole texts; only (id, source, cluster, length) is shuffled.
 Documents are dealt by a hash of the id to shards of about ``shard_tokens`` tokens, packed each in one task, so no
@@ -13,7 +17,8 @@ source, cluster or key decides how much a task gets; the conflicts hold in every
 number with the corpus, not in size.
 
 Defined results: null and empty texts have one token (the end); a null source is a source of its own; equal rows are
-copies of each other; a document longer than a bin fills bins of its own and its rest is packed as a piece; extra columns are ignored.
+copies of each other; pieces of one length are placed in the order of id, then cluster; a document longer than a bin
+fills bins of its own and its rest is packed as a piece; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,38 +47,45 @@ class Bin:
 
 
 class Bins:
-    """Open bins by what is left in them, with a bitmap of the sizes that occur."""
+    """Open bins by what is left in them, then full sources, then clusters, with a bitmap of the sizes that occur."""
 
     def __init__(self, capacity: int, per_source: int) -> None:
         self.capacity, self.per_source = capacity, per_source
-        self.by_left: list[list[Bin]] = [[] for _ in range(capacity + 1)]
+        self.by_left: list[dict[int, dict[int, list[Bin]]]] = [{} for _ in range(capacity + 1)]
         self.sizes, self.count = 0, 0
 
-    def place(self, need: int, source: int, cluster: int) -> Bin:
+    def place(self, need: int, source: int, cluster: int | None) -> Bin:
         """The tightest bin with room that holds neither the cluster nor the source too often; or a new one."""
-        above = self.sizes >> need
+        above, bit = self.sizes >> need, 0 if cluster is None else 1 << cluster
         while above:
             left = need + (above & -above).bit_length() - 1
-            for i, b in enumerate(self.by_left[left]):
-                if not (b.clusters >> cluster & 1 or b.sources[-1] >> source & 1):
-                    self.by_left[left][i] = self.by_left[left][-1]
-                    self.by_left[left].pop()
-                    if not self.by_left[left]:
-                        self.sizes &= ~(1 << left)
-                    return self._put(b, need, source, cluster)
+            for full, classes in self.by_left[left].items():
+                if not full >> source & 1 and (held := next((c for c in classes if not c & bit), None)) is not None:
+                    return self._put(self._take(left, full, held), need, source, bit)
             above &= above - 1
         self.count += 1
-        return self._put(Bin(self.count - 1, self.capacity, 0, [0] * self.per_source), need, source, cluster)
-
-    def _put(self, b: Bin, need: int, source: int, cluster: int) -> Bin:
+        return self._put(Bin(self.count - 1, self.capacity, 0, [0] * self.per_source), need, source, bit)
+
+    def _take(self, left: int, full: int, clusters: int) -> Bin:
+        at = self.by_left[left]
+        found = at[full][clusters].pop()
+        if not at[full][clusters]:
+            del at[full][clusters]
+            if not at[full]:
+                del at[full]
+                if not at:
+                    self.sizes &= ~(1 << left)
+        return found
+
+    def _put(self, b: Bin, need: int, source: int, bit: int) -> Bin:
         b.left -= need
-        b.clusters |= 1 << cluster
+        b.clusters |= bit
         for j, held in enumerate(b.sources):
             if not held >> source & 1:
                 b.sources[j] = held | 1 << source
                 break
         if b.left:
-            self.by_left[b.left].append(b)
+            self.by_left[b.left].setdefault(b.sources[-1], {}).setdefault(b.clusters, []).append(b)
             self.sizes |= 1 << b.left
         return b
 
@@ -82,14 +94,16 @@ def pack(rows: list[tuple], capacity: int, per_source: int) -> list[tuple[int, i
     """(row, piece, start, n_tokens, bin) for rows of (order, source, cluster, n_tokens)."""
     sources: dict = {}
     clusters: dict = {}
+    copies = Counter(cluster for _, _, cluster, _ in rows)
     pieces = []
     for i, (order, source, cluster, n) in enumerate(rows):
-        s, c = sources.setdefault(source, len(sources)), clusters.setdefault(cluster, len(clusters))
+        s = sources.setdefault(source, len(sources))
+        c = clusters.setdefault(cluster, len(clusters)) if copies[cluster] > 1 else -1
         for piece, start in enumerate(range(0, n, capacity)):
             pieces.append((-min(capacity, n - start), order, piece, start, i, s, c))
     pieces.sort()
     bins = Bins(capacity, per_source)
-    return [(i, piece, start, -need, bins.place(-need, s, c).id) for need, _, piece, start, i, s, c in pieces]
+    return [(i, piece, start, -need, bins.place(-need, s, c if c >= 0 else None).id) for need, _, piece, start, i, s, c in pieces]
 
 
 def lengths(docs: DataFrame) -> DataFrame:
@@ -114,10 +128,14 @@ def lengths(docs: DataFrame) -> DataFrame:
     return stage(arrow_map(texts, run, "row long, doc_id long, k long, source string, n_tokens long, cluster binary"), "lengths")
 
 
-def best_fit(rows: DataFrame, *, capacity: int = CAPACITY, per_source: int = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def best_fit(rows: DataFrame, *, capacity: int = CAPACITY, per_source: int | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, piece, start, n_tokens, shard, bin of every piece of ``rows`` (as of ``lengths``)."""
-    total = rows.agg(F.sum("n_tokens")).first()[0] or 0
+    by_source = rows.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs"))
+    total, most = by_source.agg(F.sum("n"), F.max("docs")).first()
+    total = total or 0
     shards = max(1, -(-total // shard_tokens))
+    if per_source is None:
+        per_source = max(2, -(-capacity * (most or 0) // max(1, total)))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
