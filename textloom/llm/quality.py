@@ -8,8 +8,12 @@ conditional, so applying it is a projection.
 Everything that touches documents is DataFrame expressions. Learning sees at most ``sample`` labelled rows (a documented
 bound, in the order of a hash of the id) and runs on the driver over their statistics.
 
-Defined results: null or blank text has no words and fails the base rules; null labels are not learned from; with no
-labelled row the list is empty and the base rules alone decide; each input row gives one row; extra columns are ignored.
+Repeated windows are found by 64-bit hashes of five 64-bit word hashes, compared within one text only.
+
+Defined results: null or blank text has no words and fails the base rules; null labels are not learned from; of several
+labels of an id the least counts, of several texts of a labelled id the one of least hash is learned from; with no
+labelled row the list is empty and the base rules alone decide; each input row gives one row; texts of any length are
+read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -178,8 +182,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 5000) -> list[Rule]
     """Rules from at most ``sample`` rows of ``labels`` (doc_id, quality: 1 good, 0 bad) that have a document."""
     rated = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # sample rows bound the broadcast
-    rows = statistics(docs.join(F.broadcast(picked), "doc_id"), ("doc_id", "quality")).select("doc_id", "quality", *FEATURES).collect()
+    # sample rows bound the broadcast, and one text an id what is collected
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    found = found.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = statistics(found, ("doc_id", "quality")).select("doc_id", "quality", *FEATURES).collect()
     rows = [{f: float(r[f]) for f in FEATURES} | {"bad": int(r.quality == 0)} for r in sorted(rows, key=lambda r: (crc32(str(r.doc_id).encode()), r.doc_id))]
     return learn(rows)
 
