@@ -7,11 +7,13 @@ position in the window and both lengths bound where the window would lie, and th
 window's own. Every surviving place is an exact occurrence.
 
 Scale: the documents are only mapped over. The windows are broadcast in blocks of at most ``BLOCK_WORDS`` item words,
-a size that is checked: one block (the usual case) needs no shuffle; more blocks are more passes over the documents,
-whose hits are brought together by document.
+a size that is checked; a longer item is cut into parts that overlap by a window. One block (the usual case) needs no
+shuffle; more blocks are more passes over the documents, one block at a time on the driver and in the workers, whose
+hits are brought together by document.
 
 Defined results: null or wordless texts have no words and no hits; items without words are left out; an item
-with a null id counts for hits and contamination, not for n_items and items_sha256; item rows that repeat count once; repeated documents each get their own row; extra columns are ignored.
+with a null id counts for hits and contamination, not for n_items and items_sha256; item rows that repeat count once;
+repeated documents each get their own row; texts of any length are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, stage, utf8
 
-#: Item words in a broadcast block (some tens of MB as Python objects at most).
-BLOCK_WORDS = 500_000
+#: Item words in a broadcast block (about half a KB each as Python objects).
+BLOCK_WORDS = 200_000
 #: Lower-cases A-Z, keeps a-z, 0-9 and all bytes of non-ASCII characters, and blanks the rest.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 
@@ -98,12 +100,14 @@ def item_blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[str | No
     rows = benchmark.where(F.col("text").isNotNull())
     for row in rows.select(F.col("item_id").cast("string").alias("item_id"), utf8().alias("text")).distinct().toLocalIterator():
         item = words(bytes(row.text))
-        if item:
-            block.append((row.item_id, item))
-            n += len(item)
-        if n >= BLOCK_WORDS:
-            yield block
-            block, n = [], 0
+        for start in range(0, max(1, len(item) - size + 1), BLOCK_WORDS):
+            part = item[start : start + BLOCK_WORDS + size - 1]
+            if part:
+                block.append((row.item_id, part))
+                n += len(part)
+            if n >= BLOCK_WORDS:
+                yield block
+                block, n = [], 0
     if block:
         yield block
 
@@ -131,20 +135,33 @@ def corpus_frequency(docs: DataFrame, items: list[tuple[str, list[bytes]]], size
     return {order[r.shingle]: r.n for r in got}
 
 
+def _ahead(blocks: Iterator[list]) -> Iterator[tuple[list, bool]]:
+    """Each block, and whether it is the only one."""
+    first = next(blocks, None)
+    if first is not None:
+        second = next(blocks, None)
+        yield first, second is None
+        if second is not None:
+            yield second, False
+            yield from ((b, False) for b in blocks)
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of ``docs``."""
     spark = docs.sparkSession
-    blocks = []
-    for items in item_blocks(benchmark, size):
-        blocks.append(spark.sparkContext.broadcast(WindowIndex(items, size, corpus_frequency(docs, items, size))))
-    if len(blocks) < 2:
-        return _one_block(docs, blocks[0] if blocks else None)
-    keyed = stage(docs.select(F.col("doc_id").cast("long"), utf8().alias("text")).withColumn("row", F.monotonically_increasing_id()), "decontam-rows")
-    base = _one_block(keyed, None, ("doc_id", "row"))
-    found = None
-    for sent in blocks:
-        part = _spans(keyed, sent)
+    keyed = found = None
+    for items, only in _ahead(item_blocks(benchmark, size)):
+        sent = spark.sparkContext.broadcast(WindowIndex(items, size, corpus_frequency(docs, items, size)))
+        if only:
+            return _one_block(docs, sent)
+        if keyed is None:
+            keyed = stage(docs.select(F.col("doc_id").cast("long"), utf8().alias("text")).withColumn("row", F.monotonically_increasing_id()), "decontam-rows")
+        part = stage(_spans(keyed, sent), "decontam-spans")
+        sent.destroy()
         found = part if found is None else found.union(part)
+    if keyed is None:
+        return _one_block(docs, None)
+    base = _one_block(keyed, None, ("doc_id", "row"))
     merged = found.groupBy("row").applyInPandas(_merge, "row long, hit long, items array<string>")
     ids = F.coalesce("items", F.array().cast("array<string>"))
     return base.join(merged, "row", "left").select(
@@ -195,18 +212,30 @@ def _one_block(docs: DataFrame, sent, carry: tuple[str, ...] = ("doc_id",)) -> D
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no window of an item; one map a block of items, nothing is joined."""
-    columns = docs.columns
-    for items in item_blocks(benchmark, size):
+    """The rows of ``docs``, all columns, that hold no window of an item.
+
+    One block of items is a map. Of more blocks each gives the hashes of the texts that it hits; those rows go at the end.
+    """
+    at, bad = docs.columns.index("text"), None
+    th = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)), F.xxhash64(F.coalesce("text", F.lit("")), F.lit(2))
+    for items, only in _ahead(item_blocks(benchmark, size)):
         sent = docs.sparkSession.sparkContext.broadcast(WindowIndex(items, size, corpus_frequency(docs, items, size)))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+        def run(batches: Iterator[pa.RecordBatch], at: int = at, hit: bool = False, sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             for batch in batches:
-                keep = [not (t := text.as_py()) or not sent.value.hits(words(t.encode()))[0] for text in batch.column(columns.index("text"))]
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+                found = [bool((t := text.as_py()) and sent.value.hits(words(t.encode()))[0]) for text in batch.column(at)]
+                yield batch.filter(pa.array([x == hit for x in found], pa.bool_()))
+
+        if only:
+            return docs.mapInArrow(run, docs.schema)
+        texts = docs.select("text", th[0].alias("t1"), th[1].alias("t2"))
+        part = stage(texts.mapInArrow(lambda b, run=run: run(b, 0, True), texts.schema).select("t1", "t2").distinct(), "decontam-hit")
+        sent.destroy()
+        bad = part if bad is None else bad.union(part)
+    if bad is None:
+        return docs
+    whole = docs.select(F.struct("*").alias("whole"), th[0].alias("t1"), th[1].alias("t2"))
+    return whole.join(bad.distinct(), ["t1", "t2"], "left_anti").select("whole.*")
 
 
 def op7(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
