@@ -45,6 +45,83 @@ def op5_base(text: str | None) -> tuple[int, int, int, int, int, bool]:
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(repeat), failed
 
 
+def op4(docs: list[tuple], hashes: dict[str, int], per_label: int = 800) -> list[tuple]:
+    """TF-IDF over hashed n-grams, FTRL-proximal one row at a time and a temperature, written over dicts and lists."""
+    import numpy as np
+
+    mult, dims, mask = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), 1 << 16, (1 << 32) - 1
+
+    def grams(text: str) -> Counter:
+        found: Counter = Counter()
+        codes = [ord(c) for c in text.lower()]
+        for n in (1, 2, 3):
+            for i in range(len(codes) - n + 1):
+                h = n
+                for j in range(n):
+                    h = (h ^ codes[i + j]) * mult[j] & mask
+                    h ^= h >> 15
+                found[h % dims] += 1
+        return found
+
+    held = lambda i: crc32(("" if i is None else str(i)).encode()) % 5 == 0
+    train = [(t, lang) for i, t, lang in docs if not held(i) and t is not None and lang is not None]
+    df = Counter(g for t, _ in train for g in grams(t))
+    n_docs = sum(1 for t, _ in train if grams(t))
+    idf = lambda g: math.log((1 + n_docs) / (1 + df[g])) + 1
+
+    def vector(text: str) -> dict[int, float]:
+        x = {g: (1 + math.log(c)) * idf(g) for g, c in sorted(grams(text).items())}
+        norm = math.sqrt(sum(v * v for v in x.values())) or 1.0
+        return {g: v / norm for g, v in x.items()}
+
+    labels = sorted({lang for t, lang in train if any(map(str.isalpha, t))})
+    sample = []
+    for lang in labels:
+        sample += sorted({(lang, hashes[t], t) for t, x in train if x == lang and any(map(str.isalpha, t))})[:per_label]
+    fitted = [i for i in range(len(sample)) if (i + 1) % 4]
+    z, n = ({k: Counter() for k in range(len(labels))} for _ in range(2))
+    alpha, beta, l1, l2 = 2.0, 1.0, 0.02, 0.05
+
+    def weight(k: int, g: int) -> float:
+        s = z[k][g]
+        return 0.0 if abs(s) <= l1 else (math.copysign(l1, s) - s) / ((beta + math.sqrt(n[k][g])) / alpha + l2)
+
+    def logits(x: dict[int, float]) -> list[float]:
+        return [sum(v * weight(k, g) for g, v in x.items()) + weight(k, dims) for k in range(len(labels))]
+
+    def softmax(s: list[float]) -> list[float]:
+        e = [math.exp(v - max(s)) for v in s]
+        return [v / sum(e) for v in e]
+
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for i in order.permutation(len(fitted)):
+            lang, _, text = sample[fitted[i]]
+            x = vector(text)
+            p = softmax(logits(x))
+            for k in range(len(labels)):
+                miss = p[k] - (labels[k] == lang)
+                for g, v in [*x.items(), (dims, 1.0)]:
+                    d, w = miss * v, weight(k, g)
+                    z[k][g] += d - (math.sqrt(n[k][g] + d * d) - math.sqrt(n[k][g])) / alpha * w
+                    n[k][g] += d * d
+    rest = [(logits(vector(t)), labels.index(lang)) for i, (lang, _, t) in enumerate(sample) if not (i + 1) % 4]
+    loss = lambda t: sum(-math.log(max(1e-300, softmax([v / t for v in s])[y])) for s, y in rest)
+    lo, hi, r = math.log(0.05), math.log(20.0), (5**0.5 - 1) / 2
+    for _ in range(60 if rest else 0):  # golden section
+        a, b = hi - r * (hi - lo), lo + r * (hi - lo)
+        lo, hi = (lo, b) if loss(math.exp(a)) < loss(math.exp(b)) else (a, hi)
+    temperature = math.exp((lo + hi) / 2) if rest else 1.0
+    out = []
+    for i, t, _ in docs:
+        if not labels or not t or not any(map(str.isalpha, t)):
+            out.append((i, held(i), "und", 0.0))
+            continue
+        p = softmax([v / temperature for v in logits(vector(t))])
+        out.append((i, held(i), labels[p.index(max(p))], max(p)))
+    return out
+
+
 def shingle_set(text: str | None, k: int) -> frozenset:
     words = WORD.findall((text or "").translate(LOWER))
     if len(words) < k:

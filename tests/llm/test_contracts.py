@@ -123,6 +123,8 @@ def test_op7(odd, spark, odd_docs, no_docs, words, monkeypatch):
     assert kept.columns == odd_docs.columns and kept.count() == sum(not w[5] for w in want)
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 12)
     assert by_id(decontam.op7(odd_docs, benchmark), *cols) == want
+    kept = decontam.clean(odd_docs, benchmark)
+    assert kept.columns == odd_docs.columns and kept.count() == sum(not w[5] for w in want)
 
 
 PERSONAL = [
@@ -265,8 +267,32 @@ def test_op4(spark, odd_docs, no_docs):
     found = {(r.doc_id, r.lang_pred, r.score) for r in langid.op4(odd_docs).collect()}
     assert {(0, "und", 0.0), (1, "und", 0.0), (2, "und", 0.0)} <= found and len({f[1] for f in found}) <= 3
     assert langid.op4(no_docs).count() == 0
-    assert {r.lang_pred for r in langid.op4(odd_docs.withColumn("lang", odd_docs["lang"].substr(9, 9)).where("false")).collect()} == set()
+    unlabelled = odd_docs.selectExpr("doc_id", "text", "cast(null as string) AS lang")
+    assert {(r.lang_pred, r.score) for r in langid.op4(unlabelled).collect()} == {("und", 0.0)}
+
+
+def test_op4_is_the_plain_model(spark):
+    """Against a plain version of the whole method, with repeated ids, copies and ties of labels."""
+    import random
 
+    rng = random.Random(4)
+    letters = {"xx": "abcde", "yy": "abcvw", "zz": "vwxyz"}
+    rows = [(i // 2, " ".join("".join(rng.choice(letters[lang]) for _ in range(4)) for _ in range(9)), lang) for i in range(160) for lang in [rng.choice(sorted(letters))]]
+    rows += [(1, "same text here", "xx"), (1, "same text here", "yy"), (3, None, "xx"), (6, "123", "xx"), (None, "abc abd", None)] + [rows[5]] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = sorted((repr(r.doc_id), r.held_out, r.lang_pred, round(r.score, 6)) for r in langid.op4(docs).collect())
+    hashes = {r.text: r.h for r in docs.where("text is not null").selectExpr("text", f"pmod(xxhash64(text), {langid.HASHES}) AS h").distinct().collect()}
+    assert got == sorted((repr(i), h, p, round(s, 6)) for i, h, p, s in brute.op4(rows, hashes))
+    model = langid.fit(docs, langid.id_bucket("doc_id", 5) != 0, per_label=10)
+    assert model.labels == ["xx", "yy", "zz"]
+
+
+def test_op4_bound_holds_for_copies(spark):
+    rows = [(7, "one and the same", "xx")] * 60 + [(i, f"text {i} of it", "yy") for i in range(500)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("lang", f"pmod(xxhash64(text), {langid.HASHES}) AS h")
+    cuts = langid.hash_cuts(train, 10)
+    kept = {x: train.where(f"lang = '{x}' and h <= {cuts[x]}").distinct().count() for x in ("xx", "yy")}
+    assert kept == {"xx": 1, "yy": 10}
 
 def test_op10(odd_docs, no_docs, odd):
     rows = packing.lengths(odd_docs)

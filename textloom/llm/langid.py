@@ -5,11 +5,13 @@ zeroes weights, the L2 part shrinks them) and its confidences are calibrated by
 weights have not seen.
 
 Scale: document frequencies come from every labelled training document (one vector of ``DIMS`` counts per task,
-summed in a shuffle). The weights are fitted on at most ``per_label`` rows a label, a documented bound; what the
-driver holds is bounded by that and by ``DIMS``. Scoring is one map over the whole texts, without a shuffle.
+summed in a shuffle). The weights are fitted on at most ``per_label`` distinct texts a label, a documented bound, found
+by a cut of the texts' hashes, so no label's rows meet in a task; what the driver holds is bounded by that, by ``DIMS``
+and by the number of labels. Scoring is one map over the whole texts, without a shuffle.
 
 Defined results: text that is null or has no letter gives ``und`` and score 0; with no labelled training row every
-text gives ``und``; rows repeat as often as in the input; extra columns are ignored.
+text gives ``und``; of labels that score alike the first in order wins; rows repeat as often as in the input, and rows
+that share an id are scored each by its text; texts of any length are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, id_bucket
@@ -28,6 +30,8 @@ from .common import arrow_map, id_bucket
 DIMS = 1 << 16
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
+#: Hashes of texts lie below this.
+HASHES = 1 << 53
 _MULT = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
@@ -151,28 +155,46 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df[:DIMS], int(df[DIMS])
 
 
+def hash_cuts(train: DataFrame, per_label: int) -> dict[str, int]:
+    """For each label the hash up to which it has ``per_label`` distinct texts, or all.
+
+    train: lang, h. Labels are counted first; then only hashes that are low enough to matter are looked at.
+    """
+    distinct = train.distinct()
+    enough = per_label + 5 * int(per_label**0.5) + 10
+    labels = {r.lang: min(1.0, enough / r.n) for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not labels:
+        return {}
+    low = F.element_at(F.create_map(*(F.lit(x) for lang, share in labels.items() for x in (lang, int(share * HASHES)))), F.col("lang"))
+    found: dict[str, list[int]] = {lang: [] for lang in labels}
+    for lang, h in train.where(F.col("h") <= low).distinct().collect():
+        found[lang].append(h)
+    return {lang: sorted(hs)[:per_label][-1] for lang, hs in found.items() if hs}
+
+
 def fit(docs: DataFrame, trainable: Column, *, per_label: int = 800, calibrate_every: int = 4) -> LanguageModel:
     """Learn from the rows of ``docs`` (doc_id, text, lang) where ``trainable`` holds.
 
-    per_label: the bound of fitted rows a label, taken in the order of a hash of the id; every ``calibrate_every``-th
+    per_label: the bound of fitted texts a label, taken in the order of a hash of the text; every ``calibrate_every``-th
     of them only sets the temperature.
     """
-    train = docs.where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    train = docs.where(trainable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     df, n_docs = document_frequencies(train)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = train.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_label)
-    # per_label rows a label bound the broadcast
-    sample = train.join(F.broadcast(ids.select("doc_id", "rank").distinct()), "doc_id").select("doc_id", "lang", "rank", "text")
+    train = train.select("lang", F.pmod(F.xxhash64("text"), F.lit(HASHES)).alias("h"), "text")
+    cuts = hash_cuts(train.where(F.col("text").rlike(r"\p{L}")).select("lang", "h"), per_label)
+    cut = F.element_at(F.create_map(*(F.lit(x) for item in cuts.items() for x in item)), F.col("lang")) if cuts else F.lit(None).cast("long")
+    # per_label texts a label bound the sample; copies meet again and count once
+    sample = train.where(F.col("h") <= cut).dropDuplicates(["lang", "h"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for doc_id, lang, rank, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for lang, h, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if has_letter(text):
                     at, counts = gram_counts(text)
-                    yield {"doc_id": [doc_id], "lang": [lang], "rank": [rank], "at": [at], "counts": [counts]}
+                    yield {"lang": [lang], "h": [h], "at": [at], "counts": [counts]}
 
-    rows = arrow_map(sample, features, "doc_id long, lang string, rank int, at array<int>, counts array<int>").toArrow()
-    rows = rows.sort_by([("lang", "ascending"), ("rank", "ascending"), ("doc_id", "ascending")])
+    rows = arrow_map(sample, features, "lang string, h long, at array<int>, counts array<int>").toArrow()
+    rows = rows.sort_by([("lang", "ascending"), ("h", "ascending")])
     names = rows.column("lang").to_pylist()
     labels = sorted(set(names))
     idf = np.log((1 + n_docs) / (1 + df)) + 1
@@ -182,7 +204,7 @@ def fit(docs: DataFrame, trainable: Column, *, per_label: int = 800, calibrate_e
     y = np.array([labels.index(x) for x in names])
     at = [np.asarray(x.values) for x in rows.column("at")]
     xs = [(a, model.vector(a, np.asarray(c.values))) for a, c in zip(at, rows.column("counts"), strict=True)]
-    held = np.array([r % calibrate_every == 0 for r in rows.column("rank").to_pylist()])
+    held = np.array([(i + 1) % calibrate_every == 0 for i in range(len(names))])
     if held.all() or not held.any():
         held[:] = False
     use = np.flatnonzero(~held)
