@@ -17,6 +17,18 @@ def sha(x: str | bytes) -> str:
     return hashlib.sha256(x.encode() if isinstance(x, str) else x).hexdigest()
 
 
+def op1_levels(calls: list[tuple]) -> dict:
+    """(conv_id, call_id): the longest chain of calls (conv_id, call_id, name, arguments, position, after) before it."""
+    known = {(c[0], c[1]): [(c[0], x) for x in c[5] or ()] for c in calls}
+    level: dict = {}
+    for _ in known:  # as many rounds as there are calls settle whatever can be settled
+        for call, after in known.items():
+            waits = [level.get(x) for x in after if x in known]
+            if call not in level and None not in waits:
+                level[call] = max((w + 1 for w in waits), default=0)
+    return {call: level.get(call) for call in known}
+
+
 def op3(docs: list[tuple[int, str | None]], size: int = 200) -> list[tuple]:
     texts = [(t or "").encode() for _, t in docs]
     seen = Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))

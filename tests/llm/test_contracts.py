@@ -398,6 +398,14 @@ def test_forest_on_held_out_findings(spark):
 SCHEMAS = {"add": {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "integer", "minimum": 1, "maximum": 9}, "b": {"type": "string", "enum": ["x", "y"], "pattern": "^.$"}}}}
 
 
+def test_op1_enum_and_items(spark):
+    schema = {"t": {"type": "object", "properties": {"on": {"enum": [True, 2, "x"]}, "l": {"type": "array", "items": {"type": "integer", "maximum": 3}}}}}
+    texts = ['{"on": true}', '{"on": false}', '{"on": 2, "l": [1, 3]}', '{"l": [1, 4]}', '{"l": ["a"]}', '{"l": []}', '{"on": "x"}']
+    calls = calls_of(spark, [(1, str(i), "t", t, i, None) for i, t in enumerate(texts)])
+    got = {r.call_id: r.errors for r in chat.link(calls, spark.createDataFrame([], "conv_id long, call_id string, content string, position long"), schema).collect()}
+    assert [got[str(i)] for i in range(7)] == [[], ["$.on: enum"], [], ["$.l: items"], ["$.l: items"], [], []]
+
+
 def calls_of(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, call_id string, name string, arguments string, position long, after array<string>")
 
@@ -421,7 +429,24 @@ def test_op1_links_and_validates(spark):
 def test_op1_orders_by_dependency(spark):
     rows = [(1, "a", "t", "{}", 0, ["c"]), (1, "b", "t", "{}", 1, ["a"]), (1, "c", "t", "{}", 2, []), (2, "x", "t", "{}", 0, ["y"]), (2, "y", "t", "{}", 1, ["x"]), (2, "z", "t", "{}", 2, []), (3, "m", "t", "{}", 0, []), (3, "n", "t", "{}", 1, ["m"])]
     got = {(r.conv_id, r.call_id): r.level for r in chat.levels(calls_of(spark, rows)).collect()}
-    assert got == {(1, "c"): 0, (1, "a"): 1, (1, "b"): 2, (2, "z"): 0, (2, "x"): None, (2, "y"): None, (3, "m"): 0, (3, "n"): 0}
+    assert got == {(1, "c"): 0, (1, "a"): 1, (1, "b"): 2, (2, "z"): 0, (2, "x"): None, (2, "y"): None, (3, "m"): 0, (3, "n"): 1}
+
+
+@pytest.mark.parametrize("several", [False, True])
+def test_op1_levels_of_random_calls(spark, several):
+    """Against a plain search: chains, cycles, calls nobody made, calls that wait for themselves, null lists."""
+    import random
+
+    rng = random.Random(several)
+    rows = []
+    for conv in range(12):
+        n = rng.randrange(1, 14)
+        for i in range(n):
+            after = [f"c{rng.randrange(n + 2)}" for _ in range(rng.randrange(4 if several else 2))] if rng.random() < 0.8 else None
+            rows.append((conv, f"c{i}", "t", "{}", rng.randrange(5), after))
+    rows += [(99, f"c{i}", "t", "{}", 200 - i, [f"c{i - 1}"]) for i in range(200)]
+    got = {(r.conv_id, r.call_id): r.level for r in chat.levels(calls_of(spark, rows)).collect()}
+    assert got == brute.op1_levels(rows) and got[99, "c199"] == 199
 
 
 def test_op1_conversations(spark):
@@ -432,4 +457,9 @@ def test_op1_conversations(spark):
     got = {(r.conv_id, r.call_id): (r.status, r.valid) for r in chat.op1(turns).collect()}
     assert got[1, "1:1"] == ("linked", True) and got[1, "1:0"] == ("no_result", True) and got[2, "2:-1"] == ("orphan", False)
     assert got[3, "3:0"] == ("no_result", False) and got[5, "5:0"] == ("no_result", False) and (None, None) in got and (4, None) in got
+    long = spark.createDataFrame([(1, t, "user", "q " * (t % 9)) for t in range(64)] + [(2, 0, "user", "an overly-long-single-word-here")], "conv_id long, turn long, role string, text string")
+    got = {r.call_id: r for r in chat.op1(long).collect()}
+    made, _ = chat.conversation_calls(long)
+    assert {(r.conv_id, r.call_id): r.level for r in got.values()} == brute.op1_levels([tuple(r) for r in made.collect()])
+    assert got["1:0"].level > 0 and got["2:0"].errors == "$.prompt: pattern"
     assert chat.op1(turns.limit(0)).count() == 0

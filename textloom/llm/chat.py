@@ -1,27 +1,30 @@
 """Chat formatting: tool calls linked with their results, ordered, validated and serialised as canonical JSON.
 
-Calls and results are joined by (conversation, call id). Calls are ordered so that each follows the calls it depends
-on; where a conversation's own order does that already, it stands, and only the others are peeled level by level.
-Arguments are validated against JSON schemas that are compiled to expressions. Canonical JSON has sorted keys at every
-depth, no blanks, and no null members at the top.
+Calls and results are joined by (conversation, call id). A call's level is the length of the longest chain of calls that
+it depends on; calls in the order of (level, position, id) follow all that they depend on. Chains of calls with one
+dependency are followed by pointer doubling, in as many rounds as the logarithm of their length; only calls with several
+dependencies are peeled, a round for each such call on a path. Arguments are validated against JSON schemas that are
+compiled to expressions. Canonical JSON has sorted keys at every depth, no blanks, and no null members at the top.
 
 Scale: everything is DataFrame expressions; the join's key holds the call id, so a conversation with a third of all
 turns is dealt out like any other. No conversation is gathered in one task.
 
 Defined results: a call without a result has status ``no_result``, a result without a call ``orphan``; of results
-(calls) with one id the first by position counts, of those with one position the least by content; arguments that aren't JSON are invalid and serialised as a string;
-calls in or behind a cycle of dependencies have no level; rows with a null conversation or id can't be linked and
-keep their own row; null text is an empty argument or result; extra columns are ignored.
+(calls) with one id the first by position counts, of those with one position the least by content; a dependency on a
+call that nobody made is none; arguments that aren't JSON are invalid and serialised as a string; calls in or behind a
+cycle of dependencies have no level, as have orphans; rows with a null conversation or id can't be linked and keep their
+own row without a level; null text is an empty argument or result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import release, stage, staged_so_far
 
 CALLS = ("conv_id", "call_id", "name", "arguments", "position", "after")
 RESULTS = ("conv_id", "call_id", "content", "position")
@@ -45,7 +48,7 @@ def schema_errors(value: Column, schema: dict[str, Any], path: str = "$") -> lis
     number = F.try_variant_get(value, path, "double")
     checks = {
         "minimum": lambda x: number < x, "maximum": lambda x: number > x, "minLength": lambda x: F.length(text) < x, "maxLength": lambda x: F.length(text) > x,
-        "pattern": lambda x: ~text.rlike(x), "enum": lambda x: ~text.isin([str(v) for v in x]),
+        "pattern": lambda x: ~text.rlike(x), "enum": lambda x: ~text.isin([v if isinstance(v, str) else json.dumps(v) for v in x]),
     }
     for rule, fails in checks.items():
         if rule in schema:
@@ -54,6 +57,9 @@ def schema_errors(value: Column, schema: dict[str, Any], path: str = "$") -> lis
         out.append(F.when(there & here(f"{path}.{name}").isNull(), f"{path}.{name}: missing"))
     for name, inner in schema.get("properties", {}).items():
         out += schema_errors(value, inner, f"{path}.{name}")
+    if "items" in schema:
+        wrong = lambda x: F.coalesce(*schema_errors(x, schema["items"]), F.lit(None).cast("string")).isNotNull()
+        out.append(F.when(F.exists(F.try_variant_get(value, path, "array<variant>"), wrong), f"{path}: items"))
     if schema.get("additionalProperties", True) is False:
         known = F.array(*(F.lit(k) for k in schema.get("properties", {})))
         keys = F.json_object_keys(F.to_json(here(path)))
@@ -67,27 +73,42 @@ def canonical(text: Column) -> Column:
     return F.coalesce(F.to_json(F.try_parse_json(text)), F.substring(as_string, F.lit(6), F.length(as_string) - 6))
 
 
+ID = ["conv_id", "call_id"]
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level: 0 throughout where the given order follows the dependencies, else the length of the
-    longest chain before a call; null in or behind a cycle."""
-    edges = calls.select("conv_id", "call_id", "position", F.explode("after").alias("before"))
-    known = calls.select("conv_id", F.col("call_id").alias("before"), F.col("position").alias("earlier"))
-    edges = edges.join(known, ["conv_id", "before"])  # what a call depends on but nobody made is no dependency
-    wrong = stage(edges.where("earlier >= position").select("conv_id").distinct(), "unordered")
-    flat = calls.select("conv_id", "call_id", F.lit(0).alias("level"))
-    if wrong.isEmpty():
-        return flat
-    edges = stage(edges.join(wrong, "conv_id", "left_semi").select("conv_id", "call_id", "before"), "edges")
-    left = stage(calls.join(wrong, "conv_id", "left_semi").select("conv_id", "call_id"), "waiting")
-    done, level, waiting = flat.join(wrong, "conv_id", "left_anti"), 0, left.count()
-    while waiting:
-        blocked = edges.join(left.withColumnRenamed("call_id", "before"), ["conv_id", "before"], "left_semi").select("conv_id", "call_id").distinct()
-        still = stage(left.join(blocked, ["conv_id", "call_id"], "left_semi"), "waiting")
-        done = done.union(left.join(blocked, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)))
-        left, before, waiting, level = still, waiting, still.count(), level + 1
-        if waiting == before:
-            return done.union(left.withColumn("level", F.lit(None).cast("int")))
-    return done
+    """conv_id, call_id and level of every call: the length of the longest chain before it, null in or behind a cycle."""
+    edges = calls.select(*ID, F.explode(F.array_distinct("after")).alias("before"))
+    edges = stage(edges.join(calls.select("conv_id", F.col("call_id").alias("before")), ["conv_id", "before"], "left_semi").select(*ID, "before"), "edges")
+    needs = edges.groupBy(*ID).agg(F.count("*").alias("n"), F.min("before").alias("to"))
+    mark = staged_so_far()
+    jump, round_, moving, most = stage(needs.where("n = 1").select(*ID, "to", F.lit(1).cast("long").alias("d")), "jumps"), 0, 1, 1
+    while moving and round_ <= most:  # a cycle never comes to rest
+        on = jump.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("d").alias("more"))
+        found = jump.join(on, ["conv_id", "to"], "left")
+        jump = stage(found.select(*ID, F.coalesce("next", "to").alias("to"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"), F.col("next").isNotNull().alias("moved")), "jumps")
+        release(mark, jump)
+        n, moving = jump.agg(F.count("*"), F.count_if("moved")).first()
+        most, round_, jump = max(1, n).bit_length(), round_ + 1, jump.where("NOT moved" if not moving or round_ > most else "true")
+    # what every call leads to without a choice: a first call or one with several dependencies, and how far it is
+    rest = calls.select(*ID).join(needs.where("n = 1"), ID, "left_anti").select(*ID, F.col("call_id").alias("to"), F.lit(0).cast("long").alias("d"))
+    leads = jump.select(*ID, "to", "d").unionByName(rest)
+    known = rest.join(needs, ID, "left_anti").select(*ID, F.lit(0).cast("long").alias("level"))
+    several = needs.where("n > 1").select(*ID)
+    if not several.isEmpty():
+        end = leads.select("conv_id", F.col("call_id").alias("before"), F.col("to").alias("end"), "d")
+        paths = stage(edges.join(several, ID, "left_semi").join(end, ["conv_id", "before"], "left").select(*ID, "end", (F.col("d") + 1).alias("d")), "paths")
+        known = stage(known, "known")
+        while True:
+            done = known.select("conv_id", F.col("call_id").alias("end"), "level")
+            met = paths.join(done, ["conv_id", "end"], "left").groupBy(*ID).agg(F.count_if(F.col("level").isNull()).alias("open"), F.max(F.col("level") + F.col("d")).alias("level"))
+            more = stage(met.where("open = 0").select(*ID, "level").join(known, ID, "left_anti"), "known")
+            if more.isEmpty():
+                break
+            known = stage(known.unionByName(more), "known")
+    ends = known.select("conv_id", F.col("call_id").alias("to"), "level")
+    placed = leads.join(ends, ["conv_id", "to"], "left").select(*ID, (F.col("level") + F.col("d")).alias("level"))
+    return calls.select(*ID).join(placed, ID, "left")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -95,7 +116,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     least = lambda *cols: F.min(F.struct(F.col(cols[-1]).isNull().alias("_none"), cols[-1], *cols[:-1]))
     first = lambda df, *cols: df.groupBy("conv_id", "call_id").agg(least(*cols).alias("x")).select("conv_id", "call_id", "x.*").drop("_none")
     can = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
-    made = first(calls.where(can), "name", "arguments", "after", "position")
+    made = stage(first(calls.where(can), "name", "arguments", "after", "position"), "calls")
     got = first(results.where(can).withColumnRenamed("position", "answered"), "content", "answered")
     both = made.join(got.hint("shuffle_hash"), ["conv_id", "call_id"], "full").join(levels(made), ["conv_id", "call_id"], "left")
     alone = calls.where(~can).select(*CALLS).unionByName(results.where(~can).select("conv_id", "call_id", "content", F.col("position").alias("answered")), allowMissingColumns=True)
@@ -116,7 +137,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
 CONVERSATION_TOOLS = {
     "reply": {
         "type": "object", "required": ["prompt", "turn"], "additionalProperties": False,
-        "properties": {"prompt": {"type": "string", "minLength": 1, "maxLength": 2000}, "turn": {"type": "integer", "minimum": 0}},
+        "properties": {"prompt": {"type": "string", "minLength": 1, "maxLength": 500, "pattern": r"(?s)^(?!.*\S{21})"}, "turn": {"type": "integer", "minimum": 0}},
     },
     "set_context": {"type": "object", "required": ["prompt"], "properties": {"prompt": {"type": "string"}, "turn": {"type": "integer", "maximum": 0}}},
 }
@@ -125,16 +146,17 @@ CONVERSATION_TOOLS = {
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results that a plain conversation stands for.
 
-    A user turn calls ``reply``, a system turn ``set_context``; the id is conversation:turn, and a call depends on the
-    turn two before. An assistant turn is the result of the turn before it.
+    A user turn calls ``reply``, a system turn ``set_context``; the id is conversation:turn. An assistant turn is the result of the turn before it. Every second call waits for one that is
+    made after it: of four turns, the call of the first two waits for the one two turns on, the other for the one six
+    turns back, if there is such a call.
     """
     ident = lambda back: F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
     ident_or_null = lambda back: F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), ident(back))
     text = F.coalesce("text", F.lit(""))
+    back = F.when(F.pmod("turn", F.lit(4)) < 2, -2).otherwise(6)
     calls = turns.where(F.col("role").isNull() | (F.col("role") != "assistant")).select(
         "conv_id", ident_or_null(0).alias("call_id"), F.when(F.col("role") == "system", "set_context").otherwise("reply").alias("name"),
-        F.to_json(F.struct("turn", text.alias("prompt"))).alias("arguments"), F.col("turn").alias("position"),
-        F.when(F.col("turn") >= 2, F.array(ident(2))).otherwise(F.array().cast("array<string>")).alias("after"),
+        F.to_json(F.struct("turn", text.alias("prompt"))).alias("arguments"), F.col("turn").alias("position"), F.array_compact(F.array(ident_or_null(back))).alias("after"),
     )
     results = turns.where("role = 'assistant'").select("conv_id", ident_or_null(1).alias("call_id"), text.alias("content"), F.col("turn").alias("position"))
     return calls, results
