@@ -26,6 +26,45 @@ def test_op3_splits_large_collections(odd, odd_docs, monkeypatch):
     assert by_id(suffixes.op3(odd_docs), *cols) == sorted(brute.op3(odd), key=repr)
 
 
+@pytest.mark.parametrize("places", [1 << 17, 7])
+def test_op3_construction_through_files(monkeypatch, places):
+    """Marked windows against a plain count, with blocks and stripes of any size; pieces of several anchors."""
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(suffixes, "PLACES", places)
+    monkeypatch.setattr(suffixes, "STRIPE", 3 if places < 10 else 4096)
+    rng = random.Random(places)
+    base = bytes(rng.choice(b"abc") for _ in range(400))
+    pieces, anchors = [], []
+    for i in range(40):
+        a = rng.randrange(0, 60)
+        text = bytearray(base[100 - a : 100 - a + 200 + rng.randrange(0, 90)])
+        if i % 3 == 0:
+            text[rng.randrange(len(text))] = 120
+        if (bytes(text), a) not in zip(pieces, anchors, strict=True):
+            pieces.append(bytes(text))
+            anchors.append(a)
+    seen = {}
+    for p, a in zip(pieces, anchors, strict=True):
+        for w in range(len(p) - 199):
+            seen.setdefault((a - w, p[w : w + 200]), []).append(1)
+    want = [[len(seen[a - w, p[w : w + 200]]) > 1 for w in range(len(p) - 199)] for p, a in zip(pieces, anchors, strict=True)]
+    assert [m.tolist() for m in suffixes.repeated_windows(np.array(anchors), pieces)] == want
+
+
+def test_op3_runs_and_periods(spark):
+    """Runs of one byte and short periods are few rows, whatever their length."""
+    rows = [(1, "a" * 300_000), (2, "x" + "ab" * 3000 + "y"), (3, "abc" * 700), (4, "q" * 199), (5, "é" * 150), (6, "b" * 201 + "c" * 201)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert by_id(suffixes.op3(docs), *cols) == sorted(brute.op3([(i, t[:3000] if i == 1 else t) for i, t in rows])[1:] + [(1, 300_000, 300_000, 1, brute.sha(""))], key=repr)
+    texts = docs.selectExpr("doc_id AS k", "0L AS th", "cast(text AS binary) AS text")
+    found = suffixes.members(texts, suffixes.bitmap_of(suffixes.anchor_counts(texts).select("hash")))
+    assert found.where("piece is null").count() < 60
+
+
 def test_op3_kept_bytes(odd_docs):
     for r in suffixes.dedup(odd_docs).collect():
         assert brute.sha(bytes(r.kept)) == r.kept_sha256 and len(r.kept) + r.n_removed == r.n_bytes

@@ -6,11 +6,14 @@ equal strings meet:
 1. Every window of SIZE bytes has an anchor, the least of its 32-byte grams by hash (leftmost on ties). Equal windows
    have equal anchors, so only anchors whose hash occurs twice can matter; the others drop out after one count.
 2. Neighbouring windows with one anchor make a piece. Equal pieces are collapsed in each task, and again where they
-   meet, so a group of exact copies costs one piece a task.
-3. The pieces of one anchor hash form a collection, aligned at the anchor. Its suffix order is built from the right:
-   each round inserts one symbol a piece, read from the next column of a sequential external file, re-sorts the
-   collection by it (stable, so the order of the suffixes behind it is kept: the step of the Burrows-Wheeler transform)
-   and updates the common prefixes of neighbours. Where a common prefix reaches SIZE, both windows are repeats.
+   meet, so a group of exact copies costs one piece a task; equal pieces at even distances (a run of one byte, any
+   period) are one row of places.
+3. The pieces that share their anchor hash with another form a collection, aligned at the anchors. Its suffix order is
+   built from the right: each round inserts one symbol a piece, read from the next column of an external file, deals the
+   collection out by it (stably, so the order of the suffixes behind it is kept: the step of the Burrows-Wheeler
+   transform) and updates the common prefixes of neighbours. Columns, order and common prefixes are files that are read
+   and written in sequence, a block at a time. Where a common prefix reaches SIZE, both windows are repeats; equal
+   windows have equal anchors, so collections of several anchors can be built as one.
 4. Repeats go back to the documents as byte ranges, which are united and cut out.
 
 Scale: a count of (hash, n), pre-aggregated in each task; a bitmap of fixed size, broadcast, that keeps the pieces of
@@ -19,7 +22,7 @@ with their ranges. A collection of over ``LARGEST`` distinct pieces (a common pa
 split: its windows become collections of their own, keyed by their content, so no task holds an unbounded group.
 
 Defined results: null text is empty; texts under SIZE bytes are kept whole; rows that repeat, ids included, are copies
-of each other, and each gives a row; extra columns are ignored.
+of each other, and each gives a row; texts of any length are read whole, in parts that overlap; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +52,9 @@ LARGEST = 100_000
 AT_ONCE = 200_000
 #: Pieces whose collections are built together.
 TOGETHER = 20_000
+#: Pieces whose columns are laid out at once, and places of the order that are handled at once.
+STRIPE, PLACES = 4096, 1 << 17
+_PLACE = np.dtype([("id", "<i4"), ("lcp", "<i2")])
 _TABLE = np.random.default_rng(5).integers(0, 2**64, 256, dtype=np.uint64)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -147,14 +154,15 @@ def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap.view(np.uint64)[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
-MEMBER = "pid binary, k long, th long, at long, hash long, anchor int, piece binary, n long"
+MEMBER = "pid binary, k long, th long, at long, step int, times int, hash long, anchor int, piece binary, n long"
 
 
 def members(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """Every piece that may have a repeat, in two sorts of rows.
 
-    Places (pid, k, th, at): the piece's identity, owner and place. Pieces (pid, hash, anchor, piece, n): each piece once
-    a task, with its anchor's hash, the anchor's place in it, its bytes, and how often the task saw it.
+    Places (pid, k, th, at, step, times): the piece's identity, owner and places (at, at + step, ..., so many). Pieces
+    (pid, hash, anchor, piece, n): each piece once a task, with its anchor's hash, the anchor's place in it, its bytes,
+    and how often the task saw it.
     """
     sent = texts.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -167,18 +175,25 @@ def members(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
             owner = np.searchsorted(ends, first, side="right")
             begins = ends - np.diff(ends, prepend=0)
             raw = buf.tobytes()
-            pids = []
-            for a, b, anchor, h in zip(first.tolist(), last.tolist(), (at - first).tolist(), signed.tolist(), strict=True):
-                piece = raw[a : b + SIZE]
-                pids.append(pid := xxhash.xxh3_128_digest(piece, anchor))
-                if known := seen.get(pid):
+            pids: list[bytes] = []
+            new = np.ones(len(first), bool)  # another piece than the one before
+            piece, known = b"", []
+            for i, (a, b, anchor, h) in enumerate(zip(first.tolist(), last.tolist(), (at - first).tolist(), signed.tolist(), strict=True)):
+                before, piece = piece, raw[a : b + SIZE]
+                if piece == before and known[1] == anchor:
                     known[3] += 1
-                else:
-                    seen[pid] = [h, anchor, piece, 1]
-            n = len(pids)
+                    new[i] = False
+                    pids.append(pids[-1])
+                    continue
+                pids.append(pid := xxhash.xxh3_128_digest(piece, anchor))
+                known = seen.setdefault(pid, [h, anchor, piece, 0])
+                known[3] += 1
+            at = first - begins[owner] + offsets[owner]
+            heads, steps, times = progressions(new, owner, at)
+            n = len(heads)
             yield {
-                "pid": pids, "k": [keys[i][0] for i in owner], "th": [keys[i][1] for i in owner], "at": first - begins[owner] + offsets[owner],
-                "hash": [None] * n, "anchor": [None] * n, "piece": [None] * n, "n": [None] * n,
+                "pid": [pids[i] for i in heads], "k": [keys[i][0] for i in owner[heads]], "th": [keys[i][1] for i in owner[heads]], "at": at[heads],
+                "step": steps, "times": times, "hash": [None] * n, "anchor": [None] * n, "piece": [None] * n, "n": [None] * n,
             }
             if len(seen) > AT_ONCE:
                 yield _pieces(seen)
@@ -188,10 +203,24 @@ def members(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
     return arrow_map(texts.select("k", "th", "text"), run, MEMBER)
 
 
+def progressions(new: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First index, step and length of runs of equal pieces of one owner at even distances."""
+    n = len(at)
+    step = np.diff(at, prepend=0)
+    same = ~new
+    same[1:] &= owner[1:] == owner[:-1]
+    same[:1] = False
+    uneven = np.zeros(n, bool)
+    uneven[2:] = same[2:] & same[1:-1] & (step[2:] != step[1:-1])
+    heads = np.flatnonzero(~same | uneven)
+    times = np.diff(np.append(heads, n))
+    return heads, np.where(times > 1, step[np.minimum(heads + 1, max(n - 1, 0))], 0) if n else step, times
+
+
 def _pieces(seen: dict[bytes, list]) -> dict:
     h, anchor, piece, n = ([x[i] for x in seen.values()] for i in range(4))
     none = [None] * len(seen)
-    return {"pid": list(seen), "k": none, "th": none, "at": none, "hash": h, "anchor": anchor, "piece": piece, "n": n}
+    return {"pid": list(seen), "k": none, "th": none, "at": none, "step": none, "times": none, "hash": h, "anchor": anchor, "piece": piece, "n": n}
 
 
 def window_repeats(pieces: DataFrame) -> DataFrame:
@@ -214,62 +243,134 @@ def window_repeats(pieces: DataFrame) -> DataFrame:
     return found.select("pid", F.flatten(F.transform("begins", lambda b: F.array(b, b + SIZE))).alias("ranges"))
 
 
-def repeated_windows(group: np.ndarray, anchor: np.ndarray, pieces: list[bytes]) -> list[np.ndarray]:
-    """For each piece, which of its windows occur in another piece of its group (groups are numbered from 0, ascending).
+class Columns:
+    """The symbols of pieces that are aligned at their anchors, column by column from the right, in a file.
 
-    The collection is aligned at the anchors; columns are handled from the right.
+    The file is made a stripe of pieces at a time and holds a stripe's columns one after the other.
     """
+
+    def __init__(self, file: BinaryIO, pieces: list[bytes], right: np.ndarray, width: int) -> None:
+        """right: how many columns lie to the right of each piece."""
+        self.file, self.n = file, len(pieces)
+        self.stripes = []
+        for begin in range(0, self.n, STRIPE):
+            part = pieces[begin : begin + STRIPE]
+            grid = np.zeros((width, len(part)), np.uint8)
+            for i, p in enumerate(part):
+                grid[right[begin + i] : right[begin + i] + len(p), i] = np.frombuffer(p, np.uint8)[::-1]
+            self.stripes.append((file.tell(), len(part)))
+            file.write(grid.tobytes())
+
+    def __getitem__(self, column: int) -> np.ndarray:
+        out = []
+        for start, size in self.stripes:
+            self.file.seek(start + column * size)
+            out.append(self.file.read(size))
+        return np.frombuffer(b"".join(out), np.uint8)
+
+
+class SuffixOrder:
+    """The collection's suffixes at a column, in order: places (piece id, common prefix with the place before) in a file."""
+
+    def __init__(self, anchor: np.ndarray, now: BinaryIO, next_: BinaryIO) -> None:
+        self.anchor, self.now, self.next, self.count = anchor, now, next_, 0
+
+    def places(self, joining: np.ndarray, c: int) -> Iterator[np.ndarray]:
+        """The pieces that end here, which come first, and the places of those that still reach column ``c``.
+
+        A common prefix spans the places that are left out before it.
+        """
+        new = np.zeros(len(joining), _PLACE)
+        new["id"] = joining
+        self.now.seek(0)
+        least = SIZE
+        for begin in range(0, max(1, self.count), PLACES):
+            block = np.frombuffer(self.now.read(min(PLACES, self.count - begin) * _PLACE.itemsize), _PLACE).copy()
+            if begin == 0:
+                block["lcp"][:1] = 0
+                block = np.concatenate([new, block])
+            keep = np.flatnonzero(-self.anchor[block["id"]] <= c)
+            if len(keep) < len(block) or least < SIZE:
+                low = np.minimum.reduceat(np.append(block["lcp"], np.int16(SIZE)), np.append(0, keep + 1))
+                low[0] = min(low[0], least)
+                least = int(low[-1])
+                block = block[keep]
+                block["lcp"] = low[:-1]
+            if len(block):
+                yield block
+
+    def insert(self, symbols: np.ndarray, joining: np.ndarray, c: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """One round: the places are dealt stably by their pieces' symbols in column ``c``, a symbol's part after the other.
+
+        Where neighbours now share SIZE symbols, their ids are given. Between two places of one symbol the common prefix
+        is the least of those passed over, and one more.
+        """
+        parts = None
+        if self.count + len(joining) > PLACES:  # several blocks: the parts are counted first
+            count = sum((np.bincount(symbols[b["id"]], minlength=256) for b in self.places(joining, c)), np.zeros(256, np.int64))
+            parts = np.cumsum(count) - count
+        gap = np.full(256, -1, np.int16)  # least common prefix since the symbol's last place; -1: none yet
+        last = np.full(256, -1, np.int32)
+        total = 0
+        self.next.seek(0)
+        for block in self.places(joining, c):
+            lcp, sym = block["lcp"], symbols[block["id"]]
+            by = np.argsort(sym, kind="stable")
+            key = sym[by]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            stop = np.append(first[1:], len(by)) - 1
+            found = np.zeros(len(by), np.int16)
+            a, b = by[:-1], by[1:]
+            same = key[1:] == key[:-1]
+            near = same & (b == a + 1)
+            found[1:][near] = lcp[b[near]] + 1
+            far = np.flatnonzero(same & ~near)
+            if len(far):
+                spans = np.empty(2 * len(far), np.int64)
+                spans[::2], spans[1::2] = a[far] + 1, b[far] + 1
+                found[1:][far] = np.minimum.reduceat(np.append(lcp, np.int16(0)), spans)[::2] + 1
+            ahead = np.minimum.accumulate(lcp)
+            start = key[first]
+            found[first] = np.where(gap[start] >= 0, np.minimum(gap[start], ahead[by[first]]) + 1, 0)
+            np.minimum(found, SIZE, out=found)
+            dealt = np.empty(len(by), _PLACE)
+            ids = block["id"][by]
+            dealt["id"], dealt["lcp"] = ids, found
+            full = np.flatnonzero(found >= SIZE)
+            if len(full):
+                before = np.empty_like(ids)
+                before[1:] = ids[:-1]
+                before[first] = last[start]
+                yield ids[full], before[full]
+            behind = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.int16(SIZE))
+            gap[gap >= 0] = np.minimum(gap[gap >= 0], ahead[-1])
+            gap[start], last[start] = behind[by[stop] + 1], ids[stop]
+            total += len(by)
+            if parts is None:
+                self.next.write(dealt.tobytes())
+                continue
+            for f, t in zip(first.tolist(), stop.tolist(), strict=True):
+                self.next.seek(int(parts[key[f]]) * _PLACE.itemsize)
+                self.next.write(dealt[f : t + 1].tobytes())
+                parts[key[f]] += t + 1 - f
+        self.now, self.next, self.count = self.next, self.now, total
+
+
+def repeated_windows(anchor: np.ndarray, pieces: list[bytes]) -> list[np.ndarray]:
+    """For each piece, which of its windows occur in another piece at the same place from the anchor."""
     n = len(pieces)
     length = np.array([len(p) for p in pieces])
     end = length - anchor  # columns are counted from the anchor: a piece lies in [-anchor, end)
     right, left = int(end.max()), -int(anchor.max())
     marks = np.zeros((n, int(length.max()) - SIZE + 1), bool)
-    with tempfile.TemporaryFile() as file:  # column by column, read in order
-        grid = np.zeros((right - left, n), np.uint8)
-        for i, p in enumerate(pieces):
-            grid[right - end[i] : right - end[i] + len(p), i] = np.frombuffer(p, np.uint8)[::-1]
-        grid.tofile(file)
-        del grid
-        file.seek(0)
-        joins = np.argsort(-end, kind="stable")
-        join_at = -end[joins]
-        order, common = np.zeros(0, np.int64), np.zeros(0, np.int16)
+    joins = np.argsort(-end, kind="stable").astype(np.int32)
+    join_at = -end[joins]
+    with tempfile.TemporaryFile() as file, tempfile.TemporaryFile() as one, tempfile.TemporaryFile() as two:
+        columns, order = Columns(file, pieces, right - end, right - left), SuffixOrder(anchor, one, two)
         for c in range(right - 1, left - 1, -1):
-            symbols = np.frombuffer(file.read(n), np.uint8)
-            alive = -anchor[order] <= c
-            if not alive.all():
-                keep = np.flatnonzero(alive)
-                if len(keep):
-                    common = np.minimum.reduceat(common[: keep[-1] + 1], np.append(0, keep[:-1] + 1))
-                else:
-                    common = common[:0]
-                order = order[keep]
-            new = joins[np.searchsorted(join_at, -c - 1) : np.searchsorted(join_at, -c - 1, side="right")]
-            if len(new):
-                order = np.concatenate([new, order])
-                common = np.concatenate([np.zeros(len(new), np.int16), common])
-                if len(common) > len(new):
-                    common[len(new)] = 0
-            if not len(order):
-                continue
-            key = (group[order] << 8) | symbols[order]
-            by = np.argsort(key, kind="stable")
-            key = key[by]
-            a, b = by[:-1], by[1:]
-            same = key[1:] == key[:-1]
-            least = np.zeros(len(by), np.int16)
-            near = same & (b == a + 1)
-            least[1:][near] = common[b[near]]
-            far = np.flatnonzero(same & (b > a + 1) & (a >= len(new)))
-            if len(far):
-                pairs = np.empty(2 * len(far), np.int64)
-                pairs[::2], pairs[1::2] = a[far] + 1, b[far] + 1
-                least[1:][far] = np.minimum.reduceat(np.append(common, np.int16(0)), pairs)[::2]
-            order, common = order[by], least
-            common[1:] = np.where(same, np.minimum(least[1:] + 1, SIZE), 0)
-            full = np.flatnonzero(common >= SIZE)
-            if len(full):
-                for side in (order[full], order[full - 1]):
+            joining = joins[np.searchsorted(join_at, -c - 1) : np.searchsorted(join_at, -c - 1, side="right")]
+            for ids, before in order.insert(columns[right - 1 - c], joining, c):
+                for side in (ids, before):
                     marks[side, c + anchor[side]] = True
     return [marks[i, : length[i] - SIZE + 1] for i in range(n)]
 
@@ -294,15 +395,14 @@ def repeats(pieces: DataFrame) -> DataFrame:
         group = np.cumsum([0] + [a[0] != b[0] for a, b in zip(rows, rows[1:], strict=False)])
         size = np.bincount(group)
         alone = size[group] == 1
-        for row, single in zip(rows, alone, strict=True):
+        for row in rows:
             if row[4] > 1:
                 out["pid"].append(row[1])
                 out["ranges"].append([0, len(row[3])])
-        several = [(g, row) for g, row, single in zip(group.tolist(), rows, alone, strict=True) if not single]
+        several = [row for row, single in zip(rows, alone, strict=True) if not single]
         if several:
-            g = np.unique(np.array([x for x, _ in several]), return_inverse=True)[1]
-            found = repeated_windows(g.astype(np.int64), np.array([r[2] for _, r in several]), [r[3] for _, r in several])
-            for (_, row), mask in zip(several, found, strict=True):
+            found = repeated_windows(np.array([r[2] for r in several]), [r[3] for r in several])
+            for row, mask in zip(several, found, strict=True):
                 if row[4] == 1 and mask.any():
                     out["pid"].append(row[1])
                     out["ranges"].append(runs(mask))
@@ -349,14 +449,17 @@ def dedup(docs: DataFrame) -> DataFrame:
         repeated = repeats(pieces)
     else:
         repeated = repeats(pieces.join(large, "hash", "left_anti")).unionByName(window_repeats(pieces.join(large, "hash", "left_semi")))
-    back = found.where("piece is null").select("pid", "k", "th", "at").join(repeated, "pid")
-    spans = back.groupBy("k", "th").agg(F.collect_set(F.struct("at", "ranges")).alias("found"))
+    back = found.where("piece is null").select("pid", "k", "th", "at", "step", "times").join(repeated, "pid")
+    # places in a row overlap, as a piece is longer than any step: from the first one's begin to the last one's end
+    far = (F.col("times") - 1) * F.col("step")
+    reach = F.transform("ranges", lambda x, i: F.col("at") + x + F.when(i % 2 == 1, far).otherwise(0))
+    spans = back.groupBy("k", "th").agg(F.collect_set(reach).alias("found"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             out = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept")}
             for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                gone = cover([(s["at"] + a, s["at"] + b) for s in spans or () for a, b in zip(s["ranges"][::2], s["ranges"][1::2], strict=True)])
+                gone = cover([x for s in spans or () for x in zip(s[::2], s[1::2], strict=True)])
                 kept, begin = [], 0
                 for a, b in gone:
                     kept.append(text[begin:a])
