@@ -12,10 +12,11 @@ of each (their prefixes).
    filtered by size, by the overlap that the positions in the prefixes still allow, and by how many prefix shingles
    similar sets of their sizes must share. Groups are expanded to their
    members for verification, which intersects the whole sets.
-3. Near copies in thousands would give pairs in millions, so the pairs of a prefix shingle are first tried against its
-   least set only ("star"), verified, and united into classes; that is done ``STARS`` times, each time with the least
-   set of every class. Then every pair of groups that share a prefix shingle *and are not yet in one class* is verified.
-   No link between different classes can be missed: any pair left out is in one class already.
+3. Near copies in thousands would give pairs in millions, so the pairs of a prefix shingle are first tried against one
+   of its sets only ("star"), verified, and united into classes. The first star's centre is the set of least id, later
+   ones are drawn by a hash of the class; there are two rounds at least, and more, up to ``STARS``, while the pairs that
+   are left outnumber the prefix entries. Then every pair of groups that share a prefix shingle *and are not yet in one
+   class* is verified. No link between different classes can be missed: any pair left out is in one class already.
 
 Scale: one row a prefix shingle is shuffled (a tenth of the shingles at 0.9), each set travels once a verification
 round, joins on hot keys are split by adaptive execution, and classes are found by alternating star contractions over
@@ -42,7 +43,8 @@ from .common import SPACES, arrow_map, most_frequent, release, stage, staged_so_
 RARITY = 1 << 17
 #: A task keeps the shingles seen this often among COUNTED shingles.
 COUNTED, SEEN = 1_000_000, 3
-STARS = 2
+#: Rounds of stars at most; more or fewer rounds change the work, not the classes.
+STARS = 6
 #: Candidates whose keys may be broadcast to fetch their texts; beyond it they are joined.
 FEW = 1 << 20
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -183,7 +185,7 @@ def distinct_sets(rows: DataFrame) -> DataFrame:
     alike = rows.where(F.col("digest").isNotNull()).groupBy("digest", "n_shingles", "grp", "doc_id", "k", "th").agg(F.count("*").alias("copies"))
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "th", "copies")).alias("rep")
     sets = alike.groupBy("digest", "n_shingles", "grp").agg(rep)
-    return stage(sets.withColumn("rid", F.monotonically_increasing_id()), "distinct-sets")
+    return stage(sets.orderBy("rep").withColumn("rid", F.monotonically_increasing_id()), "distinct-sets")  # numbered in the order of least ids
 
 
 def contract(links: DataFrame) -> DataFrame:
@@ -245,16 +247,23 @@ def classes(rows: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent:
     whole = members.where("gid = rid").select("gid", "n", "k", "th")
     members = members.drop("k", "th")
     lists = rows.where(F.col("digest").isNotNull()).select("k", "th", "prefix").join(whole, ["k", "th"]).select("gid", "n", "prefix").dropDuplicates(["gid"])
-    entries = lists.select("gid", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    shared = entries.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1").select("shingle")
-    index = stage(entries.join(shared, "shingle"), "prefix-index")
+    every = lists.select("gid", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    shared = every.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1").select("shingle")
+    index = stage(every.join(shared, "shingle"), "prefix-index")
     several = members.where("size > 1")
 
     links = spark.createDataFrame([], "a long, b long")
     roots = spark.createDataFrame([], "node long, root long")
-    for _ in range(STARS):
+    entries = index.count()
+    for star in range(STARS):
         own = index.join(roots.withColumnRenamed("node", "gid"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
-        ends = own.groupBy("shingle").agg(F.min(F.struct("root", "gid", "n", "pos")).alias("lo"), F.max(F.struct("root", "gid", "n", "pos")).alias("hi")).where("lo.root != hi.root")
+        if star > 1:
+            by_class = own.groupBy("shingle", "root").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("inside"))
+            left = by_class.agg(F.sum((F.col("c").cast("double") * F.col("c") - F.col("inside")) / 2)).first()[0] or 0
+            if left <= entries:
+                break
+        place = F.struct((F.xxhash64("root", F.lit(star)) if star else F.col("root")).alias("by"), "root", "gid", "n", "pos")
+        ends = own.groupBy("shingle").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo.root != hi.root")
         met = own.join(ends, "shingle").withColumn("to", F.when(F.col("root") == F.col("lo")["root"], F.col("hi")).otherwise(F.col("lo")))
         # a pair that shares but few of the prefix shingles it would have to is left for later
         shared_by = met.groupBy("gid", "n", F.col("to")["gid"].alias("to"), F.col("to")["n"].alias("m")).agg(F.count("*").alias("c"))
