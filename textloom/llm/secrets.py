@@ -1,7 +1,7 @@
 """Secret scans: candidate strings, and a random forest that removes false positives.
 
-Candidates are runs of token characters with at least two digits, key formats of fixed prefix, and values of six or more
-characters other than blanks and quotes behind a cue or an assignment, in quotes or not. Each gets its length, character transitions, distinct characters, dictionary coverage, the path of its
+Candidates are whole private key blocks, runs of token characters with at least two digits, key formats of fixed prefix,
+and values of six or more characters other than blanks and quotes behind a cue or an assignment, in quotes or not. Each gets its length, character transitions, distinct characters, dictionary coverage, the path of its
 document, and the neighbouring words. The forest is trained on the driver from labelled findings (a bounded table; the
 default one is generated by rule) and emitted as conditional expressions.
 
@@ -31,15 +31,17 @@ _LEAD = rf"(?:[=:]>?\s{{0,3}}|(?i:{_CUES})[A-Za-z0-9_]{{0,12}}\s{{1,2}}(?:is\s{{
 #: Where a value may start: not at a cue's own name before its assignment, nor at what follows a scheme.
 _START = rf"(?![=:>\\]|//|(?i:bearer|basic)\s|[\w.-]{{0,20}}(?i:{_CUES})[\w.-]{{0,20}}\\?[\"'`]?\s{{0,3}}[=:])"
 _PART = r"[^\s\"'`&;,]+"
-#: A candidate: a value in quotes or bare, behind a cue or an assignment; a whole run with two digits; a key of known form.
+_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+#: A candidate: a key block; a value in quotes or bare, behind a cue or an assignment; a whole run with two digits; a key of known form.
 CANDIDATE = (
-    rf"(?<=[\"'`])(?<={_LEAD}\\?[\"'`])[^\s\"'`]{{5,}}[^\s\"'`\\](?=\\?[\"'`])"
+    rf"{_BLOCK}"
+    rf"|(?<=[\"'`])(?<={_LEAD}\\?[\"'`])[^\s\"'`]{{5,}}[^\s\"'`\\](?=\\?[\"'`])"
     rf"|(?<=[\s=:>\"'`])(?<={_LEAD}\\?[\"'`]?){_START}(?=[^\s\"'`]{{6}}){_PART}(?:[&;,](?![\w.-]{{1,40}}[=:]){_PART}){{0,30}}(?<![.:)\]}}>\\])"
     rf"|(?<!{_TOKEN})(?={_NO_DIGIT}*+[0-9]{_NO_DIGIT}*+[0-9]){_TOKEN}{{10,}}={{0,2}}"
     r"|(?:AKIA|ASIA)[A-Z0-9]{16}"
 )
 #: What a text must have to be split at all.
-_MAYBE = rf"[0-9][A-Za-z+/_.~-]*+[0-9]|AKIA|ASIA|[=:]>?\s{{0,3}}\\?[\"'`]?[^\s\"'`]{{6}}|(?i:{_CUES})"
+_MAYBE = rf"-----BEGIN |[0-9][A-Za-z+/_.~-]*+[0-9]|AKIA|ASIA|[=:]>?\s{{0,3}}\\?[\"'`]?[^\s\"'`]{{6}}|(?i:{_CUES})"
 _BENIGN = r"(?i)(?:commit|sha1|sha256|md5|checksum|digest|hash|uuid|guid|version|build|isbn|issue|ticket|invoice|order|serial|phone|tel|file|image|path)"
 #: Words that real secrets seldom hold (fixed values, in alphabetical order).
 DICTIONARY = (
@@ -79,7 +81,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
         "distinct_share": F.size(F.array_distinct(F.split(value, ""))) / F.length(value),
         "hex": _flag(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
         "digits_only": _flag(value.rlike("^[0-9.-]+$")),
-        "known_prefix": _flag(value.rlike("^(?:AKIA|ASIA|gh[pousr]_|xox[abp]-|sk-|AIza|eyJ)")),
+        "known_prefix": _flag(value.rlike("^(?:AKIA|ASIA|gh[pousr]_|xox[abp]-|sk-|AIza|eyJ|-----BEGIN )")),
         "coverage": _share(F.lower(value), words),
         "slashes": _share(value, "/"),
         "dots": _share(value, r"\."),
@@ -188,6 +190,7 @@ def labelled_findings(n: int = 1200, seed: int = 9) -> list[tuple[str, str, bool
         lambda: f"{key()} is {short()}", lambda: f"{key()}: {short()}" + rng.choice(("", ",", ".")), lambda: f"{key()}={value()}", lambda: f'{key()} = "{value()}"', lambda: f"{key()}: {value()}", lambda: f"{key()}='{value()}'", lambda: f"{key()} {value()}",
         lambda: rng.choice(("AKIA", "ASIA")) + some(upper, 16, 16), lambda: "ghp_" + some(alnum, 34, 38), lambda: "sk-" + some(alnum, 24, 48), lambda: "AIza" + some(alnum, 33, 35),
         lambda: "xoxb-" + num(10, 12) + "-" + some(alnum, 20, 28), lambda: "Authorization: Bearer " + value(), lambda: "eyJ" + some(alnum, 20, 30) + "." + some(alnum, 20, 60) + "." + some(alnum, 20, 40),
+        lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(some(base64, 60, 64) for _ in range(rng.randint(2, 6))) + "\n-----END RSA PRIVATE KEY-----",
     )
     clean = (
         lambda: f"{name()}: {plain()}", lambda: f'{name()}="{plain()}"', lambda: f'{name()} = "{plain()} {plain()}"', lambda: f"{key()} {plain()} {prose()}", lambda: f"{key()} is {plain()}", lambda: f"{key()}: {plain()}",
@@ -223,7 +226,7 @@ def scored(docs: DataFrame, forest: list[Node]) -> DataFrame:
     return candidates(docs).withColumn("_scores", F.transform("_features", lambda f: forest_column(forest, f))).drop("_features")
 
 
-#: Candidates whose positions are added up together.
+#: Candidates whose lengths are added up together, and sums of them that are again.
 _STEP = 64
 
 
@@ -231,11 +234,13 @@ def findings(docs: DataFrame, forest: list[Node], threshold: float = 0.5) -> Dat
     """One row a candidate: doc_id, start and end (code points), length, score, is_secret, value_sha256."""
     d = scored(docs.select(*(c for c in ("doc_id", "text", "source") if c in docs.columns)), forest).where("_values is not null")
     add = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
-    steps = F.sequence(F.lit(0), F.floor((F.size("_values") - 1) / _STEP).cast("int"))
+    down = lambda i, by: F.floor(i / by).cast("int")
+    steps = lambda c: F.transform(F.sequence(F.lit(0), down(F.size(c) - 1, _STEP)), lambda b: add(F.slice(c, b * _STEP + 1, F.lit(_STEP))))
     d = d.select("doc_id", "_values", "_scores", "_pieces", F.transform("_values", lambda v, i: F.length(v) + F.length(F.get("_pieces", i))).alias("_long"))
-    d = d.withColumn("_sums", F.transform(steps, lambda b: add(F.slice("_long", b * _STEP + 1, F.lit(_STEP)))))
-    step = lambda i: F.floor(i / _STEP).cast("int")
-    begin = lambda i: add(F.slice("_sums", F.lit(1), step(i))) + add(F.slice("_long", step(i) * _STEP + 1, i % _STEP)) + F.length(F.get("_pieces", i))
+    d = d.withColumn("_sums", steps("_long"))
+    d = d.withColumn("_sums2", steps("_sums"))
+    inside = lambda c, n: add(F.slice(c, down(n, _STEP) * _STEP + 1, n % _STEP))
+    begin = lambda i: add(F.slice("_sums2", F.lit(1), down(i, _STEP * _STEP))) + inside("_sums", down(i, _STEP)) + inside("_long", i) + F.length(F.get("_pieces", i))
     found = F.transform("_values", lambda v, i: F.struct(v.alias("value"), begin(i).alias("start"), F.get("_scores", i).alias("score")))
     d = d.select("doc_id", F.explode(found).alias("f"))
     n = F.length("f.value")
