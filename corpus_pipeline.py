@@ -1,8 +1,9 @@
 """From raw documents to packed training sequences: five stages, each one operator of ``textloom.llm``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and reread as the next one's
-documents. All but the last keep the columns of ``documents``. Empty tables give empty results; extra columns are kept
-up to the last stage.
+documents. All but the last keep the columns of ``documents``. Empty tables give empty results; rows are documents of
+their own even where ids are null or repeat; texts of any length are read whole; extra columns are kept up to the last
+stage.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontam, jaccard, langid, packing, secrets
-from textloom.llm.common import id_bucket, stage
+from textloom.llm.common import id_bucket, release, stage, staged_so_far
 from textloom.sources.tables import table
 
 #: Calibrated confidence below which a document's language is held to be unknown.
@@ -59,7 +60,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), staged_so_far()
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name)
+        release(mark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
