@@ -13,9 +13,9 @@ of each (their prefixes).
    similar sets of their sizes must share. Groups are expanded to their
    members for verification, which intersects the whole sets.
 3. Near copies in thousands would give pairs in millions, so the pairs of a prefix shingle are first tried against one
-   of its sets only ("star"), verified, and united into classes. The first star's centre is the set of least id, later
-   ones are drawn by a hash of the class; there are two rounds at least, and more, up to ``STARS``, while the pairs that
-   are left outnumber the prefix entries. Then every pair of groups that share a prefix shingle *and are not yet in one
+   of its sets only ("star"), verified, and united into classes. The centre is the set of least id in the first two
+   rounds; more rounds with centres drawn by a hash of the class, up to ``STARS``, follow only while the pairs that are
+   left are over ``LEFT`` times the prefix entries. Then every pair of groups that share a prefix shingle *and are not yet in one
    class* is verified. No link between different classes can be missed: any pair left out is in one class already.
 
 Scale: one row a prefix shingle is shuffled (a tenth of the shingles at 0.9), each set travels once a verification
@@ -44,7 +44,7 @@ RARITY = 1 << 17
 #: A task keeps the shingles seen this often among COUNTED shingles.
 COUNTED, SEEN = 1_000_000, 3
 #: Rounds of stars at most; more or fewer rounds change the work, not the classes.
-STARS = 6
+STARS, LEFT = 6, 64
 #: Candidates whose keys may be broadcast to fetch their texts; beyond it they are joined.
 FEW = 1 << 20
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -260,9 +260,9 @@ def classes(rows: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent:
         if star > 1:
             by_class = own.groupBy("shingle", "root").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("inside"))
             left = by_class.agg(F.sum((F.col("c").cast("double") * F.col("c") - F.col("inside")) / 2)).first()[0] or 0
-            if left <= entries:
+            if left <= LEFT * entries:
                 break
-        place = F.struct((F.xxhash64("root", F.lit(star)) if star else F.col("root")).alias("by"), "root", "gid", "n", "pos")
+        place = F.struct((F.xxhash64("root", F.lit(star)) if star > 1 else F.col("root")).alias("by"), "root", "gid", "n", "pos")
         ends = own.groupBy("shingle").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo.root != hi.root")
         met = own.join(ends, "shingle").withColumn("to", F.when(F.col("root") == F.col("lo")["root"], F.col("hi")).otherwise(F.col("lo")))
         # a pair that shares but few of the prefix shingles it would have to is left for later
