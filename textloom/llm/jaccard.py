@@ -185,7 +185,7 @@ def distinct_sets(rows: DataFrame) -> DataFrame:
     alike = rows.where(F.col("digest").isNotNull()).groupBy("digest", "n_shingles", "grp", "doc_id", "k", "th").agg(F.count("*").alias("copies"))
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "th", "copies")).alias("rep")
     sets = alike.groupBy("digest", "n_shingles", "grp").agg(rep)
-    return stage(sets.orderBy("rep").withColumn("rid", F.monotonically_increasing_id()), "distinct-sets")  # numbered in the order of least ids
+    return stage(sets.withColumn("rid", F.monotonically_increasing_id()), "distinct-sets")
 
 
 def contract(links: DataFrame) -> DataFrame:
@@ -213,6 +213,7 @@ def contract(links: DataFrame) -> DataFrame:
 def linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: both whole texts are brought to the pair and their sets intersected."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(sets, "rid").select("rid", "rep.k", "rep.th", "rep.copies")
+    wanted = stage(wanted, "wanted")
     n, copies = wanted.agg(F.count("*"), F.max("copies")).first()
     wanted = wanted.drop("copies")
     there = texts.join(F.broadcast(wanted) if n <= FEW else wanted, ["k", "th"]).select("rid", "text")
@@ -243,45 +244,36 @@ def classes(rows: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent:
     """node, root: for each set that is linked with another, the least set of its class."""
     spark = rows.sparkSession
     groups = sets.groupBy("grp").agg(F.min("rid").alias("gid"), F.max("n_shingles").alias("n"), F.count("*").alias("size"))
-    members = stage(sets.join(groups, "grp").select("gid", "rid", "n", "size", "rep.k", "rep.th"), "groups")
-    whole = members.where("gid = rid").select("gid", "n", "k", "th")
-    members = members.drop("k", "th")
-    lists = rows.where(F.col("digest").isNotNull()).select("k", "th", "prefix").join(whole, ["k", "th"]).select("gid", "n", "prefix").dropDuplicates(["gid"])
-    every = lists.select("gid", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    members = stage(sets.join(groups, "grp").select("gid", "rid", "n", "size", "rep.doc_id", "rep.k", "rep.th"), "groups")
+    whole = members.where("gid = rid").select("gid", "n", "k", "th", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("least"))
+    members = members.select("gid", "rid", "n", "size")
+    lists = rows.where(F.col("digest").isNotNull()).select("k", "th", "prefix").join(whole, ["k", "th"]).select("gid", "n", "least", "prefix").dropDuplicates(["gid"])
+    every = lists.select("gid", "n", "least", F.posexplode("prefix").alias("pos", "shingle"))
     shared = every.groupBy("shingle").agg(F.count("*").alias("times")).where("times > 1").select("shingle")
     index = stage(every.join(shared, "shingle"), "prefix-index")
-    several = members.where("size > 1")
-
-    links = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "node long, root long")
     entries = index.count()
-    for star in range(STARS):
-        own = index.join(roots.withColumnRenamed("node", "gid"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
-        if star > 1:
-            by_class = own.groupBy("shingle", "root").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("inside"))
-            left = by_class.agg(F.sum((F.col("c").cast("double") * F.col("c") - F.col("inside")) / 2)).first()[0] or 0
-            if left <= LEFT * entries:
-                break
-        place = F.struct((F.xxhash64("root", F.lit(star)) if star > 1 else F.col("root")).alias("by"), "root", "gid", "n", "pos")
-        ends = own.groupBy("shingle").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo.root != hi.root")
-        met = own.join(ends, "shingle").withColumn("to", F.when(F.col("root") == F.col("lo")["root"], F.col("hi")).otherwise(F.col("lo")))
-        # a pair that shares but few of the prefix shingles it would have to is left for later
-        shared_by = met.groupBy("gid", "n", F.col("to")["gid"].alias("to"), F.col("to")["n"].alias("m")).agg(F.count("*").alias("c"))
-        shared_by = shared_by.where(_sizes_fit(F.col("n"), F.col("m"), percent) & (2 * F.col("c") >= _least_shared(F.col("n"), F.col("m"), percent)))
-        best = shared_by.groupBy("gid").agg(F.max_by("to", F.struct("c", -F.col("to"))).alias("to"))
-        pairs = best.select(F.least("gid", "to").alias("a"), F.greatest("gid", "to").alias("b"))
-        inside = several.where("gid != rid").select(F.col("gid").alias("a"), F.col("rid").alias("b"))
-        pairs = stage(pairs.union(inside).distinct(), "pairs")
+
+    inside = members.where("size > 1 AND gid != rid").select(F.col("gid").alias("a"), F.col("rid").alias("b"))
+    links, roots, star = spark.createDataFrame([], "a long, b long"), None, 0
+    while True:
+        pairs = star_pairs(index, roots, star, percent)
+        pairs = stage((pairs if star else pairs.union(inside)).distinct(), "pairs")
         links = stage(links.union(linked(pairs, sets, texts, k, percent)), "links")
-        roots = contract(links)
-        several = several.limit(0)
-    # what is left: pairs of groups with a common prefix shingle whose members are not all in one class
-    placed = members.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    placed = stage(placed.select("gid", "rid", "n", "size", "root"), "placed")
-    spread = placed.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    own = index.join(spread, "gid")
-    open_ = own.groupBy("shingle").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least != most").select("shingle")
-    own = stage(own.join(open_, "shingle"), "open-index")
+        roots, star = contract(links), star + 1
+        if star < 2:
+            continue
+        # what is left: pairs of groups with a common prefix shingle whose members are not all in one class
+        placed = members.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+        placed = stage(placed.select("gid", "rid", "n", "size", "root"), "placed")
+        spread = placed.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+        own = index.drop("least").join(spread, "gid")
+        open_ = own.groupBy("shingle").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least != most").select("shingle")
+        own = stage(own.join(open_, "shingle"), "open-index")
+        if star == STARS or own.count() <= entries // LEFT:
+            break
+        by_class = own.groupBy("shingle", "lo").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.sum("c").cast("double").alias("c"), F.sum(F.col("c") * F.col("c")).alias("in"))
+        if (by_class.agg(F.sum((F.col("c") * F.col("c") - F.col("in")) / 2)).first()[0] or 0) <= LEFT * entries:
+            break
     x, y = own.alias("x"), own.alias("y")
     # the first shingle that two similar sets share has all the others behind it, which bounds its place in both prefixes
     need = _least_shared(F.col("x.n"), F.col("y.n"), percent)
@@ -307,6 +299,23 @@ def classes(rows: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent:
     return contract(links.union(more))
 
 
+def star_pairs(index: DataFrame, roots: DataFrame | None, star: int, percent: int) -> DataFrame:
+    """a, b: each group with the centre of one of its shingles, of another class, with which it shares the most."""
+    if roots is None:
+        own = index.withColumn("root", F.col("gid"))
+    else:
+        own = index.join(roots.withColumnRenamed("node", "gid"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
+    place = F.struct((F.xxhash64("root", F.lit(star)) if star > 1 else F.col("least")).alias("by"), "root", "gid", "n", "pos")
+    ends = own.groupBy("shingle").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
+    met = own.join(ends, "shingle").withColumn("to", F.when(F.col("root") == F.col("lo")["root"], F.col("hi")).otherwise(F.col("lo")))
+    met = met.where(F.col("root") != F.col("to")["root"])
+    # a pair that shares but few of the prefix shingles it would have to is left for later
+    shared_by = met.groupBy("gid", "n", F.col("to")["gid"].alias("to"), F.col("to")["n"].alias("m")).agg(F.count("*").alias("c"))
+    shared_by = shared_by.where(_sizes_fit(F.col("n"), F.col("m"), percent) & (2 * F.col("c") >= _least_shared(F.col("n"), F.col("m"), percent)))
+    best = shared_by.groupBy("gid").agg(F.max_by("to", F.struct("c", -F.col("to"))).alias("to"))
+    return best.select(F.least("gid", "to").alias("a"), F.greatest("gid", "to").alias("b"))
+
+
 def _least_overlap(n, m, percent: int):  # noqa: ANN001, ANN202 (columns)
     return F.ceil(percent * (n + m) / (100 + percent))
 
