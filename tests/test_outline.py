@@ -66,9 +66,26 @@ def test_exports_docs_and_imports():
     ts = outline.outline('import {x} from "./x"\n/** Does. */\nfunction f(a: string): void {}\nexport { f }', "typescript")
     assert (ts.imports, ts.symbols[0].doc, ts.symbols[0].exported, ts.symbols[0].signature) == (["./x"], "Does.", True, "(a: string): void")
     py = outline.outline('import os\nfrom a.b import c\n@d\nasync def _f(x: int, *y) -> str:\n    """Doc.\n    more"""', "python")
-    assert py.imports == ["a", "os"]
+    assert py.imports == ["a.b", "os"]
     s = py.symbols[0]
-    assert (s.signature, s.modifiers, s.doc, s.exported) == ("(x: int, *y) -> str", ["async", "@d"], "Doc.", False)
+    assert (s.signature, s.modifiers, s.doc, s.exported) == ("(x: int, *y) -> str", ["async", "d"], "Doc.", False)
+    py = outline.outline("import os.path\nfrom . import d\nfrom ..e import f\n@a.b(1)\nclass C(B):\n    X = 1\n    y: int\n    class D: pass\n    def f(self):\n        def g(): pass\nMOST: int = 1\na = b = 2\n", "python")
+    assert py.imports == [".", "..e", "os.path"]
+    assert [(s.name, s.kind, s.signature, s.modifiers) for s in py.symbols] == [("C", "class", None, ["a.b"]), ("MOST", "constant", None, [])]
+    assert [(s.name, s.kind, s.children) for s in py.symbols[0].children] == [("D", "class", []), ("f", "function", [])]
+
+
+def test_c_scanner_reads_each_line_once():
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        text = "".join(f"int f{i}(int a);\n" for i in range(n)) + "".join(f"int g{i}(void) {{\n  if (a) {{ }}\n}}\n" for i in range(n))
+        began = time.process_time()
+        found = outline.outline(text, "c")
+        took.append(time.process_time() - began)
+        assert len(found.symbols) == 2 * n and (found.symbols[-1].start, found.symbols[-1].end) == (n + 3 * n - 2, n + 3 * n)
+    assert took[1] < 8 * took[0] + 0.5
 
 
 def test_language_by_extension(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,6 +120,14 @@ def directory(path: Column | str) -> Column:
     return F.when(F.instr(c, "/") == 0, ".").when(parent == "", "/").otherwise(parent)
 
 
+_BETWEEN = re.compile(f"[{BLANKS}]+")
+
+
+def tokens(line: str) -> frozenset[str]:
+    """The distinct tokens between blanks, as ``token_similarity`` has them; none of a blank line."""
+    return frozenset(x for x in _BETWEEN.split(line) if x)
+
+
 def token_similarity(a: Column, b: Column) -> Column:
     """Shared tokens over the larger token set; tokens are between blanks."""
     sets = [F.array_distinct(F.split(trimmed(x), BLANK_CLASS + "+")) for x in (a, b)]

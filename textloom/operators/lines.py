@@ -60,7 +60,7 @@ def parsed_anchor(ref: Column | str) -> Column:
     """A struct of line, hash and content (what follows the first bar), or null line where ``ref`` isn't LINE:HASH."""
     c = F.col(ref) if isinstance(ref, str) else ref
     bar = F.instr(c, "|")
-    head_part = T.trimmed(F.regexp_replace(F.regexp_replace(c, r"\|.*$", ""), " {2}.*$", ""))
+    head_part = T.trimmed(F.regexp_replace(F.regexp_replace(c, r"(?s)\|.*$", ""), "(?s) {2}.*$", ""))
     tight = F.regexp_replace(head_part, rf"^([^:]*?){T.BLANK_CLASS}*:{T.BLANK_CLASS}*", "$1:")
     ok = tight.rlike("^[0-9]+:[0-9a-fA-F]{2}$") & (F.try_to_number(F.split_part(tight, F.lit(":"), F.lit(1)), F.lit("9999999999")) >= 1)
     return F.struct(

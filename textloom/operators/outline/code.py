@@ -9,77 +9,93 @@ from .model import Outline, Source, Statement, Symbol, split_top, statements
 
 
 def python(text: str, name: str = "") -> Outline | None:
+    """Classes with their methods and nested classes, functions, upper-case constants and annotated names."""
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
         return None
     imports = set()
     for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
-            imports |= {a.name.split(".")[0] for a in node.names}
-        elif isinstance(node, ast.ImportFrom) and node.module:
-            imports.add(node.module.split(".")[0])
-    return Outline("Python", text.count("\n") + (not text.endswith("\n")), _python(tree.body), sorted(imports))
-
-
-def _python(body: list[ast.stmt]) -> list[Symbol]:
-    out = []
-    for node in body:
-        if isinstance(node, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
-            doc = (ast.get_docstring(node) or "").strip().split("\n")[0] or None
-            marks = [f"@{ast.unparse(d.func if isinstance(d, ast.Call) else d)}" for d in node.decorator_list]
-            exported = not node.name.startswith("_")
-            if isinstance(node, ast.ClassDef):
-                bases = f"({', '.join(map(ast.unparse, node.bases))})" if node.bases else None
-                out.append(Symbol(node.name, "class", node.lineno, node.end_lineno, bases, _python(node.body), marks, doc, exported))
-            else:
-                a = node.args
-                show = lambda x, star="": star + x.arg + (f": {ast.unparse(x.annotation)}" if x.annotation else "")
-                params = [show(x) for x in a.args] + ([show(a.vararg, "*")] if a.vararg else []) + ([show(a.kwarg, "**")] if a.kwarg else [])
-                signature = f"({', '.join(params)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
-                inner = [s for s in _python(node.body) if s.kind in ("function", "class")]
-                marks = ["async"] * isinstance(node, ast.AsyncFunctionDef) + marks
-                out.append(Symbol(node.name, "function", node.lineno, node.end_lineno, signature, inner, marks, doc, exported))
-        elif isinstance(node, ast.Assign):
-            out += [Symbol(t.id, "constant", node.lineno, node.end_lineno) for t in node.targets if isinstance(t, ast.Name) and t.id.isupper()]
-        elif isinstance(node, ast.AnnAssign) and isinstance(node.target, ast.Name):
-            out.append(Symbol(node.target.id, "variable", node.lineno, node.end_lineno, f": {ast.unparse(node.annotation)}"))
-    return out
-
-
-_C_CONTROL = {"if", "while", "for", "switch", "return"}
-
-
-def _block_end(lines: list[str], first: int) -> int:
-    """The line on which the first block from ``first`` on closes; ``first`` itself where none does."""
-    depth = 0
-    for i in range(first, len(lines)):
-        for ch in lines[i]:
-            depth += (ch == "{") - (ch == "}")
-            if ch == "}" and depth == 0:
-                return i + 1
-    return first + 1
+        match node:
+            case ast.Import(names=names):
+                imports.update(x.name for x in names)
+            case ast.ImportFrom(module=module, level=level):
+                imports.add("." * level + (module or ""))
+    symbols = [s for node in tree.body for s in _python(node)]
+    return Outline("Python", text.count("\n") + (not text.endswith("\n")), symbols, sorted(imports))
+
+
+def _python(node: ast.stmt) -> list[Symbol]:
+    """A statement's symbols. A function's inside is its own; of a class only what can be called or is a class shows."""
+    span = node.lineno, node.end_lineno
+    match node:
+        case ast.ClassDef(name=name, body=body):
+            inner = [s for x in body if isinstance(x, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef) for s in _python(x)]
+            return [Symbol(name, "class", *span, None, inner, _decorators(node), _first_line(node), name[0] != "_")]
+        case ast.FunctionDef(name=name) | ast.AsyncFunctionDef(name=name):
+            marks = ["async"] * isinstance(node, ast.AsyncFunctionDef) + _decorators(node)
+            return [Symbol(name, "function", *span, _python_signature(node), [], marks, _first_line(node), name[0] != "_")]
+        case ast.Assign(targets=targets) if all(isinstance(t, ast.Name) for t in targets):
+            return [Symbol(t.id, "constant", *span) for t in targets if t.id.isupper()]
+        case ast.AnnAssign(target=ast.Name(id=name)):
+            return [Symbol(name, "constant" if name.isupper() else "variable", *span)]
+    return []
+
+
+def _decorators(node: ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef) -> list[str]:
+    called = (d.func if isinstance(d, ast.Call) else d for d in node.decorator_list)
+    return [ast.unparse(d) for d in called if isinstance(d, ast.Name | ast.Attribute)]
+
+
+def _first_line(node: ast.AST) -> str | None:
+    return (ast.get_docstring(node) or "").partition("\n")[0].strip() or None
+
+
+def _python_signature(node: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
+    """The plain and starred parameters (keyword-only ones aren't shown) and the result."""
+    a = node.args
+    shown = [("", x) for x in a.args] + [(star, x) for star, x in (("*", a.vararg), ("**", a.kwarg)) if x]
+    typed = (star + x.arg + (f": {ast.unparse(x.annotation)}" if x.annotation else "") for star, x in shown)
+    return f"({', '.join(typed)})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
+
+
+#: Words that look like a function's name and aren't.
+C_CONTROL = ("if", "while", "for", "switch", "return")
+_C_FORMS = re.compile(
+    r"(?:typedef\s+)?(?P<what>struct|enum|union)\s+(?P<tag>\w+)?\s*\{"
+    rf"|(?P<result>\w+(?:\s*\*)?)\s+(?P<name>(?!(?:{'|'.join(C_CONTROL)})\b)\w+)\s*\((?P<given>[^)]*)\)\s*[{{;]?",
+    re.A,
+)
 
 
 def c(text: str, name: str = "") -> Outline:
-    """Definitions at brace depth 0, and macros anywhere, by line."""
-    lines = text.split("\n")
-    symbols, depth = [], 0
-    opened = [x.count("{") - x.count("}") for x in lines]
-    for i, line in enumerate(lines):
-        at, depth = depth, depth + opened[i]
-        line = line.strip()
-        if m := re.match(r"#define\s+(\w+)", line, re.A):
-            symbols.append(Symbol(m[1], "constant", i + 1, i + 1))
-            continue
-        if not line or at > 0 or line.startswith(("//", "/*")):
-            continue
-        end = _block_end(lines, i)
-        if m := re.match(r"(?:typedef\s+)?(struct|enum|union)\s+(\w+)?\s*\{", line, re.A):
-            kind, marks = ("enum", []) if m[1] == "enum" else ("class", ["union"] * (m[1] == "union"))
-            symbols.append(Symbol(m[2] or "(anonymous)", kind, i + 1, end, modifiers=marks))
-        elif (m := re.match(r"(\w+(?:\s*\*)?)\s+(\w+)\s*\(([^)]*)\)\s*[{;]?", line, re.A)) and m[2] not in _C_CONTROL:
-            symbols.append(Symbol(m[2], "function", i + 1, end, f"({m[3]}): {m[1]}", exported=not line.startswith("static")))
+    """Definitions at brace depth 0, and macros anywhere, in one pass.
+
+    Definitions wait on a stack for the brace that closes the first block from their line on, so each line is read once.
+    """
+    symbols: list[Symbol] = []
+    waiting: list[Symbol] = []  # their block has not closed; all of one depth
+    depth, net, lines = 0, 0, text.split("\n")
+    for number, line in enumerate(lines, 1):
+        bare = line.strip()
+        if m := re.match(r"#define\s+(\w+)", bare, re.A):
+            symbols.append(Symbol(m[1], "constant", number, number))
+        elif depth <= 0 and not bare.startswith(("//", "/*")) and (m := _C_FORMS.match(bare)):
+            if m["what"]:
+                made = Symbol(m["tag"] or "(anonymous)", "enum" if m["what"] == "enum" else "class", number, number, modifiers=["union"] * (m["what"] == "union"))
+            else:
+                made = Symbol(m["name"], "function", number, number, f"({m['given']}): {m['result']}", exported=not line.strip().startswith("static"))
+            symbols.append(made)
+            if not waiting:
+                net = 0
+            waiting.append(made)
+        for brace in re.findall("[{}]", line):
+            step = 1 if brace == "{" else -1
+            depth, net = depth + step, net + step
+            if brace == "}" and net == 0:
+                for s in waiting:
+                    s.end = number
+                waiting = []
     return Outline("C", len(lines), symbols)
 
 

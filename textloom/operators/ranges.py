@@ -22,5 +22,5 @@ def expanded(ranges: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFra
     Ranges meet their document once, and lines are taken from its array: no join by line, no nested loop.
     """
     d = ranges.join(docs.select(key, F.split("text", "\n", -1).alias("parts")), key)
-    d = d.select(key, "start_line", "parts", F.explode(F.sequence("start_line", "end_line")).alias("line_no"))
-    return d.select(key, "start_line", "line_no", F.coalesce(F.get("parts", F.col("line_no") - 1), F.lit("")).alias("text"))
+    line = lambda n: F.struct(n.alias("line_no"), F.coalesce(F.get("parts", n - 1), F.lit("")).alias("text"))
+    return d.select(key, "start_line", F.inline(F.transform(F.sequence("start_line", "end_line"), line)))

@@ -34,16 +34,16 @@ def grep(docs: DataFrame, pattern: str, *, key: str = "doc_id", context: int = 0
     """
     d = hits(docs, pattern, key, **how)
     around = F.flatten(F.transform("hits", lambda h: F.sequence(F.greatest(h - context, F.lit(1)), F.least(h + context, F.size("parts")))))
-    d = d.withColumn("shown", F.array_sort(F.array_distinct(around)))
+    d = d.withColumn("shown", F.array_sort(F.array_distinct(around)) if context else F.col("hits"))
     if cap:
         total = hits(docs, pattern, key, **how).agg(F.sum(F.size("hits"))).scalar()
         stop = F.get("hits", F.lit(CAP))
         d = d.withColumn("shown", F.when((total > CAP_FROM) & stop.isNotNull(), F.filter("shown", lambda n: n < stop)).otherwise(F.col("shown")))
-    test = matcher(pattern, **how)
-    d = d.select(key, "parts", "shown", F.posexplode("shown").alias("i", "line_no"))
-    line = F.get("parts", F.col("line_no") - 1)
-    gap = (F.col("i") > 0) & (F.col("line_no") > F.get("shown", F.col("i") - 1) + 1)
-    return d.select(key, "line_no", F.when(test(line), "match").otherwise("context").alias("kind"), F.coalesce(gap, F.lit(False)).alias("gap"), line.alias("text"))
+    # rows are made of single lines within the document's row, so no row carries the document
+    kind = (lambda n: F.when(F.array_contains("hits", n), "match").otherwise("context")) if context else lambda n: F.lit("match")
+    gap = lambda n, i: F.coalesce((i > 0) & (n > F.get("shown", i - 1) + 1), F.lit(False))
+    line = lambda n, i: F.struct(n.alias("line_no"), kind(n).alias("kind"), gap(n, i).alias("gap"), F.get("parts", n - 1).alias("text"))
+    return d.select(key, F.inline(F.transform("shown", line)))
 
 
 def more_matches(docs: DataFrame, pattern: str, key: str = "doc_id", **how: bool) -> DataFrame:
@@ -60,8 +60,9 @@ def summary(docs: DataFrame, pattern: str, key: str = "doc_id", **how: bool) ->
 
 def first_matches(docs: DataFrame, pattern: str, limit: int = LIMIT, key: str = "doc_id", **how: bool) -> DataFrame:
     """The first ``limit`` matches in document and line order (a top-k: each task keeps that many)."""
-    d = hits(docs, pattern, key, **how).select(key, F.explode("hits").alias("line_no"), "parts")
-    return d.select(key, "line_no", F.get("parts", F.col("line_no") - 1).alias("text")).orderBy(key, "line_no").limit(limit)
+    # of a document no more than ``limit`` can be among the first
+    line = lambda n: F.struct(n.alias("line_no"), F.get("parts", n - 1).alias("text"))
+    return hits(docs, pattern, key, **how).select(key, F.inline(F.transform(F.slice("hits", 1, limit), line))).orderBy(key, "line_no").limit(limit)
 
 
 def block(path: Column, matches: Column, body: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import islice
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,20 +13,38 @@ from ..functions import text as T
 #: Tiers in order, and how many candidates an ambiguous lookup names.
 TIERS = ("name@line", "exact", "path", "case-insensitive", "prefix", "word", "substring")
 SHOWN = 5
+#: Queries looked up in one pass.
+AT_ONCE = 500
 
 
 def matches(symbols: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
     """All hits of the deciding tier: query, key, tier, rank (in pre-order), hits, and the symbol's columns.
 
-    symbols: key, sym_id, path, name, start_line, ...; queries: query (a bounded list, checked by the caller, so it is
-    broadcast), looked up in every document. The equality tiers, prefix and substring are one pass over the symbols.
+    symbols: key, sym_id, path, name, start_line, ...; queries: query, looked up in every document. Queries are put into
+    the plan as an array, at most AT_ONCE of them for a pass over the symbols, and more passes for more; nothing is joined.
     """
     q = queries.select("query", T.trimmed("query").alias("_q")).where(F.col("_q") != "").distinct()
     q = q.select(
         "query", "_q", F.lower("_q").alias("_low"), F.split("_q", "@").alias("_at"),
         F.transform(F.split("_q", r"\."), lambda x: T.trimmed(x)).alias("_dots"),
     )
-    name, low = F.col("name"), F.lower("name")
+    rows = q.toLocalIterator()
+    passes = [_hits(symbols, part) for part in iter(lambda: list(islice(rows, AT_ONCE)), [])]
+    d = reduce(DataFrame.unionByName, passes) if passes else _hits(symbols, [])
+    per = Window.partitionBy("query", key)
+    d = d.withColumn("_best", F.min("tier").over(per)).where("tier = _best")
+    return d.withColumn("hits", F.count("*").over(per)).withColumn("rank", F.row_number().over(per.orderBy("sym_id"))).drop("_best")
+
+
+def _hits(symbols: DataFrame, asked: list) -> DataFrame:
+    """The symbols' columns with query and tier, a row for each of ``asked`` that a symbol matches in any way."""
+    each = [F.struct(*(F.lit(r[c]).alias(c) if isinstance(r[c], str) else F.array(*(F.lit(x) for x in r[c])).alias(c) for c in ("query", "_q", "_low", "_at", "_dots"))) for r in asked]
+    none = F.array().cast("array<struct<query string, _q string, _low string, _at array<string>, _dots array<string>>>")
+    low = F.lower("name")
+    # every non-null tier but the first and the path holds the query as a substring
+    may = lambda x: F.contains(low, x["_low"]) | F.contains(x["_q"], F.lit("@")) | F.contains(x["_q"], F.lit("."))
+    d = symbols.select("*", F.inline(F.filter(F.array(*each) if each else none, may)))
+    name = F.col("name")
     words = F.split(F.lower(F.regexp_replace("name", "([a-z])([A-Z])", "$1 $2")), r"[\s_]+")
     by_line = (F.size("_at") == 2) & (F.get("_at", F.lit(0)) != "") & F.get("_at", F.lit(1)).rlike("^[0-9]+$") & (name == F.get("_at", F.lit(0))) & (F.col("start_line").cast("string") == F.ltrim(F.get("_at", F.lit(1)), F.lit("0")))
     by_path = (F.size("_dots") >= 2) & ~F.array_contains("_dots", "") & (F.col("path") == F.col("_dots"))
@@ -31,13 +52,7 @@ def matches(symbols: DataFrame, queries: DataFrame, key: str = "doc_id") -> Data
         F.when(by_line, 1).when(name == F.col("_q"), 2).when(by_path, 3).when(low == F.col("_low"), 4).when(F.startswith(low, F.col("_low")), 5)
         .when(F.array_contains(words, F.col("_low")), 6).when(F.contains(low, F.col("_low")), 7)
     )
-    # every non-null tier but the first and the path holds the query as a substring, so that is the join's own test
-    may = F.contains(low, F.col("_low")) | (F.contains(F.col("_q"), F.lit("@")) & by_line) | (F.contains(F.col("_q"), F.lit(".")) & by_path)
-    d = symbols.join(F.broadcast(q), may).withColumn("tier", tier).where("tier is not null")
-    per = Window.partitionBy("query", key)
-    d = d.withColumn("_best", F.min("tier").over(per)).where("tier = _best")
-    d = d.withColumn("hits", F.count("*").over(per)).withColumn("rank", F.row_number().over(per.orderBy("sym_id")))
-    return d.drop("_q", "_low", "_at", "_dots", "_best")
+    return d.withColumn("tier", tier).where("tier is not null").drop("_q", "_low", "_at", "_dots")
 
 
 def lookup(symbols: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:

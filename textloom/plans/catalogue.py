@@ -120,8 +120,8 @@ def _keyed_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _moved_anchors(spark: SparkSession, folder: str) -> DataFrame:
-    """Anchors to every fifth line, three lines off."""
-    return _keyed_lines(spark, folder).where("line_no % 5 = 4").select("doc_id", (F.col("line_no") - 3).alias("line_no"), "mark")
+    """An anchor to every line, three lines off."""
+    return _keyed_lines(spark, folder).select("doc_id", (F.col("line_no") + 3).alias("line_no"), "mark")
 
 
 def anchor_verify(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,14 +135,15 @@ def anchor_relocate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def anchor_parse(spark: SparkSession, folder: str) -> DataFrame:
-    refs = table(spark, folder, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(" : a"), (F.col("doc_id") % 10).cast("string"), F.lit("|"), F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(20))).alias("ref"))
+    refs = table(spark, folder, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(" : a"), (F.col("doc_id") % 10).cast("string"), F.lit("|"), F.replace("text", F.lit("\n"), F.lit(" "))).alias("ref"))
     return refs.select("doc_id", lines.parsed_anchor("ref").alias("a")).select("doc_id", F.coalesce("a.line", F.lit(0)).alias("line"), "a.hash", "a.content")
 
 
 def similar_lines_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines most like each line, itself among them."""
     d = documents(spark, folder)
-    first = d.select("doc_id", F.lit(3).alias("line_no"), F.get(T.line_array("text"), F.lit(0)).alias("content"))
-    return anchors.similar(first.where(T.trimmed("content") != ""), d).select("doc_id", "found_line", F.round("score", 6).alias("score"), "rank")
+    every = lines.lines(d).select("doc_id", "line_no", F.col("text").alias("content"))
+    return anchors.similar(every.where(T.trimmed("content") != ""), d).select("doc_id", "line_no", "found_line", F.round("score", 6).alias("score"), "rank")
 
 
 def duplicate_canonical_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -220,8 +221,8 @@ def session_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def json_props_schema(spark: SparkSession, folder: str) -> DataFrame:
     """Keys and value types of the events' JSON."""
-    d = table(spark, folder, "events").select("event_type", "props", F.explode(F.json_object_keys("props")).alias("key"))
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("props"), F.lit("$.k"), "variant"))
+    d = table(spark, folder, "events").select("event_type", F.explode(F.from_json("props", "map<string, variant>")).alias("key", "value"))
+    kind = F.schema_of_variant("value")
     named = F.when(kind.rlike("BIGINT|DECIMAL|DOUBLE"), "number").otherwise(F.lower(kind))
     return d.groupBy("event_type", "key", named.alias("type")).agg(F.count("*").alias("n"))
 

@@ -29,7 +29,7 @@ def _squeezed(c: str) -> str:
 
 
 _K = _L + f", k AS (SELECT doc_id, line_no, md5({_squeezed('text')}) AS mark FROM l)"
-_A = _K + ", a AS (SELECT doc_id, line_no - 3 AS line_no, mark FROM k WHERE line_no % 5 = 4)"
+_A = _K + ", a AS (SELECT doc_id, line_no + 3 AS line_no, mark FROM k)"
 
 
 def _shown(test: str, context: int, more: str = "") -> str:
@@ -147,12 +147,12 @@ FROM a LEFT JOIN k ON a.doc_id = k.doc_id AND a.line_no = k.line_no""",
   FROM a LEFT JOIN k ON a.doc_id = k.doc_id AND a.mark = k.mark AND abs(a.line_no - k.line_no) <= 20 GROUP BY 1, 2, 3)
 SELECT doc_id, line_no, mark, candidates, CASE WHEN candidates = 1 THEN one ELSE 0 END AS new_line FROM n""",
     "anchor_parse": """SELECT doc_id, CASE WHEN doc_id >= 1 THEN doc_id::INT ELSE 0 END AS line, CASE WHEN doc_id >= 1 THEN 'a' || (doc_id % 10) END AS hash,
-  left(replace(text, chr(10), ' '), 20) AS content FROM documents""",
+  replace(text, chr(10), ' ') AS content FROM documents""",
     "similar_lines_topk": f"""WITH {_L}, t AS (SELECT doc_id, line_no, list_distinct(regexp_split_to_array(regexp_replace(regexp_replace(text, '^{_BLANK}+', ''), '{_BLANK}+$', ''), '{_BLANK}+')) AS x
   FROM l WHERE NOT regexp_matches(text, '^{_BLANK}*$')),
-s AS (SELECT b.doc_id, b.line_no AS found_line, len(list_intersect(a.x, b.x)) / greatest(len(a.x), len(b.x)) AS score FROM t a JOIN t b ON a.doc_id = b.doc_id WHERE a.line_no = 1 AND b.line_no <= 53),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, found_line)::INT AS rank FROM s WHERE score >= 0.3)
-SELECT doc_id, found_line, round(score, 6) AS score, rank FROM r WHERE rank <= 3""",
+s AS (SELECT a.doc_id, a.line_no, b.line_no AS found_line, len(list_intersect(a.x, b.x)) / greatest(len(a.x), len(b.x)) AS score FROM t a JOIN t b ON a.doc_id = b.doc_id AND abs(a.line_no - b.line_no) <= 50),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY score DESC, found_line)::INT AS rank FROM s WHERE score >= 0.3)
+SELECT doc_id, line_no, found_line, round(score, 6) AS score, rank FROM r WHERE rank <= 3""",
     "duplicate_canonical_lines": f"WITH {_K} SELECT mark, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM k GROUP BY mark HAVING count(DISTINCT doc_id) > 1",
     "lang_detect_by_ext": f"""WITH v(ext, id, name) AS (VALUES {', '.join(f"('{e}', '{i}', '{n}')" for e, (i, n) in LANGUAGES.items())}),
 p AS (SELECT page_id, CASE WHEN NOT ends_with(regexp_replace(url, '\\?.*$', ''), '/') THEN ['{_QUOTED.join(_EXTS)}'][page_id % {len(_EXTS)} + 1] END AS ext FROM pages)
@@ -171,7 +171,7 @@ SELECT conv_id, turn AS start_turn, coalesce(lead(turn) OVER (PARTITION BY conv_
   FROM conversations GROUP BY conv_id)
 SELECT *, 'Stats: ' || concat_ws(', ', CASE WHEN n_user > 0 THEN n_user || ' user' END, CASE WHEN n_assistant > 0 THEN n_assistant || ' assistant' END, CASE WHEN n_system > 0 THEN n_system || ' system' END) AS stats FROM n""",
     "json_props_schema": """WITH e AS (SELECT event_type, props, unnest(json_keys(props)) AS key FROM events)
-SELECT event_type, key, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' ELSE lower(json_type(props, '$.k')) END AS type, count(*) AS n FROM e GROUP BY 1, 2, 3""",
+SELECT event_type, key, CASE WHEN json_type(props, '$."' || key || '"') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' ELSE lower(json_type(props, '$."' || key || '"')) END AS type, count(*) AS n FROM e GROUP BY 1, 2, 3""",
     "csv_shape": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn, count(*) OVER (PARTITION BY n_regionkey) AS c FROM nation)
 SELECT n_regionkey::BIGINT AS doc_id, c || ' rows × 3 columns' AS shape, 3::BIGINT AS n_columns,
   'Sample: ' || n_nationkey || ', ' || CASE WHEN length(n_name) > 20 THEN n_name[:17] || '...' ELSE n_name END || ', ' || n_regionkey AS sample FROM n WHERE rn = 1""",
