@@ -19,7 +19,7 @@ CASES = {
     "sql": ("CREATE TABLE a.b (\n x int\n);\ncreate unique index i on b (x);\nALTER TABLE b ADD y int\nCREATE PROCEDURE p AS 1;", [("TABLE b", "class", 1, 3), ("INDEX i ON b", "variable", 4, 4), ("ALTER TABLE b", "variable", 5, 5), ("FUNCTION p", "function", 6, 6)]),
     "python": ("import os.path\nclass A:\n    def f(self):\n        pass\nX = 1\ny: int = 2\n", [("A", "class", 2, 4), ("A/f", "function", 3, 4), ("X", "constant", 5, 5), ("y", "variable", 6, 6)]),
     "c": ("#define M 1\nstruct s {\n int a;\n};\nint f(int a) {\n  if (a) {\n  }\n}\nint g(void);\n", [("M", "constant", 1, 1), ("s", "class", 2, 4), ("f", "function", 5, 8), ("g", "function", 9, 9)]),
-    "go": ("package p\ntype T struct {\n\tA int\n}\nfunc (t *T) M() {\n}\nfunc f() {}\nconst c = 1\n", [("T", "class", 2, 4), ("T/A", "variable", 3, 3), ("T.M", "method", 5, 6), ("f", "function", 7, 7), ("c", "constant", 8, 8)]),
+    "go": ("package p\ntype T struct {\n\tA int\n}\nfunc (t *T) M() {\n}\nfunc f() {}\nconst c = 1\n", [("T", "class", 2, 4), ("T/A", "variable", 3, 3), ("*T.M", "method", 5, 6), ("f", "function", 7, 7), ("c", "constant", 8, 8)]),
     "rust": ("pub struct P { x: i32 }\nimpl P {\n  fn f(&self) -> char { '{' }\n}\nenum E { A }\n", [("P", "class", 1, 1), ("P/x", "variable", 1, 1), ("P/f", "method", 3, 3), ("E", "enum", 5, 5), ("E/A", "variable", 5, 5)]),
     "cpp": ("namespace n {\nclass A {\npublic:\n  A();\n  int f() { return 1; }\n};\n}\nint main() { return 0; }\n", [("n", "class", 1, 7), ("n/A", "class", 2, 6), ("n/A/A", "method", 4, 4), ("n/A/f", "method", 5, 5), ("main", "function", 8, 8)]),
     "clojure": ("(ns a.b)\n(defn f [x]\n  x)\n(def y 1)", [("a.b", "module", 1, 1), ("f", "function", 2, 3), ("y", "variable", 4, 4)]),
@@ -75,6 +75,20 @@ def test_exports_docs_and_imports():
     assert [(s.name, s.kind, s.children) for s in py.symbols[0].children] == [("D", "class", []), ("f", "function", [])]
 
 
+def test_go_names_types_and_imports():
+    go = outline.outline('package p\nimport f "fmt"\nimport (\n\t_ "a/b"\n\t"c"\n)\nvar a, b int\nconst k = 1\nfunc F[T any](x, y int, z ...string) (n int, err error) {\n}\nfunc (t T) g(int, string) error { return nil }\n', "go")
+    assert go.imports == ["f fmt", "a/b", "c"]
+    assert [(s.name, s.kind, s.signature, s.exported) for s in go.symbols] == [
+        ("a", "variable", " int", False), ("b", "variable", " int", False), ("k", "constant", None, False),
+        ("F", "function", "(x int, y int, z ...string) (n int, err error)", True), ("T.g", "method", "(T) g(int, string) error", False),
+    ]
+
+
+def test_comments_between_members():
+    cpp = outline.outline("class A {\npublic:\n  // c\n  A();\n  /* d */ int f();\n};\n", "cpp")
+    assert [(s.name, s.kind) for s in cpp.symbols[0].children] == [("A", "method"), ("f", "method")]
+
+
 def test_c_scanner_reads_each_line_once():
     import time
 

@@ -210,26 +210,59 @@ def go(text: str, name: str = "") -> Outline:
                 symbols.append(Symbol(title, kind, *lines, signature, children or [], [], doc, "A" <= title.rpartition(".")[2][:1] <= "Z"))
 
         if head.startswith("import"):
-            imports += re.findall(r'"([^"]+)"', whole)
+            imports += [f"{alias} {path}" if alias not in ("", ".", "_", "import") else path for alias, path in re.findall(r'(?:([\w.]+)\s+)?"([^"]+)"', whole)]
         elif m := re.match(r"func\s*\(\s*(?:\w+\s+)?(\*?\s*[\w.]+)(?:\[[^\]]*\])?\s*\)\s*(\w+)(.*)", head):
             receiver = m[1].replace(" ", "")
-            add(f"{receiver.lstrip('*')}.{m[2]}", "method", f"({receiver}) {m[2]}{m[3].strip()}")
+            add(f"{receiver}.{m[2]}", "method", f"({receiver}) {m[2]}{_go_signature(m[3])}")
         elif m := re.match(r"func\s+(\w+)(.*)", head):
-            add(m[1], "function", m[2].strip())
+            add(m[1], "function", _go_signature(m[2]))
         elif m := re.match(r"(type|const|var)\s*\(", head):
             inside = src.masked.index("(", st.start) + 1
             for part in statements(src, inside, st.end - 1, newline=True):
                 line = src.line(part.start), src.line(max(part.start, part.end - 1))
-                if n := re.match(r"(\w+)(.*)", src.clean(part.start, part.head_end)):
+                if n := re.match(r"(\w+(?:\s*,\s*\w+)*)(.*)", src.clean(part.start, part.head_end)):
                     _go_spec(m[1], n[1], n[2].strip(), line, src.doc_above(part.start, "//"), part, src, add)
-        elif m := re.match(r"(type|const|var)\s+(\w+)(.*)", head):
+        elif m := re.match(r"(type|const|var)\s+(\w+(?:\s*,\s*\w+)*)(.*)", head):
             _go_spec(m[1], m[2], m[3].strip(), span, doc, st, src, add)
     return Outline("Go", text.count("\n") + 1, symbols, imports)
 
 
+def _go_signature(rest: str) -> str:
+    """Parameters and results, each name with its type; type parameters aren't shown."""
+    out: list[str] = []
+    rest = rest.strip()
+    while rest[:1] in ("[", "(") and len(out) < 2:
+        depth = 0
+        for end, ch in enumerate(rest):
+            depth += (ch in "[(") - (ch in ")]")
+            if depth == 0:
+                break
+        if rest[0] == "(":
+            out.append(f"({', '.join(_go_params(rest[1:end]))})")
+        elif out:
+            break
+        rest = rest[end + 1 :].strip()
+    return " ".join([*out, rest] if rest and len(out) < 2 else out)
+
+
+def _go_params(text: str) -> list[str]:
+    parts = [x.strip() for x in split_top(text) if x.strip()]
+    typed = [re.match(r"(?!(?:func|map|chan|struct|interface)\b)(\w+)\s+(.+)", x) for x in parts]
+    if not any(typed):
+        return parts
+    out, of = [], ""
+    for part, m in zip(reversed(parts), reversed(typed), strict=True):
+        of = m[2] if m else of
+        out.append(f"{m[1] if m else part} {of}".strip())
+    return out[::-1]
+
+
 def _go_spec(what: str, title: str, rest: str, span: tuple[int, int], doc: str | None, st: Statement, src: Source, add) -> None:  # noqa: ANN001
     if what != "type":
-        return add(title, "constant" if what == "const" else "variable", None, span, doc)
+        of = rest.partition("=")[0].strip()
+        for one in re.split(r"\s*,\s*", title):
+            add(one, "constant" if what == "const" else "variable", f" {of}" if of else None, span, doc)
+        return
     kind = "class" if rest.startswith("struct") else "interface" if rest.startswith("interface") else "type"
     children = []
     for part in statements(src, *st.body, newline=True) if st.body and kind != "type" else ():

@@ -64,14 +64,17 @@ class Source:
                 parts.append(r"`(?:\\[\s\S]|[^`\\])*`")
             else:
                 parts.append(rf"{q}(?:\\[\s\S]|[^{q}\\\n])*{q}?")
-        self.masked = re.sub("|".join(parts), lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+        blank = lambda m: re.sub(r"[^\n]", " ", m[0])
+        self.masked = re.sub("|".join(parts), blank, text)
+        marks = (comment, block[0]) if block else (comment,)
+        self.spoken = re.sub("|".join(parts), lambda m: blank(m) if m[0].startswith(marks) else m[0], text)  # without comments only
 
     def line(self, at: int) -> int:
         return bisect_right(self.starts, at)
 
     def clean(self, lo: int, hi: int) -> str:
-        """The original text between two places, blanks collapsed."""
-        return re.sub(r"\s+", " ", self.text[lo:hi]).strip()
+        """The text between two places without comments, blanks collapsed."""
+        return re.sub(r"\s+", " ", self.spoken[lo:hi]).strip()
 
     def match(self, at: int, pair: str = "{}") -> int:
         """Just past the bracket that closes the one at ``at``, or the end."""

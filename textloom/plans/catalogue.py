@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..operators import anchors, commands, edits, lines, maps, outline, ranges, search, symbols
 from ..operators.outline.model import KINDS
 from ..sources.tables import table
-from . import oracles
+from . import oracles, samples
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -390,8 +390,8 @@ NAMES = (
 
 
 def queries() -> dict[str, Query]:
-    return {name: globals()[name] for name in NAMES}
+    return {name: globals()[name] for name in NAMES} | {f"outline_{x}": samples.outlined(x) for x in samples.SAMPLES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.SQL
+    return oracles.SQL | {f"outline_{x}": samples.outlined_sql(x) for x in samples.SAMPLES}
