@@ -390,8 +390,8 @@ NAMES = (
 
 
 def queries() -> dict[str, Query]:
-    return {name: globals()[name] for name in NAMES} | {f"outline_{x}": samples.outlined(x) for x in samples.SAMPLES}
+    return {name: globals()[name] for name in NAMES} | samples.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.SQL | {f"outline_{x}": samples.outlined_sql(x) for x in samples.SAMPLES}
+    return oracles.SQL | samples.oracle_sql()

@@ -1,4 +1,4 @@
-"""Made-up sources, one for each scanner, and the symbols that its rules give.
+"""Made-up sources, command outputs and edits, and what the rules make of them, for queries with SQL.
 
 A sample is written with WORD (and UPPER) for a name of the row and with a middle line that occurs as often as the row
 says, so names and line numbers follow the data. Symbols: name, kind, first and last line; a line is (n, m): n plus m
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import outline
+from ..operators import commands, edits, outline
 from ..sources.tables import table
 
 Line = tuple[int, int]
@@ -74,3 +74,132 @@ def outlined_sql(language: str) -> str:
     return f"""WITH v(name, kind, a, b, c, d) AS (VALUES {rows})
 SELECT p_partkey AS doc_id, replace(replace(name, 'WORD', 'p' || p_partkey), 'UPPER', 'P' || p_partkey) AS name, kind,
   (a + b * p_size)::INT AS start_line, (c + d * p_size)::INT AS end_line FROM part, v"""
+
+
+# --- command output ----------------------------------------------------------------------------------------------------
+
+#: route: command, output before, middle line, output after, and what is left of it, as SQL (n: middle lines, w: the word).
+OUTPUTS: dict[str, tuple[str, str, str, str, str]] = {
+    "build_tools": ("make all", "[ 10%] Building\n" * 9, "make[1]: Entering directory `x'\n", "WORD.c:1: error: bad\nplain", "w || '.c:1: error: bad' || lf || 'plain'"),
+    "install": ("npm install", "npm http fetch\n" * 9, "noise\n", "added 3 packages WORD\nup to date in 2s", "'added 3 packages ' || w || lf || 'up to date in 2s'"),
+    "docker": (
+        "docker build .", "Sending build context\n" * 9, " ---> 0123456789ab\n", "Step 1/2 : FROM WORD\n  Successfully built abc\nERROR: no\nSomething",
+        "'Step 1/2 : FROM ' || w || lf || 'Successfully built abc' || lf || 'ERROR: no'",
+    ),
+    "transfer": ("rsync -av a b", "sending incremental file list\n" * 9, "dir/WORD.txt\n", "done\nsent 10 bytes  received 3 bytes\n   1,234 100%    1.00MB/s", "'done' || lf || 'sent 10 bytes  received 3 bytes'"),
+    "git_log": (
+        "git log", "WORD c\n" * 10, "c\n", "end",
+        "repeat(w || ' c' || lf, 10) || CASE WHEN n > 9 THEN repeat('c' || lf, 10) || '... and ' || (n - 9) || ' more commits' ELSE repeat('c' || lf, n) || 'end' END",
+    ),
+    "git_diff": (
+        "git diff", "diff --git a/WORD.py b/WORD.py\nindex 1..2\n--- a/WORD.py\n+++ b/WORD.py\n@@ -1,9 +1,9 @@\n", " c\n", " c2\n c3\n c4\n-old\n+new\n d0\n d1\n d2\n d3",
+        "lf || '📄 ' || w || '.py' || lf || '  @@ -1,9 +1,9 @@' || lf || '  ... (' || n || ' context lines)' || lf || '   c2' || lf || '   c3' || lf || '   c4' || lf || '  -old' || lf || '  +new'"
+        " || lf || '   d0' || lf || '   d1' || lf || '   d2' || lf || '  ... (1 context lines)' || lf || '  +1 -1'",
+    ),
+    "listing": (
+        "find . -name x", "a/f\n" * 200, "b/c/WORD\n", "b/c/z\nfind: no: Permission denied",
+        "'find: no: Permission denied' || lf || lf || 'a/ (200 files)' || lf || 'b/c/ (' || (n + 1) || ' files)' || lf || lf || 'Total: ' || (n + 201) || ' files in 2 directories'",
+    ),
+    "http": ("curl http://WORD", "b\n" * 200, "WORD\n", "end", "repeat('b' || lf, 200) || '[... ' || (n + 1) || ' more lines]'"),
+    "build": ("cargo build", "", "   Compiling WORD\n", "done", "'✓ Build successful (' || n || ' units compiled)'"),
+}
+
+
+def condensed(route: str):  # noqa: ANN201
+    """A query: what is left of the output of a route's command, and how much it saves."""
+    command, before, middle, after, _ = OUTPUTS[route]
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        word = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+        said = lambda x: F.replace(x, F.lit("WORD"), word)
+        output = said(F.concat(F.lit(before), F.repeat(F.lit(middle), "p_size"), F.lit(after)))
+        events = table(spark, folder, "part").select(F.col("p_partkey").alias("event_id"), said(F.lit(command)).alias("command"), output.alias("output"))
+        return commands.condensed(events).select("event_id", "condensed", "saved")
+
+    return query
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def condensed_sql(route: str) -> str:
+    command, before, middle, after, left = OUTPUTS[route]
+    parts = " || ".join((_literal(before), f"repeat({_literal(middle)}, n)", _literal(after)))
+    # sizes are in UTF-16 units: a character beyond the first plane has two
+    wide = "length(x) + length(regexp_replace(x, '[^\\x{10000}-\\x{10ffff}]', '', 'g'))"
+    return f"""WITH p AS (SELECT p_partkey AS event_id, p_size AS n, 'p' || p_partkey AS w, chr(10) AS lf FROM part),
+o AS (SELECT event_id, replace({parts}, 'WORD', w) AS output, {left} AS condensed FROM p)
+SELECT event_id, condensed, ({wide.replace('x)', 'output)').replace('(x,', '(output,')}) - ({wide.replace('x)', 'condensed)').replace('(x,', '(condensed,')}) AS saved FROM o"""
+
+
+# --- edits -------------------------------------------------------------------------------------------------------------
+
+#: Hashes of lines (fixed values).
+HASHES = {"alpha": "c8", "beta": "89", "gamma": "6d"}
+Edit = tuple[str, str | None, str | None, str | None, str]
+#: name: text before, middle line, text after; edits (operation, line named by its text and number, end line, old text,
+#: new text); and status and text afterwards, as SQL (n: middle lines, w: the word, t: the text before).
+EDITS: dict[str, tuple[str, str, str, list[Edit], str, str]] = {
+    "moved": ("", "x\n", "alpha\nbeta\ngamma", [("set_line", "alpha 1", None, None, "WORD")], "CASE WHEN n <= 20 THEN 'applied' ELSE 'mismatch' END", "CASE WHEN n <= 20 THEN replace(t, 'alpha', w) ELSE t END"),
+    "range": ("", "x\n", "alpha\nbeta\ngamma\nend", [("replace_lines", "alpha 1+n", "gamma 3+n", None, "WORD\ny")], "'applied'", "repeat('x' || lf, n) || w || lf || 'y' || lf || 'end'"),
+    "delete": ("WORD\n", "x\n", "beta\nend", [("set_line", "beta 2+n", None, None, "")], "'applied'", "w || lf || repeat('x' || lf, n) || 'end'"),
+    "repeated": ("alpha\n", "x\n", "end", [("insert_after", "alpha 1", None, None, "WORD"), ("insert_after", "alpha 1", None, None, "WORD"), ("set_line", "alpha 1", None, None, "A")], "'applied'", "'A' || lf || w || lf || repeat('x' || lf, n) || 'end'"),
+    "echoed": ("alpha\n", "x\n", "beta\nend", [("insert_after", "beta 2+n", None, None, "beta\nWORD")], "'applied'", "'alpha' || lf || repeat('x' || lf, n) || 'beta' || lf || w || lf || 'end'"),
+    "prefixed": ("alpha\n", "x\n", "beta", [("set_line", "alpha 1", None, None, "1:c8|WORD"), ("set_line", "beta 2+n", None, None, "+WORD")], "'applied'", "w || lf || repeat('x' || lf, n) || w"),
+    "fuzzy": ("“WORD”—it’s  \n", "x\n", "end", [("replace", None, None, "\"WORD\"-it's", "it")], "'applied'", "'it  ' || lf || repeat('x' || lf, n) || 'end'"),
+    "stale": ("alpha\n", "x\n", "beta", [("set_line", "beta 1", None, None, "WORD"), ("set_line", "gamma 2+n", None, None, "y")], "'mismatch'", "t"),
+    "unchanged": ("alpha\n", "x\n", "WORD", [("set_line", "alpha 1", None, None, "alpha")], "'no_change'", "t"),
+    "not_found": ("alpha\n", "x\n", "WORD", [("replace", None, None, "nowhere", "y")], "'not_found'", "t"),
+    "beyond": ("alpha\n", "x\n", "WORD", [("set_line", "beta 9+n", None, None, "y")], "'missing_line'", "t"),
+}
+
+
+def _place(named: str | None) -> Column:
+    """LINE:HASH of a line that is named by its text and number."""
+    if named is None:
+        return F.lit(None).cast("string")
+    text, number = named.split()
+    fixed, _, more = number.partition("+")
+    line = F.lit(int(fixed)) + (F.col("p_size") if more else F.lit(0))
+    return F.concat(line.cast("string"), F.lit(f":{HASHES[text]}"))
+
+
+def edited(name: str):  # noqa: ANN201
+    """A query: status and text of every document after its edits."""
+    before, middle, after, changes, _, _ = EDITS[name]
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        parts = table(spark, folder, "part")
+        said = lambda x: F.replace(x, F.lit("WORD"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")))
+        docs = parts.select(F.col("p_partkey").alias("doc_id"), said(F.concat(F.lit(before), F.repeat(F.lit(middle), "p_size"), F.lit(after))).alias("text"))
+        rows = [
+            F.struct(
+                F.lit(i).alias("idx"), F.lit(op).alias("op"), _place(at).alias("anchor"), _place(end).alias("end_anchor"), said(F.lit(old).cast("string")).alias("old_text"),
+                said(F.lit(new)).alias("new_text"), F.lit(False).alias("replace_all"),
+            )
+            for i, (op, at, end, old, new) in enumerate(changes)
+        ]
+        asked = parts.select(F.col("p_partkey").alias("doc_id"), F.inline(F.array(*rows)))
+        return edits.applied(docs, asked).select("doc_id", "status", "text")
+
+    return query
+
+
+def edited_sql(name: str) -> str:
+    before, middle, after, _, status, text = EDITS[name]
+    parts = " || ".join((_literal(before), f"repeat({_literal(middle)}, p_size)", _literal(after)))
+    return f"""WITH p AS (SELECT p_partkey AS doc_id, p_size AS n, 'p' || p_partkey AS w, chr(10) AS lf, replace({parts}, 'WORD', 'p' || p_partkey) AS t FROM part)
+SELECT doc_id, {status} AS status, {text} AS text FROM p"""
+
+
+def queries() -> dict:
+    made = {f"outline_{x}": outlined(x) for x in SAMPLES}
+    made |= {f"condensed_{x}": condensed(x) for x in OUTPUTS}
+    return made | {f"edit_{x}": edited(x) for x in EDITS}
+
+
+def oracle_sql() -> dict[str, str]:
+    made = {f"outline_{x}": outlined_sql(x) for x in SAMPLES}
+    made |= {f"condensed_{x}": condensed_sql(x) for x in OUTPUTS}
+    return made | {f"edit_{x}": edited_sql(x) for x in EDITS}
