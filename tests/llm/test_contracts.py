@@ -192,6 +192,7 @@ def test_op8_added_spans():
 def test_op8_any_case_and_gap():
     found = pii.find_spans("HtTp://Me:pw@Host.org x MAILTO:a@b.co IbAn" + " " * 500 + "DE89370400440532013000 TEL:+49-170-1234567 tel:12")
     assert [k for k in ("url", "account") for _ in found[k]] == ["url", "url", "url", "account"]
+    assert pii.find_spans("İ É MAILTO:a@b.co")["url"] == [(4, 17)]
 
 
 def _times(work, sizes):

@@ -197,7 +197,9 @@ def find_spans(text: str) -> dict[str, list[Span]]:
     spans: dict[str, list[Span]] = {k: [] for k in KINDS}
     past = dict.fromkeys(KINDS, 0)  # where the kind's next candidate may begin
     run: Address | None = None
-    low = text.lower() if text.isascii() else text.translate(_LOWER)
+    low = text.lower()
+    if len(low) != len(text):  # a letter whose small form has two characters would shift what follows
+        low = text.translate(_LOWER)
     for at, (anchor, size) in _AUTOMATON.iter(low):
         if anchor == "digit":
             if at >= past["card"]:
