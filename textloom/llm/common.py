@@ -17,7 +17,7 @@ LOCAL_SHARED = "/tmp/textloom-shared"
 #: Word separators of the contracts: space and \t to \r.
 SPACES = " \t\n\x0b\x0c\r"
 
-#: Rows in an Arrow batch while a table is staged.
+#: Rows in an Arrow batch at most: whole texts in a batch of the default size could be large.
 BATCH_ROWS = 1000
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -43,17 +43,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     if not _staged:
         atexit.register(drop_staged)
     _staged.append((spark, path))
-    rows = spark.conf.get(_ROWS)
-    spark.conf.set(_ROWS, str(BATCH_ROWS))  # whole texts in a batch of the default size could be large
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_ROWS, rows)
+    small_batches(spark)
+    df.write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._staged_at = path
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches at BATCH_ROWS rows, also for results that run after their operator has returned."""
+    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+
 def staged_so_far() -> int:
     """A mark for ``release``."""
     return len(_staged)
@@ -99,6 +101,7 @@ def utf8(name: str = "text") -> Column:
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` for functions that yield dicts of columns."""
     types = _arrow_schema(df.sparkSession, schema)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in fn(batches):
