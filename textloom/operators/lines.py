@@ -36,9 +36,13 @@ def anchored(numbered: DataFrame) -> DataFrame:
     return h.withColumn("anchor", F.concat(F.col("line_no").cast("string"), F.lit(":"), "hash", F.lit("|"), "text"))
 
 
-def head_lines(parts: Column, most_lines: int = MOST_LINES, most_bytes: int = MOST_BYTES) -> Column:
-    """How many leading lines fit both budgets, as anchored text: an anchor adds the number's digits and four bytes."""
-    cost = F.transform(parts, lambda x, i: F.length((i + 1).cast("string")) + 4 + F.octet_length(x) + F.when(i > 0, 1).otherwise(0))
+def head_lines(parts: Column, most_lines: int = MOST_LINES, most_bytes: int = MOST_BYTES, first: Column | None = None) -> Column:
+    """How many leading lines fit both budgets, as anchored text: an anchor adds the number's digits and four bytes.
+
+    first: the number of the first line, 1 where not given.
+    """
+    first = F.lit(1) if first is None else first
+    cost = F.transform(parts, lambda x, i: F.length((i + first).cast("string")) + 4 + F.octet_length(x) + F.when(i > 0, 1).otherwise(0))
     start = F.struct(F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("n"), F.lit(True).alias("open"))
 
     def add(acc: Column, c: Column) -> Column:

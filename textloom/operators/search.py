@@ -65,6 +65,22 @@ def first_matches(docs: DataFrame, pattern: str, limit: int = LIMIT, key: str =
     return hits(docs, pattern, key, **how).select(key, F.inline(F.transform(F.slice("hits", 1, limit), line))).orderBy(key, "line_no").limit(limit)
 
 
+def limit_notice(docs: DataFrame, pattern: str, limit: int = LIMIT, **how: bool) -> DataFrame:
+    """One row: matches in all, and a notice where ``first_matches`` leaves some out, else null."""
+    found = hits(docs, pattern, **how).agg(F.coalesce(F.sum(F.size("hits")), F.lit(0)).cast("long").alias("matches"))
+    return found.select("matches", F.when(F.col("matches") > limit, F.lit(f"[{limit} matches are shown; narrow the pattern or raise the limit for more]")).alias("notice"))
+
+
+def text_only(docs: DataFrame) -> DataFrame:
+    """Documents (as of ``lines.normalised``) that are searched: binary ones are not."""
+    return docs.where(~F.col("is_binary"))
+
+
+def binary_warnings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key and a warning for each document that a search passes over as binary."""
+    return docs.where("is_binary").select(key, F.concat(F.lit("[Warning: "), F.col(key).cast("string"), F.lit(" holds binary content and is not searched]")).alias("warning"))
+
+
 def block(path: Column, matches: Column, body: Column) -> Column:
     return F.concat(F.format_string("--- %s (%d matches) ---\n", path, matches), body)
 

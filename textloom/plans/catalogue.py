@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import anchors, commands, edits, lines, maps, outline, ranges, search, symbols
+from ..operators import anchors, commands, edits, lines, maps, outline, ranges, reads, search, symbols
 from ..operators.outline.model import KINDS
 from ..sources.tables import table
 from . import oracles, samples
@@ -100,6 +100,36 @@ def grep_rendered(spark: SparkSession, folder: str) -> DataFrame:
     return search.rendered(lines.anchored(found), search.more_matches(d, LITERAL, literal=True))
 
 
+def grep_limit_notice(spark: SparkSession, folder: str) -> DataFrame:
+    return search.limit_notice(documents(spark, folder), WORD)
+
+
+def _some_binary(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in which a NUL stands for each occurrence of the literal."""
+    return lines.normalised(table(spark, folder, "documents").select("doc_id", F.replace("text", F.lit(LITERAL), F.lit("\0")).alias("text")))
+
+
+def grep_text_only(spark: SparkSession, folder: str) -> DataFrame:
+    return search.summary(search.text_only(_some_binary(spark, folder)), WORD)
+
+
+def grep_binary_warnings(spark: SparkSession, folder: str) -> DataFrame:
+    return search.binary_warnings(_some_binary(spark, folder))
+
+
+def read_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Five requests a document: all of it, lines from a start, a symbol with a start, a symbol with a map, a map."""
+    start = (F.col("doc_id") % 30 + 1).cast("int")
+    asked = [(None, None, None, False), (start, 5, None, False), (start, None, "name", False), (None, None, "name", True), (None, 3, None, True)]
+    rows = [
+        F.struct(F.lit(i).alias("request"), *((x if isinstance(x, F.Column) else F.lit(x)).cast(t).alias(n) for x, (n, t) in zip(r, (c.split() for c in reads.REQUEST.split(", ")), strict=True)))
+        for i, r in enumerate(asked)
+    ]
+    d = documents(spark, folder)
+    found = reads.answered(d, d.select("doc_id", F.inline(F.array(*rows))), most_lines=40, most_bytes=4096)
+    return found.select("doc_id", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("symbol", F.lit("")).alias("symbol"), "map", "status", F.coalesce("message", F.lit("")).alias("message"), F.coalesce("first_line", F.lit(0)).alias("first_line"), F.coalesce("last_line", F.lit(0)).alias("last_line"), "truncated", "with_map")
+
+
 def _match_ranges(spark: SparkSession, folder: str) -> DataFrame:
     """A range from each matching line to two lines on."""
     found = search.grep(documents(spark, folder), WORD)
@@ -381,7 +411,7 @@ def kind_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 NAMES = (
     "lines_numbered", "line_counts", "lines_hashed", "lines_anchored", "read_slice", "read_head_budget", "text_profile", "grep_regex", "grep_literal_ci",
-    "grep_context_dedup", "grep_cap_per_file", "grep_more_matches", "grep_summary", "grep_limit", "grep_rendered", "range_merge", "range_expand",
+    "grep_context_dedup", "grep_cap_per_file", "grep_more_matches", "grep_summary", "grep_limit", "grep_limit_notice", "grep_text_only", "grep_binary_warnings", "read_requests", "grep_rendered", "range_merge", "range_expand",
     "anchor_verify", "anchor_relocate", "anchor_parse", "similar_lines_topk", "duplicate_canonical_lines", "lang_detect_by_ext", "url_dir_counts",
     "fence_headings", "heading_parent", "sections_forward_fill", "lead_end_lines", "session_turn_spans", "session_stats", "json_props_schema", "csv_shape",
     "symbol_lookup_tiers", "command_route", "command_condensed", "ansi_strip", "savings", "test_summary", "lint_top_rules", "lint_top_files", "log_compact",

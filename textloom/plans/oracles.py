@@ -138,6 +138,26 @@ SELECT doc_id, line_no, {_KIND_GAP.format(_THE)} FROM z""",
 SELECT doc_id, (c - 10)::INT AS more FROM n WHERE total > 50 AND c > 10""",
     "grep_summary": f"WITH {_L} SELECT doc_id, count(*) AS matches FROM l WHERE {_TION} GROUP BY doc_id",
     "grep_limit": f"WITH {_L} SELECT doc_id, line_no, text FROM l WHERE {_TION} ORDER BY doc_id, line_no LIMIT 100",
+    "grep_limit_notice": f"""WITH {_L}, n AS (SELECT count(*) AS matches FROM l WHERE {_TION})
+SELECT matches, CASE WHEN matches > 100 THEN '[100 matches are shown; narrow the pattern or raise the limit for more]' END AS notice FROM n""",
+    "grep_text_only": f"""WITH {_L}, b AS (SELECT DISTINCT doc_id FROM l WHERE contains(text, 'Licensed under'))
+SELECT doc_id, count(*) AS matches FROM l ANTI JOIN b USING (doc_id) WHERE {_TION} GROUP BY doc_id""",
+    "grep_binary_warnings": f"WITH {_D} SELECT doc_id, '[Warning: ' || doc_id || ' holds binary content and is not searched]' AS warning FROM d WHERE contains(text, 'Licensed under')",
+    "read_requests": f"""WITH {_L}, {_HEAD.format(4096, 40)}, w AS (SELECT doc_id, count(*)::INT AS n, any_value(total) AS total FROM b GROUP BY doc_id),
+t AS (SELECT doc_id, any_value(total) AS total, (doc_id % 30 + 1)::INT AS start FROM c GROUP BY doc_id),
+p AS (SELECT t.doc_id, count(*) FILTER (a.bytes <= 4096)::INT AS n FROM t JOIN (SELECT l.doc_id, sum(length(l.line_no::VARCHAR) + 4 + strlen(l.text)
+    + CASE WHEN l.line_no > t.start THEN 1 ELSE 0 END) OVER (PARTITION BY l.doc_id ORDER BY l.line_no) AS bytes
+  FROM l JOIN t ON l.doc_id = t.doc_id WHERE l.line_no BETWEEN t.start AND t.start + 4) a ON a.doc_id = t.doc_id GROUP BY t.doc_id),
+h AS (SELECT doc_id, count(*) FILTER (bytes <= 4096)::INT AS n FROM c WHERE line_no <= 3 GROUP BY doc_id),
+r AS (
+  SELECT t.doc_id, 0 AS start, '' AS symbol, false AS map, 'ok' AS status, '' AS message, coalesce(w.n, 0) AS n, 1 AS first, t.total AS wanted, true AS whole FROM t LEFT JOIN w USING (doc_id)
+  UNION ALL SELECT t.doc_id, start, '', false, CASE WHEN start > total THEN 'past_end' ELSE 'ok' END,
+    CASE WHEN start > total THEN 'Line ' || start || ' is past the end (' || total || ' lines).' ELSE '' END, coalesce(p.n, 0), start, greatest(least(5, total - start + 1), 0), false FROM t LEFT JOIN p USING (doc_id)
+  UNION ALL SELECT doc_id, start, 'name', false, 'conflict', 'A symbol can''t be read with an offset or a limit.', 0, 1, 0, false FROM t
+  UNION ALL SELECT doc_id, 0, 'name', true, 'conflict', 'A symbol can''t be read with a map.', 0, 1, 0, false FROM t
+  UNION ALL SELECT t.doc_id, 0, '', true, 'ok', '', h.n, 1, least(3, total), false FROM t JOIN h USING (doc_id))
+SELECT doc_id, start::INT AS start, symbol, map, status, message, CASE WHEN n > 0 THEN first ELSE 0 END::INT AS first_line, CASE WHEN n > 0 THEN first + n - 1 ELSE 0 END::INT AS last_line,
+  n < wanted AS truncated, status = 'ok' AND (map OR (whole AND n < wanted)) AS with_map FROM r""",
     "range_merge": f"WITH {_MERGED} SELECT doc_id, start_line, end_line FROM m",
     "range_expand": f"""WITH {_MERGED}, e AS (SELECT doc_id, start_line, unnest(range(start_line, end_line + 1))::INT AS line_no FROM m)
 SELECT e.doc_id, e.start_line, e.line_no, coalesce(l.text, '') AS text FROM e LEFT JOIN l ON e.doc_id = l.doc_id AND e.line_no = l.line_no""",

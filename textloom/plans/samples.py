@@ -193,13 +193,54 @@ def edited_sql(name: str) -> str:
 SELECT doc_id, {status} AS status, {text} AS text FROM p"""
 
 
+def edit_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls in the older form, half of it, none and the present form, by a part's size; and their documents afterwards."""
+    parts = table(spark, folder, "part")
+    text = F.concat(F.lit("alpha "), F.col("p_name"))
+    turn = F.col("p_size") % 4
+    calls = parts.select(
+        F.col("p_partkey").alias("doc_id"), F.when(turn < 2, "alpha").alias("oldText"), F.lit(None).cast("string").alias("old_text"), F.lit(None).cast("string").alias("newText"),
+        F.when(turn == 0, F.col("p_brand")).alias("new_text"), F.lit(None).cast("boolean").alias("all"),
+        F.when(turn == 2, F.array(F.struct(
+            F.lit("replace").alias("op"), F.lit(None).cast("string").alias("anchor"), F.lit(None).cast("string").alias("end_anchor"), F.lit("alpha").alias("old_text"), F.lit("beta").alias("new_text"), F.lit(False).alias("replace_all"),
+        ))).alias("edits"),
+    )
+    found = edits.from_calls(calls)
+    docs = parts.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+    done = edits.applied(docs, found.select("doc_id", F.inline("edits"))).select("doc_id", "text")
+    said = found.select("doc_id", "status", F.coalesce("message", "warning", F.lit("")).alias("message"))
+    return said.join(done, "doc_id", "left").select("doc_id", "status", "message", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def edit_unchanged_report(spark: SparkSession, folder: str) -> DataFrame:
+    """What is said of edits that change nothing: a line set to itself, in every document."""
+    parts = table(spark, folder, "part")
+    docs = parts.select(F.col("p_partkey").alias("doc_id"), F.concat(F.repeat(F.lit("x\n"), "p_size"), F.lit("alpha")).alias("text"))
+    none = F.lit(None).cast("string")
+    asked = parts.select(
+        F.col("p_partkey").alias("doc_id"), F.lit(0).alias("idx"), F.lit("set_line").alias("op"), F.concat((F.col("p_size") + 1).cast("string"), F.lit(f":{HASHES['alpha']}")).alias("anchor"),
+        none.alias("end_anchor"), none.alias("old_text"), F.lit("alpha").alias("new_text"), F.lit(False).alias("replace_all"),
+    )
+    return edits.applied(docs, asked).select("doc_id", "status", "message", F.size("unchanged").alias("n"))
+
+
+_CALLS_SQL = {
+    "edit_calls": """SELECT p_partkey AS doc_id, CASE WHEN p_size % 4 IN (1, 3) THEN 'invalid' ELSE 'ok' END AS status,
+  CASE p_size % 4 WHEN 0 THEN 'The text and its replacement were taken as one replacing edit.' WHEN 1 THEN 'A call without edits needs both the text and its replacement.'
+    WHEN 3 THEN 'No edits.' ELSE '' END AS message,
+  CASE p_size % 4 WHEN 0 THEN p_brand || ' ' || p_name WHEN 2 THEN 'beta ' || p_name ELSE '' END AS text FROM part""",
+    "edit_unchanged_report": f"""SELECT p_partkey AS doc_id, 'no_change' AS status,
+  'The edits change nothing.' || chr(10) || 'Edit 0 leaves ' || (p_size + 1) || ':{HASHES['alpha']}|alpha as it is.' AS message, 1 AS n FROM part""",
+}
+
+
 def queries() -> dict:
     made = {f"outline_{x}": outlined(x) for x in SAMPLES}
     made |= {f"condensed_{x}": condensed(x) for x in OUTPUTS}
-    return made | {f"edit_{x}": edited(x) for x in EDITS}
+    return made | {f"edit_{x}": edited(x) for x in EDITS} | {"edit_calls": edit_calls, "edit_unchanged_report": edit_unchanged_report}
 
 
 def oracle_sql() -> dict[str, str]:
     made = {f"outline_{x}": outlined_sql(x) for x in SAMPLES}
     made |= {f"condensed_{x}": condensed_sql(x) for x in OUTPUTS}
-    return made | {f"edit_{x}": edited_sql(x) for x in EDITS}
+    return made | {f"edit_{x}": edited_sql(x) for x in EDITS} | _CALLS_SQL
