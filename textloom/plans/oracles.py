@@ -134,6 +134,13 @@ FROM documents o JOIN d USING (doc_id) JOIN p USING (doc_id)""",
     "grep_cap_per_file": f"""WITH {_shown(_THE, 1, ", n AS (SELECT doc_id, line_no AS stop FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS rn, count(*) OVER () AS total FROM h) WHERE rn = 11 AND total > 50)")},
 z AS (SELECT s.* FROM s LEFT JOIN n USING (doc_id) WHERE stop IS NULL OR line_no < stop)
 SELECT doc_id, line_no, {_KIND_GAP.format(_THE)} FROM z""",
+    "grep_rendered": f"""WITH {_shown(_LICENSE, 1, ", n AS (SELECT doc_id, line_no AS stop FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS rn, count(*) OVER () AS total FROM h) WHERE rn = 11 AND total > 50)")},
+z AS (SELECT s.*, stop FROM s LEFT JOIN n USING (doc_id) WHERE stop IS NULL OR line_no < stop),
+g AS (SELECT doc_id, line_no, text, stop, {_KIND_GAP.format(_LICENSE)}, {_squeezed('text')} AS s FROM z), {_hash_sql('g')},
+m AS (SELECT doc_id, count(*) AS c FROM h GROUP BY doc_id)
+SELECT doc_id, '--- ' || doc_id || ' (' || any_value(c) || ' matches) ---' || chr(10) || string_agg(CASE WHEN gap THEN '--' || chr(10) ELSE '' END || doc_id || ':' || CASE kind WHEN 'match' THEN '>>' ELSE '  ' END
+  || line_no || ':' || hash || '|' || text, chr(10) ORDER BY line_no) || CASE WHEN any_value(stop) IS NOT NULL THEN chr(10) || '... +' || (any_value(c) - 10) || ' more matches' ELSE '' END AS block
+FROM g JOIN hashed USING (s) JOIN m USING (doc_id) GROUP BY doc_id""",
     "grep_more_matches": f"""WITH {_L}, n AS (SELECT doc_id, count(*) AS c, sum(count(*)) OVER () AS total FROM l WHERE {_THE} GROUP BY doc_id)
 SELECT doc_id, (c - 10)::INT AS more FROM n WHERE total > 50 AND c > 10""",
     "grep_summary": f"WITH {_L} SELECT doc_id, count(*) AS matches FROM l WHERE {_TION} GROUP BY doc_id",

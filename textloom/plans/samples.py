@@ -96,6 +96,17 @@ OUTPUTS: dict[str, tuple[str, str, str, str, str]] = {
         "lf || '📄 ' || w || '.py' || lf || '  @@ -1,9 +1,9 @@' || lf || '  ... (' || n || ' context lines)' || lf || '   c2' || lf || '   c3' || lf || '   c4' || lf || '  -old' || lf || '  +new'"
         " || lf || '   d0' || lf || '   d1' || lf || '   d2' || lf || '  ... (1 context lines)' || lf || '  +1 -1'",
     ),
+    "git_status": (
+        "git status", "## main...origin/main\nM  a\n M b\nMM c\nUU d\n", "?? WORD\n", "A  WORD.py",
+        "'📌 main' || lf || '✅ Staged: 3 files' || lf || '  a' || lf || '  c' || lf || '  ' || w || '.py' || lf || '📝 Modified: 2 files' || lf || '  b' || lf || '  c' || lf"
+        " || '❓ Untracked: ' || n || ' files' || lf || repeat('  ' || w || lf, least(n, 3)) || CASE WHEN n > 3 THEN '  ... +' || (n - 3) || ' more' || lf ELSE '' END || '⚠️  Conflicts: 1 files'",
+    ),
+    "lint": (
+        "eslint src", "a/x.ts:1:2: bad [r1]\na/x.ts:2:2: bad [r2]\n", "warning: odd [r3] at WORD.ts:3:4\n", "done",
+        "'ESLint: 2 errors, ' || n || ' warnings in 2 files' || lf || repeat('═', 39) || lf || 'Top rules:' || lf || CASE WHEN n > 1 THEN '  r3 (' || n || 'x)' || lf || '  r1 (1x)' || lf || '  r2 (1x)'"
+        " ELSE '  r1 (1x)' || lf || '  r2 (1x)' || lf || '  r3 (1x)' END || lf || lf || 'Top files:' || lf || CASE WHEN n > 2 THEN '  ' || w || '.ts (' || n || ' issues)' || lf || '    r3 (' || n || ')' || lf ELSE '' END"
+        " || '  a/x.ts (2 issues)' || lf || '    r1 (1)' || lf || '    r2 (1)' || lf || CASE WHEN n > 2 THEN '' ELSE '  ' || w || '.ts (' || n || ' issues)' || lf || '    r3 (' || n || ')' || lf END",
+    ),
     "listing": (
         "find . -name x", "a/f\n" * 200, "b/c/WORD\n", "b/c/z\nfind: no: Permission denied",
         "'find: no: Permission denied' || lf || lf || 'a/ (200 files)' || lf || 'b/c/ (' || (n + 1) || ' files)' || lf || lf || 'Total: ' || (n + 201) || ' files in 2 directories'",
