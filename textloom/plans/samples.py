@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import commands, edits, outline
+from ..operators import commands, edits, maps, outline
 from ..sources.tables import table
 
 Line = tuple[int, int]
@@ -235,7 +235,61 @@ def edit_unchanged_report(spark: SparkSession, folder: str) -> DataFrame:
     return edits.applied(docs, asked).select("doc_id", "status", "message", F.size("unchanged").alias("n"))
 
 
-_CALLS_SQL = {
+def mapped(most: int):  # noqa: ANN201
+    """A query: the maps of the TypeScript sources within ``most`` bytes."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        docs = sources(spark, folder, "typescript")
+        found = outline.file_maps(docs).join(docs.select("doc_id", F.octet_length("text").alias("total_bytes")), "doc_id")
+        return maps.rendered(found.withColumn("name", F.lit("src/f.ts")), most=most)
+
+    return query
+
+
+def edit_diff(last_only: bool):  # noqa: ANN201
+    """A query: the diff of a last line that becomes two, alone or with the first line changed too."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        parts = table(spark, folder, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_size").alias("n"))
+        none = F.lit(None).cast("string")
+        change = lambda i, at, text: F.struct(F.lit(i).alias("idx"), F.lit("set_line").alias("op"), at.alias("anchor"), none.alias("end_anchor"), none.alias("old_text"), F.lit(text).alias("new_text"), F.lit(False).alias("replace_all"))
+        last = change(1, F.concat((F.col("n") + 2).cast("string"), F.lit(f":{HASHES['beta']}")), "last\nmore")
+        rows = [last] if last_only else [change(0, F.lit(f"1:{HASHES['alpha']}"), "new"), last]
+        docs = parts.select("doc_id", F.concat(F.lit("alpha\n"), F.repeat(F.lit("x\n"), "n"), F.lit("beta")).alias("text"))
+        return edits.applied(docs, parts.select("doc_id", F.inline(F.array(*rows)))).select("doc_id", "first_changed", "diff")
+
+    return query
+
+
+def _map_sql(level: str) -> str:
+    head = "lf || bar || lf || 'File Map: f.ts' || lf || len(string_split(t, lf)) || ' lines │ ' || strlen(t) || ' B │ TypeScript' || lf || bar || lf || lf"
+    named = {
+        "full": "'f(x: number): [2-' || (n + 4) || ']' || lf || 'class C: [' || (n + 5) || '-' || (n + 7) || ']' || lf || '  m(): void: [' || (n + 6) || ']'",
+        "outline": "'[Map ≤50.0 KB | outline]' || lf || lf || 'f: [2-' || (n + 4) || ']' || lf || 'class C: [' || (n + 5) || '-' || (n + 7) || ']'",
+    }[level]
+    before, middle, after, _ = SAMPLES["typescript"]
+    return f"""WITH p AS (SELECT p_partkey AS doc_id, p_size AS n, 'p' || p_partkey AS w, chr(10) AS lf, repeat('─', 60) AS bar,
+  replace({_literal(before)} || repeat({_literal(middle)}, p_size) || {_literal(after)}, 'WORD', 'p' || p_partkey) AS t FROM part)
+SELECT doc_id, '{level}' AS level, {head} || {named} || lf || w || ' = ... [1]' || lf || lf || bar || lf || 'Use read(path, offset=LINE, limit=N) for targeted reads.' || lf || bar AS map_text FROM p"""
+
+
+def _diff_sql(last_only: bool) -> str:
+    pad = lambda x: f"lpad(({x})::VARCHAR, d, ' ')"
+    kept = lambda a, b: f"array_to_string(list_transform(range({a}, {b}), lambda i: ' ' || {pad('i')} || CASE i WHEN 1 THEN ' alpha' ELSE ' x' END), chr(10))"
+    both = f"'-' || {pad(1)} || ' alpha' || lf || '+' || {pad(1)} || ' new' || lf || {kept(2, 'n + 2')}"
+    # of n + 1 lines before the change four stay
+    one = f"CASE WHEN n > 3 THEN ' ' || repeat(' ', d) || ' ...' || lf || {kept('n - 2', 'n + 2')} ELSE {kept(1, 'n + 2')} END"
+    end = f"lf || '-' || {pad('n + 2')} || ' beta' || lf || '+' || {pad('n + 2')} || ' last' || lf || '+' || {pad('n + 3')} || ' more'"
+    return f"""WITH p AS (SELECT p_partkey AS doc_id, p_size AS n, length((p_size + 3)::VARCHAR)::INT AS d, chr(10) AS lf FROM part)
+SELECT doc_id, {'n + 2' if last_only else '1'} AS first_changed, {one if last_only else both} || {end} AS diff FROM p"""
+
+
+_MORE = {
+    "edit_calls": edit_calls, "edit_unchanged_report": edit_unchanged_report, "edit_diff_between": edit_diff(False), "edit_diff_context": edit_diff(True),
+    "map_full": mapped(maps.MOST), "map_outline": mapped(300),
+}
+_MORE_SQL = {
+    "edit_diff_between": _diff_sql(False), "edit_diff_context": _diff_sql(True), "map_full": _map_sql("full"), "map_outline": _map_sql("outline"),
     "edit_calls": """SELECT p_partkey AS doc_id, CASE WHEN p_size % 4 IN (1, 3) THEN 'invalid' ELSE 'ok' END AS status,
   CASE p_size % 4 WHEN 0 THEN 'The text and its replacement were taken as one replacing edit.' WHEN 1 THEN 'A call without edits needs both the text and its replacement.'
     WHEN 3 THEN 'No edits.' ELSE '' END AS message,
@@ -248,10 +302,10 @@ _CALLS_SQL = {
 def queries() -> dict:
     made = {f"outline_{x}": outlined(x) for x in SAMPLES}
     made |= {f"condensed_{x}": condensed(x) for x in OUTPUTS}
-    return made | {f"edit_{x}": edited(x) for x in EDITS} | {"edit_calls": edit_calls, "edit_unchanged_report": edit_unchanged_report}
+    return made | {f"edit_{x}": edited(x) for x in EDITS} | _MORE
 
 
 def oracle_sql() -> dict[str, str]:
     made = {f"outline_{x}": outlined_sql(x) for x in SAMPLES}
     made |= {f"condensed_{x}": condensed_sql(x) for x in OUTPUTS}
-    return made | {f"edit_{x}": edited_sql(x) for x in EDITS} | _CALLS_SQL
+    return made | {f"edit_{x}": edited_sql(x) for x in EDITS} | _MORE_SQL
