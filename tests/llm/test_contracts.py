@@ -81,10 +81,12 @@ def test_op5(odd, spark, odd_docs, no_docs):
 
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
 def test_op6(odd, odd_docs, k, percent):
-    got = jaccard.components(odd_docs, k, percent)
-    got = sorted((r.doc_id, r.n_shingles, r.root) for r in got.collect() if r.doc_id is not None)
+    got = sorted((r.doc_id, r.n_shingles, r.root) for r in jaccard.components(odd_docs, k, percent).collect() if r.doc_id is not None)
     numbered = [(i if i is not None else 1000 + n, t) for n, (i, t) in enumerate(odd)]
-    assert got == sorted(x for x in brute.op6(numbered, k, percent) if x[0] < 1000)
+    want = brute.op6(numbered, k, percent)
+    assert got == sorted(x for x in want if x[0] < 1000)
+    nulls = sorted(((r.n_shingles, r.root) for r in jaccard.components(odd_docs, k, percent).where("doc_id is null").collect()), key=repr)
+    assert nulls == sorted(((n, root if root < 1000 else None) for i, n, root in want if i >= 1000), key=repr)
 
 
 def test_op6_no_rows_and_one_of_each(no_docs, odd_docs):
@@ -147,6 +149,16 @@ def test_word_hashes(words):
     assert [int(h) for h in s.word_hashes(text)] == [int(s.word_hashes(w)[0]) for w in text.lower().split()]
 
 
+def test_words_made_to_collide_stay_apart(spark):
+    """Two long words that agree under any polynomial modulo 2**64."""
+    s, t = "a", "b"
+    for _ in range(10):
+        s, t = s + t, t + s
+    docs = spark.createDataFrame([(1, s), (2, t), (3, "z")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.op6(docs).collect()) == [(1, 1), (2, 2), (3, 3)]
+    assert sorted(r.doc_id for r in jaccard.one_of_each(docs).collect()) == [1, 2, 3]
+
+
 ITEMS = [(1, "w1 w2 w3"), (2, None), (3, "?!"), (4, "ONE"), (10, "two"), (5, "é ñ 日本"), (5, "é ñ 日本")]
 
 

@@ -29,6 +29,7 @@ their own, linked only by their sets; a null id is never a class's id unless all
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,42 +48,33 @@ COUNTED, SEEN = 1_000_000, 3
 STARS, LEFT = 6, 64
 #: Candidates whose keys may be broadcast to fetch their texts; beyond it they are joined.
 FEW = 1 << 20
+#: Words whose hashes a task remembers.
+KNOWN_WORDS = 1 << 18
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
-_BYTE = np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64)
-_IN_WORD = np.array([b not in b" \t\n\x0b\x0c\r" for b in range(256)], np.int8)
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return h
 
 
 class Shingler:
     """Hashed shingle sets of texts.
 
-    A word's hash is a polynomial over a random table of byte values, modulo 2**64, mixed; the hashes of all words of a
-    text come from one running sum. Two words agree only if their polynomials do.
+    A word's hash is 64 bits of BLAKE2b, a cryptographic hash, so that no two words can be made up to agree.
     """
 
     def __init__(self, k: int) -> None:
         self.k = k
-        self._extend(1 << 14)
-
-    def _extend(self, size: int) -> None:
-        base, inverse = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
-        first = np.ones(1, np.uint64)
-        self.power, self.back = (np.cumprod(np.concatenate([first, np.full(size - 1, x, np.uint64)])) for x in (base, inverse))
+        self._hash = _WordHashes()
 
     def word_hashes(self, text: bytes) -> np.ndarray:
-        """Of the words between the six ASCII blanks, A-Z lower-cased."""
-        buf = np.frombuffer(text.lower(), np.uint8)  # lower() of bytes looks at ASCII only
-        if len(buf) > len(self.power):
-            self._extend(2 * len(buf))
-        edge = np.zeros(len(buf) + 2, np.int8)
-        edge[1:-1] = _IN_WORD[buf]
-        turns = np.flatnonzero(edge[1:] != edge[:-1])
-        starts, ends = turns[::2], turns[1::2]
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_BYTE[buf] * self.power[: len(buf)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64)
-        h ^= h >> np.uint64(32)
-        h *= _MUL[0]
-        return h ^ (h >> np.uint64(29))
+        """Of the words between the six ASCII blanks, A-Z lower-cased (``lower`` and ``split`` of bytes know ASCII only)."""
+        words = text.lower().split()
+        return np.fromiter(map(self._hash.__getitem__, words), np.uint64, len(words))
 
     def __call__(self, text: bytes) -> np.ndarray:
         """The sorted distinct shingle hashes."""
