@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import chat, decontam, jaccard, langid, lm, packing, pii, quality, secrets, suffixes
+from . import chat, decontam, encoding, jaccard, langid, lm, oracles, packing, pii, quality, secrets, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,8 +24,9 @@ def queries() -> dict[str, Query]:
         "op8_pii": lambda s, d: pii.op8(table(s, d, "documents")),
         "op9_lm_scoring": lambda s, d: lm.op9(table(s, d, "documents")),
         "op10_best_fit_packing": lambda s, d: packing.op10(table(s, d, "documents")),
+        "op13_target_encoding": lambda s, d: encoding.op13(*(table(s, d, x) for x in ("sale_lines", "sales", "items", "vendors", "clients"))),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_target_encoding": oracles.encoding()}
