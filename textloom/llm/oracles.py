@@ -35,3 +35,63 @@ def encoding() -> str:
         max(v_n) AS vendor_n, max(r_v)::BIGINT AS vendor_rate, max(c_n) AS client_n, max(r_c)::BIGINT AS client_rate
     FROM r2 GROUP BY ALL
     """.replace("GROUP BY ALL", "GROUP BY sale_id, item_id, vendor_id")
+
+
+def repair() -> str:
+    """op12: the cheapest edits of each suffix, least audit first, by recursion from a conversation's last row."""
+    damage = f"{crc32("concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' '))")} % 20"
+    # from state to state by up to two inserted rows
+    inserts = [(0, 0, "", 0, ""), (0, 2, "I", 2, "user:\n"), (0, 3, "II", 4, "user:\nassistant:\n"), (1, 1, "", 0, ""), (1, 2, "I", 2, "user:\n"), (1, 3, "II", 4, "user:\nassistant:\n"), (2, 2, "", 0, ""), (2, 3, "I", 2, "assistant:\n"), (3, 3, "", 0, ""), (3, 2, "I", 2, "user:\n")]
+    values = ", ".join(f"({a}, {b}, '{x}', {c}, '{t}')" for a, b, x, c, t in inserts).replace("\n", "' || chr(10) || '")
+    return rf"""
+    WITH RECURSIVE hit AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {damage} AS hit FROM conversations
+    ),
+    d AS (
+        SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role,
+            CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+        FROM hit, range(CASE hit WHEN 3 THEN 2 ELSE 1 END) WHERE hit <> 0
+    ),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+    c AS (
+        SELECT *, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS tail, left(role, 1) AS initial,
+            row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS following
+        FROM o
+    ),
+    f AS (
+        SELECT *, tail = '' AS blank, tail <> '' AND nth > 1 AS duplicate, tail <> '' AND nth = 1 AND tail NOT IN ('.', '!', '?') AS truncated,
+            following IS NOT NULL AND initial || following NOT IN ('su', 'ua', 'au') AS illegal
+        FROM c
+    ),
+    ins(q, p, letters, cost, said) AS (VALUES {values}),
+    steps AS (
+        SELECT f.conv_id, i, ins.q, t.p, ins.letters || t.letter AS letters, ins.cost + t.cost AS cost, ins.said || t.said AS said
+        FROM f, ins, LATERAL (
+            SELECT ins.p AS p, 'D' AS letter, 3 AS cost, '' AS said
+            UNION ALL SELECT CASE ins.p WHEN 2 THEN 3 ELSE 2 END, 'R', 2 + f.truncated::INTEGER, CASE ins.p WHEN 2 THEN 'assistant:' ELSE 'user:' END || f.text || chr(10) WHERE NOT f.blank AND NOT f.duplicate
+            UNION ALL SELECT CASE f.initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, 'K', f.truncated::INTEGER, f.role || ':' || f.text || chr(10)
+            WHERE NOT f.blank AND NOT f.duplicate AND (ins.p, f.initial) IN ((0, 's'), (0, 'u'), (1, 'u'), (2, 'a'), (3, 'u'))
+        ) t
+    ),
+    best AS (
+        SELECT conv_id, max(i) + 1 AS i, unnest([
+            {{'q': 0, 'cost': 0, 'audit': '', 'said': ''}}, {{'q': 1, 'cost': 4, 'audit': 'II', 'said': 'user:' || chr(10) || 'assistant:' || chr(10)}},
+            {{'q': 2, 'cost': 2, 'audit': 'I', 'said': 'assistant:' || chr(10)}}, {{'q': 3, 'cost': 0, 'audit': '', 'said': ''}}]) AS b
+        FROM f GROUP BY conv_id
+        UNION ALL
+        SELECT s.conv_id, s.i, {{'q': s.q, 'cost': m.cost, 'audit': m.audit, 'said': m.said}} AS b FROM (
+            SELECT s.conv_id, s.i, s.q, min({{'cost': s.cost + best.b.cost, 'audit': s.letters || best.b.audit, 'said': s.said || best.b.said}}) AS m
+            FROM best JOIN steps s ON s.conv_id IS NOT DISTINCT FROM best.conv_id AND s.i = best.i - 1 AND s.p = best.b.q GROUP BY s.conv_id, s.i, s.q
+        ) s
+    ),
+    sums AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, sum(blank::INTEGER)::BIGINT AS blank, sum(duplicate::INTEGER)::BIGINT AS duplicate,
+            sum(truncated::INTEGER)::BIGINT AS truncated, sum(illegal::INTEGER)::BIGINT AS illegal
+        FROM f GROUP BY conv_id
+    )
+    SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+        coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(regexp_replace(b.said, chr(10) || '$', ''), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) a
+    LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM a.conv_id
+    LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id AND best.i = 1 AND best.b.q = 0
+    """
