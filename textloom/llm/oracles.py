@@ -54,7 +54,9 @@ def repair() -> str:
     ),
     o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
     c AS (
-        SELECT *, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS tail, left(role, 1) AS initial,
+        SELECT *, regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS tail, left(role, 1) AS initial,
             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS following
         FROM o
     ),
@@ -95,3 +97,23 @@ def repair() -> str:
     LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM a.conv_id
     LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id AND best.i = 1 AND best.b.q = 0
     """
+
+
+def near_duplicates(k: int, percent: int, more: str = "") -> str:
+    """op6, op11: all links between sets of k-word shingles, and the least id that each document reaches."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (
+        SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' '))) END AS s
+        FROM w
+    ),
+    each AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+    links AS (
+        SELECT x.doc_id AS a, y.doc_id AS b FROM each x JOIN each y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
+        GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= {percent} * (x.n + y.n - count(*))
+    ),
+    reach(doc_id, least) AS (SELECT doc_id, doc_id FROM sets UNION SELECT l.b, r.least FROM reach r JOIN links l ON l.a = r.doc_id AND r.least < l.b)
+    SELECT doc_id, len(s)::BIGINT AS n_shingles, least AS component_id{more} FROM sets JOIN (SELECT doc_id, min(least) AS least FROM reach GROUP BY doc_id) USING (doc_id)
+    """

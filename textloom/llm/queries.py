@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import chat, decontam, encoding, jaccard, langid, lm, oracles, packing, pii, quality, repair, secrets, suffixes
+from . import chat, decontam, encoding, jaccard, langid, lm, oddsketch, oracles, packing, pii, quality, repair, secrets, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,10 +24,16 @@ def queries() -> dict[str, Query]:
         "op8_pii": lambda s, d: pii.op8(table(s, d, "documents")),
         "op9_lm_scoring": lambda s, d: lm.op9(table(s, d, "documents")),
         "op10_best_fit_packing": lambda s, d: packing.op10(table(s, d, "documents")),
+        "op11_odd_sketches": lambda s, d: oddsketch.op11(table(s, d, "documents")),
         "op12_structure_repair": lambda s, d: repair.op12(table(s, d, "conversations")),
         "op13_target_encoding": lambda s, d: encoding.op13(*(table(s, d, x) for x in ("sale_lines", "sales", "items", "vendors", "clients"))),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_structure_repair": oracles.repair(), "op13_target_encoding": oracles.encoding()}
+    return {
+        "op6_ngram_jaccard": oracles.near_duplicates(3, 90),
+        "op11_odd_sketches": oracles.near_duplicates(3, 85, ", doc_id = least AS kept"),
+        "op12_structure_repair": oracles.repair(),
+        "op13_target_encoding": oracles.encoding(),
+    }
