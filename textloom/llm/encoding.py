@@ -183,8 +183,9 @@ class _Shard:
 
 
 def attribute(table: DataFrame, key: str, value: str) -> DataFrame:
-    """key and value, one row a key."""
-    return table.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"of_{key}")).agg(F.min(value).alias(value))
+    """key and value, one row a key; staged, as a join on top of a sum can't split a hot key's rows."""
+    found = table.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"of_{key}")).agg(F.min(value).alias(value))
+    return stage(found, f"of-{key}")
 
 
 def encoded(lines: DataFrame, sales: DataFrame, items: DataFrame, vendors: DataFrame, clients: DataFrame) -> DataFrame:
