@@ -1,8 +1,12 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import maps, outline
 from textloom.operators.outline.model import flat
+from textloom.operators.outline.tokens import Syntax, tokenise
+from textloom.plans import composed
 
 
 def names(text, language):
@@ -36,7 +40,65 @@ def test_scanners(language):
 @pytest.mark.parametrize("language", [*outline.SCANNERS, "unknown"])
 def test_scanners_take_anything(language):
     for text in ("", "\n", "}{)(", "\x00", '"' * 99, "{" * 2000, "(" * 2000, "a" * 50_000, "/* open", "class", "def", "é(\n"):
-        outline.outline(text, language)
+        found = outline.outline(text, language)
+        assert found is None or found.status != "failed"
+
+
+def test_a_broken_scanner_shows(monkeypatch):
+    def broken(text, name):
+        raise KeyError
+
+    monkeypatch.setitem(outline.SCANNERS, "go", broken)
+    assert (outline.outline("func f() {}", "go").status, outline.outline("x", "go").symbols) == ("failed", [])
+    assert outline.outline("x", "go").status == "failed" and outline.outline("def f(): pass", None).status == "keywords"
+
+
+def composed_text(language, order):
+    before, forms = composed.FORMS[language]
+    text, rows, line = before, [], before.count("\n")
+    for j, i in enumerate(order):
+        said, own = forms[i]
+        word = f"w{j}"
+        text += said.replace("WORD", word)
+        rows += [(n.replace("WORD", word), p and p.replace("WORD", word), k, e, line + a if k != "import" else 0, line + b if k != "import" else 0) for n, p, k, e, a, b in own]
+        line += said.count("\n")
+    return text, rows
+
+
+@pytest.mark.parametrize("language", composed.FORMS)
+def test_declarations_in_any_order(language):
+    """Strings, templates, regex literals and comments with brackets in them take no declaration in."""
+    rng = random.Random(3)
+    for _ in range(60):
+        text, want = composed_text(language, [rng.randrange(len(composed.FORMS[language][1])) for _ in range(rng.randrange(1, 12))])
+        found = outline.outline(text, language)
+        got = [(s.name, path[-2] if len(path) > 1 else None, s.kind, s.exported, s.start, s.end) for _, _, path, s in flat(found.symbols)]
+        assert sorted(got + [(i, None, "import", None, 0, 0) for i in found.imports], key=repr) == sorted(want, key=repr), text
+
+
+@pytest.mark.parametrize("language", [*composed.FORMS, "c", "clojure", "python"])
+def test_time_follows_the_source(language):
+    import time
+
+    took = []
+    for n in (300, 1200):
+        if language in composed.FORMS:
+            text = composed_text(language, [i % len(composed.FORMS[language][1]) for i in range(5 * n)])[0]
+        else:
+            text = {"c": "struct s {\n int a;\n};\n", "clojure": "(defn f [x]\n x)\n", "python": "class A:\n  def f(self): pass\n"}[language] * (5 * n)
+        took.append(min(_timed(time.process_time, text, language) for _ in range(2)))
+    assert took[1] < 5 * took[0] + 0.2
+
+
+def _timed(clock, text, language):
+    began = clock()
+    outline.outline(text, language)
+    return clock() - began
+
+
+def test_tokens():
+    found = tokenise("a(b[\n{ `x${ f({}) }y` } // }\n/[(]/ ]c /* \n */ '", Syntax(templates=True, regex=True))
+    assert found.close[1] == 45 and found.depth == [0, 0, 1 - 1, 0] and len(found.literals) == 4
 
 
 def test_json_lines_and_sessions():

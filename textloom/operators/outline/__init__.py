@@ -29,9 +29,6 @@ SCANNERS: dict[str, Callable[[str, str], Outline | None]] = {
     "c-header": code.cpp, "cpp": code.cpp, "clojure": code.clojure, "sql": prose.sql, "json": data.json_outline, "jsonl": data.jsonl,
     "markdown": prose.markdown, "yaml": data.yaml, "toml": data.toml, "csv": data.csv,
 }
-#: Longest text that a scanner of source code takes (its time grows faster than the text); longer ones get the keyword
-#: outline. Scanners of data and prose go over lines and take any length.
-MOST_CODE_CHARS = 20_000_000
 
 
 def extension(path: Column) -> Column:
@@ -46,23 +43,30 @@ def language(path: Column, part: int = 0) -> Column:
 
 
 def outline(text: str, language_id: str | None, name: str = "") -> Outline | None:
-    """The language's scanner; where it finds no structure, the keyword outline; else none."""
-    scan = SCANNERS.get(language_id or "")
-    found = None
-    if scan and (len(text) <= MOST_CODE_CHARS or scan.__module__ != code.__name__):
+    """The language's scanner; where it finds no structure, the keyword outline; else none.
+
+    One odd document doesn't fail the job, but a scanner that breaks shows in the status, with or without keywords.
+    """
+    title = next((n for i, n in LANGUAGES.values() if i == language_id), "Unknown")
+    found, failed = None, False
+    if scan := SCANNERS.get(language_id or ""):
         try:
             found = scan(text, name)
-        except Exception:  # one odd document doesn't fail the job
-            found = None
-    title = next((n for i, n in LANGUAGES.values() if i == language_id), "Unknown")
-    return found or prose.keywords(text, name, title)
+        except Exception:
+            failed = True
+    if found:
+        return found
+    found = prose.keywords(text, name, title) or (Outline(title, text.count("\n") + 1, []) if failed else None)
+    if found:
+        found.status = "failed" if failed else "keywords"
+    return found
 
 
 SYMBOLS = (
     "sym_id int, parent_id int, depth int, path array<string>, name string, kind string, start_line int, end_line int, signature string, "
     "modifiers array<string>, docstring string, is_exported boolean"
 )
-MAP = f"language string, total_lines int, imports array<string>, detail_level string, symbols array<struct<{SYMBOLS.replace(' int', ':int').replace(' string', ':string').replace(' array', ':array').replace(' boolean', ':boolean')}>>"
+MAP = f"language string, total_lines int, imports array<string>, detail_level string, status string, symbols array<struct<{SYMBOLS.replace(' int', ':int').replace(' string', ':string').replace(' array', ':array').replace(' boolean', ':boolean')}>>"
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
@@ -73,7 +77,7 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 
 def file_maps(docs: DataFrame, key: str = "doc_id", language_id: str = "language_id", name: str | None = None) -> DataFrame:
-    """key, language, total_lines, imports, detail_level and symbols (flat, in pre-order) of documents with structure."""
+    """key, language, total_lines, imports, detail_level, status (``Outline.status``) and symbols (flat, in pre-order) of documents with structure."""
     source = docs.select(key, F.col(language_id).alias("_l"), (F.col(name) if name else F.lit("")).alias("_n"), F.coalesce("text", F.lit("")).alias("_t"))
     ddl = f"{key} {source.schema[key].dataType.simpleString()}, {MAP}"
     names = [part.split()[0] for part in SYMBOLS.split(", ")]
@@ -89,7 +93,7 @@ def file_maps(docs: DataFrame, key: str = "doc_id", language_id: str = "language
                         dict(zip(names, (i, parent, len(path) - 1, list(path), s.name, s.kind, s.start, s.end, s.signature, s.modifiers, s.doc, s.exported), strict=True))
                         for i, parent, path, s in flat(found.symbols)
                     ]
-                    rows.append({key: k, "language": found.language, "total_lines": found.lines, "imports": found.imports, "detail_level": found.level, "symbols": symbols})
+                    rows.append({key: k, "language": found.language, "total_lines": found.lines, "imports": found.imports, "detail_level": found.level, "status": found.status, "symbols": symbols})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return source.mapInArrow(run, ddl)

@@ -6,6 +6,13 @@ import ast
 import re
 
 from .model import Outline, Source, Statement, Symbol, split_top, statements
+from .tokens import Syntax
+
+TYPESCRIPT = Syntax(templates=True, regex=True)
+GO = Syntax(raw="`")
+RUST = Syntax(chars=True, nested=True, raw="rust")
+CPP = Syntax(raw="cpp")
+CLOJURE = Syntax(";", None, '"')
 
 
 def python(text: str, name: str = "") -> Outline | None:
@@ -118,7 +125,7 @@ def _callable(head: str) -> str:
 
 
 def typescript(text: str, name: str = "") -> Outline:
-    src = Source(text)
+    src = Source(text, TYPESCRIPT)
     found: dict[str, list[Symbol]] = {k: [] for k in _TS_ORDER}
     imports: list[str] = []
     exported: set[str] = set()
@@ -197,7 +204,7 @@ def _ts_members(src: Source, st: Statement) -> list[Symbol]:
 
 
 def go(text: str, name: str = "") -> Outline:
-    src = Source(text)
+    src = Source(text, GO)
     symbols: list[Symbol] = []
     imports: list[str] = []
     for st in statements(src, 0, len(text), newline=True):
@@ -266,7 +273,7 @@ def _go_spec(what: str, title: str, rest: str, span: tuple[int, int], doc: str |
     kind = "class" if rest.startswith("struct") else "interface" if rest.startswith("interface") else "type"
     children = []
     for part in statements(src, *st.body, newline=True) if st.body and kind != "type" else ():
-        text = src.clean(part.start, part.end)
+        text = src.clean(part.start, part.end).rstrip("; ")
         line = src.line(part.start)
         if kind == "interface" and (m := re.match(r"(\w+)(\(.*)", text)):
             children.append(Symbol(m[1], "method", line, line, m[2]))
@@ -281,7 +288,7 @@ _VISIBLE = r"(pub(?:\([^)]*\))?\s+)?"
 
 
 def rust(text: str, name: str = "") -> Outline:
-    src = Source(text, quotes="\"'", chars=True)
+    src = Source(text, RUST)
     imports: list[str] = []
     return Outline("Rust", text.count("\n") + 1, _rust(src, 0, len(text), imports), imports)
 
@@ -322,13 +329,14 @@ def _rust(src: Source, lo: int, hi: int, imports: list[str], member: bool = Fals
             out.append(Symbol(title[1] if title else "?", "function", *span, head, [], [], doc, False))
         else:
             out.append(new("type" if what == "type" else "variable"))
+    owners = {s.name: s for s in out if s.kind in ("class", "enum", "interface")}
     for target, stand_in, methods in attached:
-        owner = next((s for s in reversed(out) if s.name == target and s.kind in ("class", "enum", "interface")), None)
-        if owner:
+        if owner := owners.get(target):
             owner.children += methods
         else:
             stand_in.children = methods
             out.append(stand_in)
+            owners[stand_in.name] = stand_in
     return out
 
 
@@ -348,7 +356,7 @@ def _rust_fields(src: Source, body: tuple[int, int] | None) -> list[Symbol]:
 
 
 def cpp(text: str, name: str = "") -> Outline:
-    src = Source(re.sub(r"(?m)^\s*#.*(?:\\\n.*)*$", lambda m: re.sub(r"[^\n]", " ", m[0]), text), quotes="\"'")
+    src = Source(re.sub(r"(?m)^[ \t]*#.*(?:\\\n.*)*$", lambda m: re.sub(r"[^\n]", " ", m[0]), text), CPP)
     src.text = text
     imports = re.findall(r'(?m)^\s*#\s*include\s*[<"]([^>"]+)[>"]', text)
     return Outline("C++", text.count("\n") + 1, _cpp(src, 0, len(text), None, True), imports)
@@ -435,7 +443,7 @@ def _read(text: str) -> list:
 
 
 def clojure(text: str, name: str = "") -> Outline:
-    src = Source(text, ";", None, '"')
+    src = Source(text, CLOJURE)
     imports: list[str] = []
     symbols: list[Symbol] = []
     _clojure(_read(text), src, symbols, imports, [])

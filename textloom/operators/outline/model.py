@@ -6,6 +6,9 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
+
+from .tokens import SIGN, Syntax, replaced, tokenise
 
 #: Kinds that a symbol may have.
 KINDS = (
@@ -34,6 +37,8 @@ class Outline:
     symbols: list[Symbol]
     imports: list[str] = field(default_factory=list)
     level: str = "full"
+    #: scanned; keywords (there is no scanner, or it found nothing); failed (the scanner broke: an error of ours)
+    status: str = "scanned"
 
 
 def flat(symbols: list[Symbol], path: tuple[str, ...] = (), parent: int | None = None, first: int = 0) -> Iterator[tuple[int, int | None, tuple[str, ...], Symbol]]:
@@ -49,25 +54,16 @@ def flat(symbols: list[Symbol], path: tuple[str, ...] = (), parent: int | None =
 
 
 class Source:
-    """A text with its line starts, and a masked copy: comments and strings blanked, length and line ends kept."""
+    """A text with its line starts and brackets, and a masked copy: comments blanked, literals as letters, length kept."""
 
-    def __init__(self, text: str, comment: str = "//", block: tuple[str, str] | None = ("/*", "*/"), quotes: str = "\"'`", chars: bool = False) -> None:
+    def __init__(self, text: str, syntax: Syntax) -> None:
         self.text = text
         self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
-        parts = [re.escape(comment) + r"[^\n]*"]
-        if block:
-            parts.append(re.escape(block[0]) + r"[\s\S]*?(?:" + re.escape(block[1]) + r"|\Z)")
-        for q in quotes:
-            if q == "'" and chars:  # a quote may also start a lifetime: only whole character literals count
-                parts.append(r"'(?:\\[^\n]{1,10}?|[^'\\\n])'")
-            elif q == "`":
-                parts.append(r"`(?:\\[\s\S]|[^`\\])*`")
-            else:
-                parts.append(rf"{q}(?:\\[\s\S]|[^{q}\\\n])*{q}?")
-        blank = lambda m: re.sub(r"[^\n]", " ", m[0])
-        self.masked = re.sub("|".join(parts), blank, text)
-        marks = (comment, block[0]) if block else (comment,)
-        self.spoken = re.sub("|".join(parts), lambda m: blank(m) if m[0].startswith(marks) else m[0], text)  # without comments only
+        found = tokenise(text, syntax)
+        blanks = [(a, b, " ") for a, b in found.comments]
+        self.close, self.depth = found.close, found.depth
+        self.masked = replaced(text, sorted(blanks + [(a, b, SIGN) for a, b in found.literals]))
+        self.spoken = replaced(text, blanks)  # without comments only
 
     def line(self, at: int) -> int:
         return bisect_right(self.starts, at)
@@ -76,34 +72,33 @@ class Source:
         """The text between two places without comments, blanks collapsed."""
         return re.sub(r"\s+", " ", self.spoken[lo:hi]).strip()
 
-    def match(self, at: int, pair: str = "{}") -> int:
+    def match(self, at: int) -> int:
         """Just past the bracket that closes the one at ``at``, or the end."""
-        depth = 0
-        for m in re.compile("[" + re.escape(pair) + "]").finditer(self.masked, at):
-            depth += 1 if m[0] == pair[0] else -1
-            if depth == 0:
-                return m.end()
-        return len(self.masked)
+        return self.close.get(at, len(self.masked))
+
+    @cached_property
+    def _lines(self) -> list[str]:
+        return self.text.split("\n")
 
     def doc_above(self, at: int, mark: str) -> str | None:
         """The first line of the comment lines that start with ``mark`` right above the line of ``at``."""
-        lines = self.text.split("\n")
         i, first = self.line(at) - 2, None
-        while i >= 0 and (lines[i].strip().startswith(mark) or lines[i].strip().startswith("#[")):
-            if lines[i].strip().startswith(mark):
-                first = lines[i].strip()[len(mark) :].strip()
+        while i >= 0 and (line := self._lines[i].strip()).startswith((mark, "#[")):
+            if line.startswith(mark):
+                first = line[len(mark) :].strip()
             i -= 1
         return first or None
 
     def block_doc(self, at: int) -> str | None:
         """The first line with words of the ``/** */`` comment that ends right above the place ``at``."""
-        head = self.text[:at].rstrip()
-        if not head.endswith("*/"):
+        while at > 0 and self.text[at - 1].isspace():
+            at -= 1
+        if self.text[max(0, at - 2) : at] != "*/":
             return None
-        begin = head.rfind("/*")
-        if not head.startswith("/**", begin):
+        begin = self.text.rfind("/*", 0, at)
+        if not self.text.startswith("/**", begin):
             return None
-        lines = (x.strip().lstrip("*").strip() for x in head[begin + 3 : -2].split("\n"))
+        lines = (x.strip().lstrip("*").strip() for x in self.text[begin + 3 : at - 2].split("\n"))
         return next((x for x in lines if x), None)
 
 
@@ -115,45 +110,52 @@ class Statement:
     body: tuple[int, int] | None
 
 
-_GOES_ON = re.compile(r"[,=+\-*/&|?:(\[<.]\s*\Z|(?:=>|\bextends|\bimplements)\s*\Z")
+_GOES_ON = re.compile(r"[,=+\-*/&|?:(\[<.]\Z|(?:=>|\bextends|\bimplements)\Z")
+_GOES_ON_MOST = 12  # characters of the line's end that tell
 _STARTS_ON = re.compile(r"\s*[.?:&|+*=)\]{,]")
+_VALUE = re.compile(r"(?<![=!<>])=(?![=>])|=>\s*$|\bimport\b|\bexport\s*$")
+_SKIP = re.compile(r"[\s;]*")
+_MARKS = {False: re.compile(r"[;{}()\[\]]"), True: re.compile(r"[;{}()\[\]\n]")}
+
+
+def _goes_on(masked: str, start: int, at: int) -> bool:
+    """Whether the statement that began at ``start`` goes on behind the line that ends at ``at``."""
+    while at > start and masked[at - 1].isspace():
+        at -= 1
+    return bool(_GOES_ON.search(masked[max(start, at - _GOES_ON_MOST) : at]))
 
 
 def statements(src: Source, lo: int, hi: int, newline: bool = False) -> Iterator[Statement]:
     """Statements between two places at one nesting: each ends at a semicolon, a closed block, or (newline) a line end
     that neither side carries over. A block behind an ``=`` belongs to a value, so the statement goes on behind it."""
     masked, at = src.masked, lo
-    token = re.compile(r"[;{}()\[\]\n]" if newline else r"[;{}()\[\]]")
+    token = _MARKS[newline]
     while at < hi:
-        skip = re.compile(r"[\s;]*").match(masked, at, hi).end()
+        skip = _SKIP.match(masked, at, hi).end()
         if skip >= hi:
             return
-        start, pos, body = skip, skip, None
-        end = hi
-        while True:
-            m = token.search(masked, pos, hi)
-            if not m:
-                break
+        start, pos, body, value = skip, skip, None, False
+        end, judged = hi, skip
+        while m := token.search(masked, pos, hi):
             ch, pos = m[0], m.end()
             if ch in "([":
-                pos = min(hi, src.match(m.start(), "()" if ch == "(" else "[]"))
+                pos = min(hi, src.match(m.start()))
             elif ch == "{":
                 stop = min(hi, src.match(m.start()))
                 if body is None:
                     body = (m.start() + 1, stop - 1)
                 pos = stop
-                head = masked[start : m.start()]
-                if not re.search(r"(?<![=!<>])=(?![=>])|=>\s*$|\bimport\b|\bexport\s*$", head):
+                value = value or bool(_VALUE.search(masked[max(start, judged - 8) : m.start()]))
+                judged = m.start()
+                if not value:
                     end = stop
                     break
             elif ch == ";":
                 end = m.end()
                 break
-            elif ch == "\n" and not _GOES_ON.search(masked, start, m.start()) and not _STARTS_ON.match(masked, pos, hi):
+            elif ch == "\n" and not _goes_on(masked, start, m.start()) and not _STARTS_ON.match(masked, pos, hi):
                 end = m.start()
                 break
-            elif ch in ")]}":
-                continue
         yield Statement(start, body[0] - 1 if body else end, end, body)
         at = max(end, start + 1)
 
