@@ -97,8 +97,16 @@ def _timed(clock, text, language):
 
 
 def test_tokens():
-    found = tokenise("a(b[\n{ `x${ f({}) }y` } // }\n/[(]/ ]c /* \n */ '", Syntax(templates=True, regex=True))
-    assert found.close[1] == 45 and found.depth == [0, 0, 1 - 1, 0] and len(found.literals) == 4
+    text = "a(b[\n{ `x${ f({}) }y` } // }\n= /[(]/ ]c /* \n */ '"
+    found = tokenise(text, Syntax(templates=True, regex=True))
+    assert (found.close[1], found.close[3], found.close[5]) == (len(text), text.index("]c") + 1, text.index("} //") + 1)
+    assert found.depth == [0, 0, 0, 0] and [text[a:b] for a, b in found.literals] == ["`x${", "}y`", "/[(]/", "'"]
+    assert tokenise("{\n{ /* {\n */\n }\n", Syntax()).depth == [0, 1, 2, 2, 1]
+
+
+def test_extern_blocks_and_operators():
+    found = outline.outline('extern "C" {\nint f(void);\n}\nclass A {\npublic:\n  A operator+(A b);\n  void A::~A();\n};\nstd::vector<int> B::g() {}\n', "cpp")
+    assert [(s.name, s.kind) for _, _, _, s in flat(found.symbols)] == [("f", "function"), ("A", "class"), ("operator+", "method"), ("A::~A", "method"), ("B::g", "method")]
 
 
 def test_json_lines_and_sessions():

@@ -6,7 +6,7 @@ import ast
 import re
 
 from .model import Outline, Source, Statement, Symbol, split_top, statements
-from .tokens import Syntax
+from .tokens import SIGN, Syntax
 
 TYPESCRIPT = Syntax(templates=True, regex=True)
 GO = Syntax(raw="`")
@@ -362,6 +362,21 @@ def cpp(text: str, name: str = "") -> Outline:
     return Outline("C++", text.count("\n") + 1, _cpp(src, 0, len(text), None, True), imports)
 
 
+_CPP_NAME = re.compile(r"(?:\w+(?:<[^<>]*>)?::)*(?:operator\s*[^\s\w(]+|~?\w+)")
+_CPP_RESULT = re.compile(r"(?:[\w:<>,*&\s~\[\]]|\.\.\.)*")
+
+
+def _cpp_called(head: str) -> tuple[str, str] | None:
+    """What stands before the name that is called first, and that name."""
+    at = head.find("(")
+    before, last = head[: max(at, 0)].rstrip(), None
+    for last in _CPP_NAME.finditer(before):
+        pass
+    if not last or last.end() != len(before) or not _CPP_RESULT.fullmatch(before, 0, last.start()):
+        return None
+    return before[: last.start()].strip(), last[0].replace(" ", "")
+
+
 def _cpp(src: Source, lo: int, hi: int, owner: str | None, public: bool) -> list[Symbol]:
     out: list[Symbol] = []
     for st in statements(src, lo, hi):
@@ -383,7 +398,7 @@ def _cpp(src: Source, lo: int, hi: int, owner: str | None, public: bool) -> list
         unnamed = lambda kind: f"<anonymous@{kind}:{span[0]}>"  # noqa: E731, B023
         if m := re.match(r"(?:inline\s+)?namespace\s*([\w:]*)\s*$", head):
             out.append(new(m[1] or unnamed("namespace"), "class", head, _cpp(src, *st.body, None, True) if st.body else ()))
-        elif re.match(r"extern\s*$", src.masked[st.start : st.head_end].strip() or "-") and st.body:
+        elif re.match(rf"extern\s*{SIGN}*\s*$", src.masked[st.start : st.head_end].strip() or "-") and st.body:
             out += _cpp(src, *st.body, owner, public)
         elif (m := re.match(r"(?:typedef\s+)?(class|struct|union)\s+(?:\w+\s*\([^)]*\)\s*)?(\w+)?[^;(]*$", head)) and st.body:
             title = m[2] or unnamed(m[1])
@@ -396,11 +411,11 @@ def _cpp(src: Source, lo: int, hi: int, owner: str | None, public: bool) -> list
             out.append(new(m[1], "type", head))
         elif re.match(r"(?:using|friend|return|if|for|while|switch|static_assert|class|struct|enum|union)\b", head):
             continue
-        elif (m := re.match(r"((?:[\w:<>,*&\s~\[\]]|\.\.\.)*?)((?:\w+(?:<[^<>]*>)?::)*(?:~?\w+|operator\s*[^\s(]+|operator\s*\(\)))\s*\(", head)) and "=" not in m[1]:
-            title = m[2].replace(" ", "")
+        elif named := _cpp_called(head):
+            result, title = named
             simple = title.rpartition("::")[2]
             method = owner is not None or "::" in title
-            if not m[1].strip() and simple.lstrip("~") != (owner or title.split("::")[0]) and not method:
+            if not result and simple.lstrip("~") != (owner or title.split("::")[0]) and not method:
                 continue
             symbol = new(title, "method" if method else "function", template + head.split(" : ")[0])
             symbol.exported = public and (owner is not None or not re.match(r"static\b", head))
