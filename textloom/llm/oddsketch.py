@@ -116,7 +116,6 @@ def star(index: DataFrame, roots: DataFrame | None, turn: int, percent: int) ->
 
 def classes(rows: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """node, root: for each set that is linked with another, the least set of its class."""
-    spark = rows.sparkSession
     named = sets.select("rid", F.col("n_shingles").alias("n"), "rep.k", "rep.th", F.coalesce("rep.doc_id", F.lit(2**63 - 1)).alias("least"))
     lists = stage(rows.where("digest IS NOT NULL").select("k", "th", "bands", "sketch").join(named, ["k", "th"]).select("rid", "n", "least", "bands", "sketch").dropDuplicates(["rid"]), "lists")
     every = lists.select("rid", F.explode("bands").alias("bucket"))
@@ -124,16 +123,15 @@ def classes(rows: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent:
     index = stage(every.join(shared, "bucket").join(lists.drop("bands"), "rid"), "buckets")
     entries = index.count()
 
-    links, roots, turn = spark.createDataFrame([], "a long, b long"), None, 0
-    tried = links
+    links = tried = roots = None
+    turn = 0
     while True:
-        pairs = stage(star(index, roots, turn, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.union(pairs)
+        pairs = star(index, roots, turn, percent)
+        pairs = stage(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs, "pairs")
+        tried = tried.union(pairs) if turn else pairs
         more = stage(linked(pairs, sets, texts, k, percent), "links")
-        links, turn = links.union(more), turn + 1
+        links, turn = links.union(more) if turn else more, turn + 1
         roots = contract(links)
-        if turn < 2:
-            continue
         own = index.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
         by_class = own.groupBy("bucket", "root").agg(F.count("*").alias("c"))
         main = by_class.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("all"), F.count("*").alias("classes")).where("classes > 1")
