@@ -1,7 +1,8 @@
 """Secret scans: candidate strings, and a random forest that removes false positives.
 
 Candidates are whole private key blocks, runs of token characters with at least two digits, key formats of fixed prefix,
-and values of six or more characters other than blanks and quotes behind a cue or an assignment, in quotes or not. Each gets its length, character transitions, distinct characters, dictionary coverage, the path of its
+and values of six or more characters behind a cue or an assignment, in quotes or not (quoted ones behind a cue may hold blanks), and the
+user part of addresses. Each gets its length, character transitions, distinct characters, dictionary coverage, the path of its
 document, and the neighbouring words. The forest is trained on the driver from labelled findings (a bounded table; the
 default one is generated by rule) and emitted as conditional expressions.
 
@@ -28,20 +29,34 @@ _CUES = "passw(?:or)?d|passwd|pwd|secret|token|api.?key|access.?key|private.?key
 _CUE = f"(?i)(?:{_CUES})"
 #: What may stand between a cue or an assignment and its value, up to the quote.
 _LEAD = rf"(?:[=:]>?\s{{0,3}}|(?i:{_CUES})[A-Za-z0-9_]{{0,12}}\s{{1,2}}(?:is\s{{1,2}})?)"
-#: Where a value may start: not at a cue's own name before its assignment, nor at what follows a scheme.
-_START = rf"(?![=:>\\]|//|(?i:bearer|basic)\s|[\w.-]{{0,20}}(?i:{_CUES})[\w.-]{{0,20}}\\?[\"'`]?\s{{0,3}}[=:])"
+#: Where a value may start: not at a cue's own name before its assignment, nor at a scheme or what follows it.
+_NAMED = rf"[\w.-]{{0,20}}(?i:{_CUES})[\w.-]{{0,20}}\\?[\"'`]?\s{{0,3}}[=:]|[A-Za-z][A-Za-z0-9+.-]*+://"
+_START = rf"(?![=:>\\]|//|(?i:bearer|basic)\s|{_NAMED})"
 _PART = r"[^\s\"'`&;,]+"
-_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
-#: A candidate: a key block; a value in quotes or bare, behind a cue or an assignment; a whole run with two digits; a key of known form.
+_BARE = rf"{_START}(?=[^\s\"'`]{{6}}){_PART}(?:[&;,](?![\w.-]{{1,40}}[=:]){_PART})*+(?<![.:)\]}}>\\])"
+#: A block runs to its own end mark, whatever headers it has; any other mark ends it.
+_BLOCK = r"-----BEGIN [A-Z ]*+(?<=PRIVATE KEY|PRIVATE KEY BLOCK)-----(?:[^-]++|-(?!----))*+-----END [A-Z ]*+(?<=PRIVATE KEY|PRIVATE KEY BLOCK)-----"
+#: What keys of known services start with.
+_KNOWN = r"(?:gh[pousr]_|github_pat_|glpat-|hf_|npm_|pypi-|xox[abeoprs]-|sk-|[sr]k_live_|shpat_|dop_v1_|SG\.|AIza)"
+_HOOK = r"hooks\.slack\.com/(?:services|workflows)/[A-Za-z0-9/_-]+"
+#: What a candidate may begin with that isn't part of the secret: a run of blanks, or a cue with its sign and quote.
+_CUED = rf"(?i:{_CUES})[A-Za-z0-9_]*+\\?[\"'`]?\s*+[=:]>?\s*+\\?[\"'`]"
+_LEADING = rf"^(?:\s++\\?[\"'`]?|{_CUED})"
+#: A candidate: a key block; a value in quotes or bare, behind a cue or an assignment; quoted words behind a cue; what
+#: stands before the @ of an address with a scheme; a whole run with two digits; a key of known form.
 CANDIDATE = (
     rf"{_BLOCK}"
-    rf"|(?<=[\"'`])(?<={_LEAD}\\?[\"'`])[^\s\"'`]{{5,}}[^\s\"'`\\](?=\\?[\"'`])"
-    rf"|(?<=[\s=:>\"'`])(?<={_LEAD}\\?[\"'`]?){_START}(?=[^\s\"'`]{{6}}){_PART}(?:[&;,](?![\w.-]{{1,40}}[=:]){_PART}){{0,30}}(?<![.:)\]}}>\\])"
+    rf"|(?<=://)[^\s/@:\"'`<>]*+:[^\s/@\"'`<>]++(?=@)"
+    rf"|(?<=[\"'`])(?<={_LEAD}\\?[\"'`])(?!{_NAMED})[^\s\"'`]{{5,}}[^\s\"'`\\](?=\\?[\"'`])"
+    rf"|(?<=[\s=:>\"'`])(?<={_LEAD}\\?[\"'`]?){_BARE}"
+    rf"|(?<=[=:]|[=:]>)\s{{4,}}+\\?(?:[\"'`](?=[^\"'`\n]{{6}})[^\"'`\n]++(?=[\"'`])|{_BARE})"
+    rf"|{_CUED}(?=[^\"'`\n]{{6}})[^\"'`\n]++(?=[\"'`])"
+    rf"|(?<![A-Za-z0-9]){_KNOWN}[A-Za-z0-9_.-]{{16,}}|{_HOOK}"
     rf"|(?<!{_TOKEN})(?={_NO_DIGIT}*+[0-9]{_NO_DIGIT}*+[0-9]){_TOKEN}{{10,}}={{0,2}}"
     r"|(?:AKIA|ASIA)[A-Z0-9]{16}"
 )
 #: What a text must have to be split at all.
-_MAYBE = rf"-----BEGIN |[0-9][A-Za-z+/_.~-]*+[0-9]|AKIA|ASIA|[=:]>?\s{{0,3}}\\?[\"'`]?[^\s\"'`]{{6}}|(?i:{_CUES})"
+_MAYBE = rf"-----BEGIN |://[^\s/@]*+@|{_KNOWN}|hooks\.slack|[=:]>?\s++\\?[\"'`]?[^\s\"'`]{{6}}|[0-9][A-Za-z+/_.~-]*+[0-9]|AKIA|ASIA|[=:]>?\s{{0,3}}\\?[\"'`]?[^\s\"'`]{{6}}|(?i:{_CUES})"
 _BENIGN = r"(?i)(?:commit|sha1|sha256|md5|checksum|digest|hash|uuid|guid|version|build|isbn|issue|ticket|invoice|order|serial|phone|tel|file|image|path)"
 #: Words that real secrets seldom hold (fixed values, in alphabetical order).
 DICTIONARY = (
@@ -56,7 +71,7 @@ DICTIONARY = (
 FEATURES = (
     "length", "digit_share", "upper_share", "transitions", "distinct_share", "hex", "digits_only", "known_prefix", "coverage",
     "slashes", "dots", "path_like", "path_is_sample", "cue_before", "assigned", "benign_before", "url_before", "at_after",
-    "quoted", "signs", "lower_only", "brackets",
+    "quoted", "signs", "lower_only", "brackets", "user_part",
 )
 
 
@@ -81,7 +96,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
         "distinct_share": F.size(F.array_distinct(F.split(value, ""))) / F.length(value),
         "hex": _flag(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
         "digits_only": _flag(value.rlike("^[0-9.-]+$")),
-        "known_prefix": _flag(value.rlike("^(?:AKIA|ASIA|gh[pousr]_|xox[abp]-|sk-|AIza|eyJ|-----BEGIN )")),
+        "known_prefix": _flag(value.rlike(f"^(?:\\w+:)?/*(?:AKIA|ASIA|eyJ|-----BEGIN |hooks\\.slack|{_KNOWN})")),
         "coverage": _share(F.lower(value), words),
         "slashes": _share(value, "/"),
         "dots": _share(value, r"\."),
@@ -96,6 +111,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
         "signs": _share(value, "[^A-Za-z0-9+/_.~=-]"),
         "lower_only": _flag(value.rlike(r"^\p{Ll}+$")),
         "brackets": _share(value, r"[()<>\[\]{}]"),
+        "user_part": _flag(before.rlike("://$") & after.rlike("^@")),
     }
     return F.struct(*(got[k].cast("double").alias(k) for k in FEATURES))
 
@@ -107,9 +123,14 @@ def candidates(docs: DataFrame) -> DataFrame:
     d = d.withColumn("_values", F.when(F.size("_values") > 0, F.col("_values")))
     d = d.withColumn("_pieces", F.when(F.col("_values").isNotNull(), F.split("text", CANDIDATE, -1)))
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
-    ahead = lambda i: F.concat(F.coalesce(F.get("_values", i - 1), F.lit("")), F.get("_pieces", i))
+    # blanks and cues that a candidate begins with go to the piece before it
+    d = d.withColumn("_leads", F.transform("_values", lambda v: F.regexp_extract(v, _LEADING, 0)))
+    d = d.withColumn("_values", F.transform("_values", lambda v, i: F.substring(v, F.length(F.get("_leads", i)) + 1, F.length(v))))
+    squeezed = lambda i: F.regexp_replace(F.get("_leads", i), r"\s+", " ")
+    ahead = lambda i: F.concat(F.coalesce(F.get("_values", i - 1), F.lit("")), F.get("_pieces", i), squeezed(i))
     made = F.transform("_values", lambda v, i: features(v, F.right(ahead(i), F.lit(48)), F.left(F.get("_pieces", i + 1), F.lit(16)), path))
-    return d.withColumn("_features", made)
+    d = d.withColumn("_features", made)
+    return d.withColumn("_pieces", F.transform("_pieces", lambda p, i: F.concat(p, F.coalesce(F.get("_leads", i), F.lit(""))))).drop("_leads")
 
 
 @dataclass
@@ -169,7 +190,7 @@ def forest_column(forest: list[Node], row: Column) -> Column:
     return total / len(forest)
 
 
-def labelled_findings(n: int = 1200, seed: int = 9) -> list[tuple[str, str, bool]]:
+def labelled_findings(n: int = 1800, seed: int = 9) -> list[tuple[str, str, bool]]:
     """(text, source, is_secret): generated texts with one candidate each, half of them secrets."""
     rng = random.Random(seed)
     hexa, alnum, base64, upper = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits
@@ -185,7 +206,14 @@ def labelled_findings(n: int = 1200, seed: int = 9) -> list[tuple[str, str, bool
     words = lambda: rng.choice((camel() + camel(), some(string.ascii_lowercase, 16, 32), some(string.ascii_letters, 12, 32), odd()))
     plain = lambda: rng.choice((word(), some(string.ascii_lowercase, 6, 12), prose().split()[0] + "ing", word() + some(string.ascii_lowercase, 2, 4)))
     name = lambda: rng.choice(("name", "title", "note", "class", "href", "type", "lang", "from", "to", "key", "label", "x", "result", "Author", "Subject"))
+    phrase = lambda: rng.choice((" ", " ", "-")).join(rng.choice((word(), prose().split()[0])) + rng.choice(("", "", "s", num(1, 2))) for _ in range(rng.randint(2, 4)))
+    leet = lambda: rng.choice((word(), prose().split()[0] + "e")).translate(str.maketrans("aeos", "4305")) + rng.choice((word().capitalize(), prose().split()[0].capitalize())) + num(1, 4)
+    wide = lambda: " " * rng.randint(4, 9)
+    body = lambda: "\n".join(some(base64, 60, 64) for _ in range(rng.randint(2, 6)))
     secret = (
+        lambda: f"{key()}:{wide()}\"{short()}\"", lambda: f"{key()} ={wide()}{short()}", lambda: f"{key()} ={wide()}{leet()}", lambda: f"{key()}={leet()}", lambda: f'{key()}: "{leet()}"', lambda: f'"{key()}": "{phrase()}"', lambda: f"{key()} = '{phrase()}'", lambda: f"postgres://{prose().split()[0]}:{short()}@{prose().split()[0]}/x",
+        lambda: f"https://{prose().split()[0]}:{words()}@host.example", lambda: "glpat-" + some(alnum + "_-", 20, 22), lambda: "ghp_" + some(string.ascii_letters, 36, 36), lambda: "hf_" + some(string.ascii_letters, 34, 34), lambda: f"https://hooks.slack.com/services/T{some(upper, 8, 10)}/B{some(upper, 8, 10)}/{some(alnum, 24, 24)}",
+        lambda: f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{some(upper, 32, 32)}\n\n{body()}\n-----END RSA PRIVATE KEY-----", lambda: f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x 1\n\n{body()}\n={some(base64, 4, 4)}\n-----END PGP PRIVATE KEY BLOCK-----",
         lambda: f"{key()}={short()}", lambda: f'{key()}: "{short()}"', lambda: f"{key()} = '{words()}'", lambda: f'{key()} = "{words()}"', lambda: f"{key()}={camel() + camel()}", lambda: f'"{key()}": "{words()}"',
         lambda: f"{key()} is {short()}", lambda: f"{key()}: {short()}" + rng.choice(("", ",", ".")), lambda: f"{key()}={value()}", lambda: f'{key()} = "{value()}"', lambda: f"{key()}: {value()}", lambda: f"{key()}='{value()}'", lambda: f"{key()} {value()}",
         lambda: rng.choice(("AKIA", "ASIA")) + some(upper, 16, 16), lambda: "ghp_" + some(alnum, 34, 38), lambda: "sk-" + some(alnum, 24, 48), lambda: "AIza" + some(alnum, 33, 35),
@@ -193,6 +221,7 @@ def labelled_findings(n: int = 1200, seed: int = 9) -> list[tuple[str, str, bool
         lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(some(base64, 60, 64) for _ in range(rng.randint(2, 6))) + "\n-----END RSA PRIVATE KEY-----",
     )
     clean = (
+        lambda: f"{name()}:{wide()}{plain()}", lambda: f'{name()} ={wide()}"{plain()} {plain()}"', lambda: f"https://{plain()}.com/@{prose().split()[0]}", lambda: f"{name()}:{wide()}{prose()}",
         lambda: f"{name()}: {plain()}", lambda: f'{name()}="{plain()}"', lambda: f'{name()} = "{plain()} {plain()}"', lambda: f"{key()} {plain()} {prose()}", lambda: f"{key()} is {plain()}", lambda: f"{key()}: {plain()}",
         lambda: f"{name()} = {plain()}({plain()})", lambda: f"{plain()}: {plain().capitalize()}", lambda: f'{name()}="https://{plain()}.com/{plain()}"', lambda: f"{name()}={camel()}", lambda: f"{key()}={word()}({name()})", lambda: f"{name()}: {camel()}{num(1, 2)}",
         lambda: "commit " + some(hexa, 40, 40), lambda: "sha256: " + some(hexa, 64, 64), lambda: "md5 " + some(hexa, 32, 32), lambda: "-".join(some(hexa, k, k) for k in (8, 4, 4, 4, 12)),
@@ -215,7 +244,8 @@ def labelled_findings(n: int = 1200, seed: int = 9) -> list[tuple[str, str, bool
 def fit(spark: SparkSession, labelled: list[tuple[str, str, bool]] | None = None) -> list[Node]:
     """A forest from labelled findings (text with candidates, path, is_secret); their number bounds the driver's work."""
     rows = spark.createDataFrame(labelled or labelled_findings(), "text string, source string, secret boolean").coalesce(1)
-    got = candidates(rows).select("secret", F.explode("_features").alias("f")).select("secret", "f.*").collect()
+    # explode would add a filter on the features, and compute them again for it
+    got = [r for r in candidates(rows).select("secret", F.explode_outer("_features").alias("f")).select("secret", "f.*").collect() if r[FEATURES[0]] is not None]
     x, y = np.array([[r[f] for f in FEATURES] for r in got]), np.array([float(r.secret) for r in got])
     by = np.lexsort((*x.T, y))
     return grow_forest(x[by], y[by])
@@ -242,7 +272,7 @@ def findings(docs: DataFrame, forest: list[Node], threshold: float = 0.5) -> Dat
     inside = lambda c, n: add(F.slice(c, down(n, _STEP) * _STEP + 1, n % _STEP))
     begin = lambda i: add(F.slice("_sums2", F.lit(1), down(i, _STEP * _STEP))) + inside("_sums", down(i, _STEP)) + inside("_long", i) + F.length(F.get("_pieces", i))
     found = F.transform("_values", lambda v, i: F.struct(v.alias("value"), begin(i).alias("start"), F.get("_scores", i).alias("score")))
-    d = d.select("doc_id", F.explode(found).alias("f"))
+    d = d.select("doc_id", F.explode_outer(found).alias("f"))
     n = F.length("f.value")
     return d.select(
         "doc_id", F.col("f.start").cast("long").alias("start"), (F.col("f.start") + n).cast("long").alias("end"), n.alias("length"),
