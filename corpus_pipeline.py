@@ -43,8 +43,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in the packed sequences."""
-    return packing.best_fit(packing.lengths(docs))
+    """Every piece of every document with its text and its place in the packed sequences."""
+    return packing.best_fit(packing.lengths(docs, texts=True))
 
 
 STAGES = [

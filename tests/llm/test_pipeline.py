@@ -34,9 +34,27 @@ def test_each_stage_does_its_work(spark, tmp_path):
     assert '"[SECRET]"' in r.text and key not in r.text and r.n_chars == len(r.text)
     packed = pipeline.STAGES[-1][1](spark, d, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == left
+    pieces = {}
+    for r in packed.collect():
+        pieces.setdefault(r.doc_id, []).append((r.piece, r.text))
+    kept = {r.doc_id: r.text for r in d.collect()}
+    assert {i: " ".join(t for _, t in sorted(p)).split() for i, p in pieces.items()} == {i: t.split() for i, t in kept.items()}
     assert {r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()} == left
 
 
+def test_odd_rows_pass_all_stages(spark, tmp_path):
+    """Null and repeated ids, null texts, null sources and a very long text."""
+    long = text(250_000, 77)
+    rows = [(i, text(80, i), "xx", "s0") for i in range(10, 30)] + [(None, text(60, 41), "xx", None), (None, text(60, 42), None, "s1"), (7, text(60, 43), "xx", "s1"), (7, text(60, 44), "xx", "s1"), (7, text(60, 44), "xx", "s1"), (8, None, "xx", None), (9, long, "xx", "s2")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, text(30, 99)), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r.text for r in got if r.doc_id in (None, 7)) == sorted(text(60, i) for i in (41, 42, 43, 44))
+    assert " ".join(r.text for r in sorted((r for r in got if r.doc_id == 9), key=lambda r: r.piece)).split() == long.split()
+    assert {r.doc_id for r in got} == {*range(10, 30), None, 7, 9}
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))

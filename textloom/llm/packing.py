@@ -11,7 +11,8 @@ so thousands of bins with one cluster or a full source cost one step. If there i
 By default ``per_source`` follows the corpus: about as many documents as its most frequent source has in a bin's worth
 of tokens, two at least.
 
-Scale: lengths and cluster digests come from one map over whole texts; only (id, source, cluster, length) is shuffled.
+Scale: lengths and cluster digests come from one map over whole texts; only (id, source, cluster, length) is shuffled,
+and the words where the packed texts are asked for (a shard has about 2^20 of them, and whole documents).
 Documents are dealt by a hash of the id to shards of about ``shard_tokens`` tokens, packed each in one task, so no
 source, cluster or key decides how much a task gets; the conflicts hold in every bin all the same. Shards grow in
 number with the corpus, not in size.
@@ -106,8 +107,9 @@ def pack(rows: list[tuple], capacity: int, per_source: int) -> list[tuple[int, i
     return [(i, piece, start, -need, bins.place(-need, s, c if c >= 0 else None).id) for need, _, piece, start, i, s, c in pieces]
 
 
-def lengths(docs: DataFrame) -> DataFrame:
-    """row, doc_id, k, source, cluster, n_tokens of every row; staged. Tokens: words between ASCII blanks, and one end.
+def lengths(docs: DataFrame, texts: bool = False) -> DataFrame:
+    """row, doc_id, k, source, cluster, n_tokens (and text: the words, joined by blanks) of every row; staged. Tokens:
+    words between ASCII blanks, and one end.
 
     cluster: the digest of the lower-cased words, so copies up to case and blanks are duplicates.
     """
@@ -122,14 +124,16 @@ def lengths(docs: DataFrame) -> DataFrame:
                 digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 row.append(xxhash.xxh3_64_intdigest(digest[-1], (k + seen[k]) & (2**64 - 1)) >> 1)
                 seen[k] += 1
-            yield {"row": row, "doc_id": batch.column(0), "k": batch.column(1), "source": batch.column(2), "n_tokens": n, "cluster": digest}
+            said = {"text": [b" ".join(text.as_py().split()).decode() for text in batch.column(3)]} if texts else {}
+            yield {**said, "row": row, "doc_id": batch.column(0), "k": batch.column(1), "source": batch.column(2), "n_tokens": n, "cluster": digest}
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("k"), F.col("source").cast("string").alias("source"), utf8().alias("text"))
-    return stage(arrow_map(texts, run, "row long, doc_id long, k long, source string, n_tokens long, cluster binary"), "lengths")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("k"), F.col("source").cast("string").alias("source"), utf8().alias("text"))
+    return stage(arrow_map(rows, run, "row long, doc_id long, k long, source string, n_tokens long, cluster binary" + ", text string" * texts), "lengths")
 
 
 def best_fit(rows: DataFrame, *, capacity: int = CAPACITY, per_source: int | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """doc_id, piece, start, n_tokens, shard, bin of every piece of ``rows`` (as of ``lengths``)."""
+    """doc_id, piece, start, n_tokens, shard, bin of every piece of ``rows`` (as of ``lengths``); and text, if they have it."""
+    texts = "text" in rows.columns
     by_source = rows.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs"))
     total, most = by_source.agg(F.sum("n"), F.max("docs")).first()
     total = total or 0
@@ -144,23 +148,14 @@ def best_fit(rows: DataFrame, *, capacity: int = CAPACITY, per_source: int | Non
         placed = pack(got, capacity, per_source)
         ids = order.column("doc_id").to_pylist()
         i, piece, start, n, b = zip(*placed, strict=True)
+        words = [t.split(" ") for t in order.column("text").to_pylist()] if texts else []
+        said = {"text": pa.array([" ".join(words[x][a : a + m]) for x, a, m in zip(i, start, n, strict=True)], pa.string())} if texts else {}
         return pa.table({
             "doc_id": pa.array([ids[x] for x in i], pa.int64()), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()),
-            "n_tokens": pa.array(n, pa.int64()), "shard": pa.array([key[0].as_py()] * len(i), pa.int64()), "bin": pa.array(b, pa.int32()),
+            "n_tokens": pa.array(n, pa.int64()), "shard": pa.array([key[0].as_py()] * len(i), pa.int64()), "bin": pa.array(b, pa.int32()), **said,
         })
 
-    return dealt.groupBy("shard").applyInArrow(run, "doc_id long, piece int, start long, n_tokens long, shard long, bin int")
-
-
-def texts_of(docs: DataFrame, packed: DataFrame) -> DataFrame:
-    """shard, bin, place, doc_id and text of every piece: the packed sequences, to be written or tokenised.
-
-    Needs unique ids. The text of a piece is its words, joined by blanks.
-    """
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
-    pieces = packed.join(docs.select("doc_id", words.alias("words")), "doc_id")
-    cut = F.array_join(F.slice("words", F.col("start").cast("int") + 1, F.col("n_tokens").cast("int")), " ")
-    return pieces.select("shard", "bin", F.col("n_tokens"), "doc_id", "piece", cut.alias("text"))
+    return dealt.groupBy("shard").applyInArrow(run, "doc_id long, piece int, start long, n_tokens long, shard long, bin int" + ", text string" * texts)
 
 
 def op10(docs: DataFrame) -> DataFrame:
