@@ -1,5 +1,5 @@
 from textloom.operators import lines
-from textloom.sources import files
+from textloom.sources import files, splits
 
 
 def test_scan_statuses_and_empty_files(spark, tmp_path):
@@ -42,3 +42,29 @@ def test_only_changed_files_are_mapped_again(spark):
 
     got = {r.path: r.map for r in files.refreshed(now, known, build).collect()}
     assert made == ["b", "c"] and got == {"a": "old", "b": "new", "c": "new"}
+
+
+def test_split_lines_equal_whole_ones(spark, tmp_path):
+    """Many byte ranges of one file; CRLF, bare CR, marks, long lines, and texts with and without a last line end."""
+    import random
+
+    rng = random.Random(8)
+    piece = lambda: "".join(rng.choice(("word ", "é", "日本", "", "x" * 300)) for _ in range(rng.randrange(9)))
+    texts = {f"r{i}": "".join(piece() + rng.choice(("\n", "\r\n", "\r", "\n\n", "\r\r\n")) for _ in range(rng.randrange(1, 120))) + rng.choice(("", "end", "end\r", "\n")) for i in range(12)}
+    texts |= {"one": "x", "end": "x\n", "cr": "a\r", "crlf": "a\r\n", "mark": "\ufeffa\nb", "mark2": "\ufeffa\n", "only": "\n", "big": "".join(f"line {i}\n" for i in range(20_000))}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    got = splits.numbered_lines(spark, f"file://{tmp_path}")
+    assert splits._rows(spark, f"file://{tmp_path}/big").rdd.getNumPartitions() > 20
+    rows = got.collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    found = {}
+    for r in rows:
+        found.setdefault(r.path.rpartition("/")[2], []).append((r.line_no, r.text))
+    for name, text in texts.items():
+        want = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+        assert sorted(found[name]) == list(enumerate(want, 1)), name

@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..operators import anchors, commands, edits, lines, maps, outline, ranges, reads, search, symbols
 from ..operators.outline.model import KINDS
 from ..sources.tables import table
-from . import composed, indexed, oracles, samples, structures
+from . import composed, indexed, oracles, samples, stored, structures
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -420,8 +420,8 @@ NAMES = (
 
 
 def queries() -> dict[str, Query]:
-    return {name: globals()[name] for name in NAMES} | samples.queries() | composed.queries() | structures.queries() | indexed.queries()
+    return {name: globals()[name] for name in NAMES} | samples.queries() | composed.queries() | structures.queries() | indexed.queries() | stored.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.SQL | samples.oracle_sql() | composed.oracle_sql() | structures.oracle_sql() | indexed.oracle_sql()
+    return oracles.SQL | samples.oracle_sql() | composed.oracle_sql() | structures.oracle_sql() | indexed.oracle_sql() | stored.oracle_sql()
