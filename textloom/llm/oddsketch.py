@@ -39,8 +39,9 @@ from .jaccard import Shingler, contract, distinct_sets, keyed, keys, linked
 
 BANDS, ROWS = 24, 6
 BITS, SAMPLE = 512, 1024
-#: Pairs a bucket entry that may be left to the last step while rounds still find links.
-LEFT = 16
+#: Pairs a bucket entry that may be left to the last step while rounds still find links (a comparison of two sketches
+#: is far cheaper than what a round moves).
+LEFT = 256
 _rng = np.random.default_rng(23)
 _FACTORS = (_rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1))[:, None]
 _TURNS = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)[:, None]
