@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import islice
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,46 +16,63 @@ from ..functions import text as T
 #: Tiers in order, and how many candidates an ambiguous lookup names.
 TIERS = ("name@line", "exact", "path", "case-insensitive", "prefix", "word", "substring")
 SHOWN = 5
-#: Queries looked up in one pass.
-AT_ONCE = 500
+#: Queries in one automaton; more queries take more passes over the distinct names.
+AT_ONCE = 100_000
 
 
 def matches(symbols: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
     """All hits of the deciding tier: query, key, tier, rank (in pre-order), hits, and the symbol's columns.
 
-    symbols: key, sym_id, path, name, start_line, ...; queries: query, looked up in every document. Queries are put into
-    the plan as an array, at most AT_ONCE of them for a pass over the symbols, and more passes for more; nothing is joined.
+    symbols: key, sym_id, path, name, start_line, ...; queries: query, looked up in every document. Lines and paths are
+    looked up by joins on equality. All other tiers hold the query within the name: an automaton of all queries goes
+    over the distinct names once, and what it finds is joined back by name, so work follows names and hits, not their
+    product with the queries.
     """
     q = queries.select("query", T.trimmed("query").alias("_q")).where(F.col("_q") != "").distinct()
-    q = q.select(
-        "query", "_q", F.lower("_q").alias("_low"), F.split("_q", "@").alias("_at"),
-        F.transform(F.split("_q", r"\."), lambda x: T.trimmed(x)).alias("_dots"),
+    q = q.select("query", "_q", F.lower("_q").alias("_low"), F.split("_q", "@").alias("_at"), F.transform(F.split("_q", r"\."), lambda x: T.trimmed(x)).alias("_dots"))
+    columns = symbols.columns
+    s = symbols.withColumn("_name", F.lower("name"))
+
+    number = F.get("_at", F.lit(1))
+    lined = q.where((F.size("_at") == 2) & (F.get("_at", F.lit(0)) != "") & number.rlike("^[0-9]+$")).select("query", F.get("_at", F.lit(0)).alias("_of"), F.ltrim(number, F.lit("0")).alias("_line"))
+    by_line = symbols.join(lined, (F.col("name") == F.col("_of")) & (F.col("start_line").cast("string") == F.col("_line"))).select("query", *columns, F.lit(1).alias("tier"))
+    pathed = q.where((F.size("_dots") >= 2) & ~F.array_contains("_dots", "")).select("query", F.to_json("_dots").alias("_of"))
+    by_path = symbols.join(pathed, F.to_json("path") == F.col("_of")).select("query", *columns, F.lit(3).alias("tier"))
+
+    held = _held(s.select("_name").distinct(), q.select("_low").distinct())
+    d = s.join(held, "_name").join(q.select("query", "_q", "_low"), "_low")
+    words = F.split(F.lower(F.regexp_replace("name", "([a-z])([A-Z])", "$1 $2")), r"[\s_]+")
+    tier = (
+        F.when(F.col("name") == F.col("_q"), 2).when(F.col("_name") == F.col("_low"), 4).when(F.startswith("_name", F.col("_low")), 5)
+        .when(F.array_contains(words, F.col("_low")), 6).otherwise(7)
     )
-    rows = q.toLocalIterator()
-    passes = [_hits(symbols, part) for part in iter(lambda: list(islice(rows, AT_ONCE)), [])]
-    d = reduce(DataFrame.unionByName, passes) if passes else _hits(symbols, [])
+    d = d.select("query", *columns, tier.alias("tier")).union(by_line).union(by_path)
     per = Window.partitionBy("query", key)
     d = d.withColumn("_best", F.min("tier").over(per)).where("tier = _best")
     return d.withColumn("hits", F.count("*").over(per)).withColumn("rank", F.row_number().over(per.orderBy("sym_id"))).drop("_best")
 
 
-def _hits(symbols: DataFrame, asked: list) -> DataFrame:
-    """The symbols' columns with query and tier, a row for each of ``asked`` that a symbol matches in any way."""
-    each = [F.struct(*(F.lit(r[c]).alias(c) if isinstance(r[c], str) else F.array(*(F.lit(x) for x in r[c])).alias(c) for c in ("query", "_q", "_low", "_at", "_dots"))) for r in asked]
-    none = F.array().cast("array<struct<query string, _q string, _low string, _at array<string>, _dots array<string>>>")
-    low = F.lower("name")
-    # every non-null tier but the first and the path holds the query as a substring
-    may = lambda x: F.contains(low, x["_low"]) | F.contains(x["_q"], F.lit("@")) | F.contains(x["_q"], F.lit("."))
-    d = symbols.select("*", F.inline(F.filter(F.array(*each) if each else none, may)))
-    name = F.col("name")
-    words = F.split(F.lower(F.regexp_replace("name", "([a-z])([A-Z])", "$1 $2")), r"[\s_]+")
-    by_line = (F.size("_at") == 2) & (F.get("_at", F.lit(0)) != "") & F.get("_at", F.lit(1)).rlike("^[0-9]+$") & (name == F.get("_at", F.lit(0))) & (F.col("start_line").cast("string") == F.ltrim(F.get("_at", F.lit(1)), F.lit("0")))
-    by_path = (F.size("_dots") >= 2) & ~F.array_contains("_dots", "") & (F.col("path") == F.col("_dots"))
-    tier = (
-        F.when(by_line, 1).when(name == F.col("_q"), 2).when(by_path, 3).when(low == F.col("_low"), 4).when(F.startswith(low, F.col("_low")), 5)
-        .when(F.array_contains(words, F.col("_low")), 6).when(F.contains(low, F.col("_low")), 7)
-    )
-    return d.withColumn("tier", tier).where("tier is not null").drop("_q", "_low", "_at", "_dots")
+def _held(names: DataFrame, asked: DataFrame) -> DataFrame:
+    """_name and each _low that it holds. An automaton has AT_ONCE queries at most, which bounds what is sent to tasks."""
+    spark = names.sparkSession
+    rows = (r[0] for r in asked.toLocalIterator())
+    passes = []
+    while part := list(islice(rows, AT_ONCE)):
+        sent = spark.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for word in sent.value:
+                automaton.add_word(word, word)
+            automaton.make_automaton()
+            for batch in batches:
+                found = [(name, low) for name in batch.column(0).to_pylist() if name for low in {x for _, x in automaton.iter(name)}]
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in range(2)], names=["_name", "_low"])
+
+        passes.append(names.mapInArrow(run, "_name string, _low string"))
+    return reduce(DataFrame.union, passes) if passes else spark.createDataFrame([], "_name string, _low string")
 
 
 def lookup(symbols: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import anchors, commands, edits, lines, maps, outline, ranges, reads, search, symbols
+from ..operators import anchors, commands, edits, lines, maps, outline, ranges, reads, search, segments, symbols
 from ..operators.outline.model import KINDS
 from ..sources.tables import table
 from . import composed, indexed, oracles, samples, stored, structures
@@ -220,9 +220,10 @@ def heading_parent(spark: SparkSession, folder: str) -> DataFrame:
 
 def sections_forward_fill(spark: SparkSession, folder: str) -> DataFrame:
     """For each line the last heading at or before it, 0 where there is none."""
-    w = Window.partitionBy("page_id").orderBy("line_no")
     head = F.when(F.col("text").rlike("^#{1,6} "), F.col("line_no"))
-    return _markdown_lines(spark, folder).select("page_id", "line_no", F.coalesce(F.last(head, True).over(w), F.lit(0)).alias("section_line"))
+    heads = _markdown_lines(spark, folder).select("page_id", "line_no", head.alias("head"))
+    found = segments.scans(heads, "page_id", ["line_no"], {"section_line": (F.col("head"), "last")})
+    return found.select("page_id", "line_no", F.coalesce("section_line", F.lit(0)).alias("section_line"))
 
 
 def lead_end_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -235,11 +236,11 @@ def lead_end_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def session_turn_spans(spark: SparkSession, folder: str) -> DataFrame:
     """User turns reach to the turn before the next one."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    d = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    d = d.withColumn("last", F.max("turn").over(Window.partitionBy("conv_id"))).where("role = 'user'")
     flat = F.btrim(F.regexp_replace("text", r"[ \t\r\n]+", " "))
-    return d.select("conv_id", F.col("turn").alias("start_turn"), F.coalesce(F.lead("turn").over(w) - 1, F.col("last")).alias("end_turn"), T.truncate(flat, 80).alias("preview"))
+    d = table(spark, folder, "conversations").select("conv_id", "turn", "role", F.when(F.col("role") == "user", T.truncate(flat, 80)).alias("preview"))
+    user = F.when(F.col("role") == "user", F.col("turn"))
+    d = segments.scans(d, "conv_id", ["turn"], {"following": (user, "last"), "final": (F.col("turn"), "max")}, reverse=True, exclusive=True)
+    return d.where("role = 'user'").select("conv_id", F.col("turn").alias("start_turn"), F.coalesce(F.col("following") - 1, F.greatest("turn", "final")).alias("end_turn"), "preview")
 
 
 def session_stats(spark: SparkSession, folder: str) -> DataFrame:
