@@ -284,6 +284,15 @@ def symbol_lookup_tiers(spark: SparkSession, folder: str) -> DataFrame:
     return symbols.matches(_part_symbols(spark, folder), queries).where(F.col("rank") <= symbols.SHOWN).select("query", "doc_id", "sym_id", "tier", "hits", "rank")
 
 
+def symbol_lookup_many(spark: SparkSession, folder: str) -> DataFrame:
+    """As many lookups as there are parts: each part by its name and line, and by its path."""
+    parts = _part_symbols(spark, folder).drop("path").join(table(spark, folder, "part").select(F.col("p_partkey").alias("sym_id"), "p_type"), "sym_id")
+    parts = parts.withColumn("path", F.array("p_type", "name"))
+    by_line = parts.select(F.concat("name", F.lit("@"), F.col("start_line").cast("string")).alias("query"))
+    asked = by_line.union(parts.select(F.concat_ws(".", "p_type", "name"))).distinct()
+    return symbols.matches(parts.drop("p_type"), asked).select("query", "doc_id", "sym_id", "tier", "hits", "rank")
+
+
 #: A command by event type, for queries over events.
 COMMANDS = {
     "error": "eslint src", "signup": "npm install", "purchase": "make all", "view": "git log", "click": "find . -name x", "login": "cargo test",
@@ -415,7 +424,7 @@ NAMES = (
     "grep_context_dedup", "grep_cap_per_file", "grep_more_matches", "grep_summary", "grep_limit", "grep_limit_notice", "grep_text_only", "grep_binary_warnings", "read_requests", "grep_rendered", "range_merge", "range_expand",
     "anchor_verify", "anchor_relocate", "anchor_parse", "similar_lines_topk", "duplicate_canonical_lines", "lang_detect_by_ext", "url_dir_counts",
     "fence_headings", "heading_parent", "sections_forward_fill", "lead_end_lines", "session_turn_spans", "session_stats", "json_props_schema", "csv_shape",
-    "symbol_lookup_tiers", "command_route", "command_condensed", "ansi_strip", "savings", "test_summary", "lint_top_rules", "lint_top_files", "log_compact",
+    "symbol_lookup_tiers", "symbol_lookup_many", "command_route", "command_condensed", "ansi_strip", "savings", "test_summary", "lint_top_rules", "lint_top_files", "log_compact",
     "truncate_lines_middle", "positional_diff", "edit_apply", "edit_diffs", "markup_outline", "map_budget", "session_outline", "kind_counts",
 )
 

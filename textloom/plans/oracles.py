@@ -208,6 +208,10 @@ t AS (SELECT query, p_brand AS doc_id, p_partkey AS sym_id, CASE WHEN p_name = q
 b AS (SELECT *, min(tier) OVER (PARTITION BY query, doc_id) AS best FROM t WHERE tier IS NOT NULL),
 r AS (SELECT query, doc_id, sym_id, tier, count(*) OVER w AS hits, row_number() OVER (PARTITION BY query, doc_id ORDER BY sym_id)::INT AS rank FROM b WHERE tier = best WINDOW w AS (PARTITION BY query, doc_id))
 SELECT * FROM r WHERE rank <= 5""",
+    "symbol_lookup_many": """WITH q AS (
+  SELECT p_name || '@' || (p_partkey + 1) AS query, p_brand AS doc_id, p_partkey AS sym_id, 1 AS tier FROM part
+  UNION ALL SELECT p_type || '.' || p_name, p_brand, p_partkey, 3 FROM part)
+SELECT query, doc_id, sym_id, tier, count(*) OVER w AS hits, row_number() OVER (PARTITION BY query, doc_id ORDER BY sym_id)::INT AS rank FROM q WINDOW w AS (PARTITION BY query, doc_id)""",
     "command_route": f"""SELECT event_id, {_COMMAND} AS command, CASE event_type WHEN 'error' THEN 'lint' WHEN 'signup' THEN 'install' WHEN 'purchase' THEN 'build tools' WHEN 'view' THEN 'git log'
   WHEN 'click' THEN 'listing' WHEN 'login' THEN 'test' WHEN 'logout' THEN 'http' WHEN 'search' THEN 'transfer' WHEN 'add_to_cart' THEN 'docker' WHEN 'page_view' THEN 'git status' ELSE 'none' END AS route FROM events""",
     "ansi_strip": f"SELECT event_id, {_PLAIN} AS stripped FROM events",
