@@ -115,7 +115,7 @@ def test_json_lines_and_sessions():
         '{"type":"message","message":{"role":"assistant","content":"x"}}', '{"type":"model_change","provider":"p","modelId":"m"}', '{"type":"compaction"}', '{"type":"message","message":{"role":"user","content":"again"}}', "bad", "",
     ])
     assert names(log, "jsonl") == [
-        ("Pi Session: /w (2024-01-02 03:04 UTC)", "module", 1, 1), ("Stats: 2 user, 1 assistant, 1 compaction, 1 model change", "property", 1, 7), ("[User] hi there", "function", 2, 4),
+        ("Session: /w (2024-01-02 03:04 UTC)", "module", 1, 1), ("Stats: 2 user, 1 assistant, 1 compaction, 1 model change", "property", 1, 7), ("[User] hi there", "function", 2, 4),
         ("[Model] p/m", "namespace", 4, 4), ("[Compaction]", "namespace", 5, 5), ("[User] again", "function", 6, 7),
     ]
     many = "\n".join('{"k":%d}' % i for i in range(30))
@@ -126,7 +126,7 @@ def test_json_lines_and_sessions():
 def test_long_texts_reach_their_scanner():
     long = "x" * 20_000_001
     log = '{"type":"session","cwd":"/w","timestamp":"2024-01-02T03:04:05Z"}\n{"type":"message","message":{"role":"user","content":"hi"}}\n{"type":"message","message":{"role":"assistant","content":"%s"}}'
-    assert names(log % long, "jsonl") == [("Pi Session: /w (2024-01-02 03:04 UTC)", "module", 1, 1), ("Stats: 1 user, 1 assistant", "property", 1, 3), ("[User] hi", "function", 2, 3)]
+    assert names(log % long, "jsonl") == [("Session: /w (2024-01-02 03:04 UTC)", "module", 1, 1), ("Stats: 1 user, 1 assistant", "property", 1, 3), ("[User] hi", "function", 2, 3)]
     assert names(f"# A\n{long}\n# B", "markdown") == [("A", "class", 1, 2), ("B", "class", 3, 3)]
     many = "".join(f"k{i}:\n  a: 1\n" for i in range(50_000))
     assert len(names(many, "yaml")) == 100_000

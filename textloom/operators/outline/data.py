@@ -155,8 +155,8 @@ def session(lines: list[str], head: dict) -> Outline:
     if turn:
         turn.end = len(lines)
     shown = ", ".join(f"{n} {what}" for what, n in counts.items() if n)
-    top = [Symbol(f"Pi Session: {head['cwd']} ({minute(head['timestamp'])})", "module", 1, 1), Symbol(f"Stats: {shown}", "property", 1, len(lines))]
-    return Outline("Pi Session", len(lines), top + symbols)
+    top = [Symbol(f"Session: {head['cwd']} ({minute(head['timestamp'])})", "module", 1, 1), Symbol(f"Stats: {shown}", "property", 1, len(lines))]
+    return Outline("Session log", len(lines), top + symbols)
 
 
 _YAML_KEY = re.compile(r"(\s*)(-\s+)?([a-zA-Z_][\w.-]*)\s*:", re.A)

@@ -29,10 +29,10 @@ def markdown(text: str, name: str = "") -> Outline | None:
     return Outline("Markdown", total, roots) if roots else None
 
 
+#: Statements that define something, in order of precedence, and the pieces that they share.
 _NAME = r'(?:"?(\w+)"?\.)?"?(\w+)"?'
 _ONCE = r"(?:IF\s+NOT\s+EXISTS\s+)?"
 _OR = r"(?:OR\s+REPLACE\s+)?"
-#: Statements that define something, in order of precedence.
 DDL = (
     ("TABLE", "class", rf"CREATE\s+{_OR}(?:TEMP(?:ORARY)?\s+)?TABLE\s+{_ONCE}{_NAME}"),
     ("VIEW", "class", rf"CREATE\s+{_OR}(?:TEMP(?:ORARY)?\s+)?(?:MATERIALIZED\s+)?VIEW\s+{_ONCE}{_NAME}"),
@@ -69,12 +69,15 @@ KEYWORDS = (
     ("struct ", "struct"), ("enum ", "enum"), ("interface ", "interface"), ("type ", "type"), ("#define ", "constant"), ("CREATE TABLE", "table"),
     ("CREATE VIEW", "view"), ("CREATE FUNCTION", "function"), ("CREATE PROCEDURE", "procedure"), ("ALTER TABLE", "table"),
 )
-_LEAD = [
-    re.compile(p, re.A) for p in (
-        r"(?:async\s+)?def\s+", r"class\s+", r"func\s+", r"function\s+", r"export\s+(?:async\s+)?function\s+", r"export\s+(?:const|let|var)\s+",
-        r"struct\s+", r"enum\s+", r"interface\s+", r"type\s+", r"#define\s+", r"(?i:CREATE\s+(?:TABLE|VIEW|FUNCTION|PROCEDURE|INDEX|TRIGGER)\s+)", r"(?i:ALTER\s+TABLE\s+)",
-    )
-]
+#: Words that may stand before the name; those of SQL in any case.
+_BEFORE = {w for start, _ in KEYWORDS for w in start.split()} | {"const", "let", "var", "INDEX", "TRIGGER"}
+
+
+def _named(line: str) -> str:
+    """What follows the known words that a line begins with."""
+    while (word := line.split(maxsplit=1)[:1]) and (word[0] in _BEFORE or word[0].upper() in _BEFORE):
+        line = line[len(word[0]) :].lstrip()
+    return line
 
 
 def keywords(text: str, name: str = "", language: str = "Unknown", most: int = 500) -> Outline | None:
@@ -83,9 +86,7 @@ def keywords(text: str, name: str = "", language: str = "Unknown", most: int = 5
     for i, line in enumerate(text.split("\n"), 1):
         if len(symbols) < most and line.startswith(tuple(k for k, _ in KEYWORDS)):
             line = line.strip()
-            rest = line
-            for lead in _LEAD:
-                rest = lead.sub("", rest, count=1) if lead.match(rest) else rest
+            rest = _named(line)
             m = re.match(r"[\w$]+", rest, re.A)
             title = m[0] if m else re.split(r"\s|[({<:]", rest)[0] or "unknown"
             kind = next((kind for k, kind in KEYWORDS if line.lower().startswith(k.lower())), "unknown")

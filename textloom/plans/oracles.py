@@ -238,7 +238,7 @@ SELECT n.page_id, n.sym_id, coalesce(o.sym_id, -1) AS parent_id, n.line_no AS st
 u AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY line) + 1)::INT AS sym_id, '[User] ' || {_PREVIEW} AS name, 'function' AS kind, line::INT AS start_line,
   coalesce(lead(line) OVER (PARTITION BY conv_id ORDER BY line) - 1, total)::INT AS end_line FROM c WHERE role = 'user'),
 n AS (SELECT conv_id, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS a, count(*) + 1 AS total FROM conversations GROUP BY conv_id)
-SELECT * FROM u UNION ALL SELECT conv_id, 0, 'Pi Session: /w (2024-01-02 03:04 UTC)', 'module', 1, 1 FROM n
+SELECT * FROM u UNION ALL SELECT conv_id, 0, 'Session: /w (2024-01-02 03:04 UTC)', 'module', 1, 1 FROM n
 UNION ALL SELECT conv_id, 1, 'Stats: ' || concat_ws(', ', CASE WHEN u > 0 THEN u || ' user' END, CASE WHEN a > 0 THEN a || ' assistant' END), 'property', 1, total::INT FROM n""",
     "kind_counts": f"""SELECT kind, CASE kind WHEN 'function' THEN (SELECT count(*) FROM conversations WHERE role = 'user')
   WHEN 'module' THEN (SELECT count(DISTINCT conv_id) FROM conversations) WHEN 'property' THEN (SELECT count(DISTINCT conv_id) FROM conversations) ELSE 0 END AS n

@@ -270,7 +270,7 @@ def _map_sql(level: str) -> str:
     before, middle, after, _ = SAMPLES["typescript"]
     return f"""WITH p AS (SELECT p_partkey AS doc_id, p_size AS n, 'p' || p_partkey AS w, chr(10) AS lf, repeat('─', 60) AS bar,
   replace({_literal(before)} || repeat({_literal(middle)}, p_size) || {_literal(after)}, 'WORD', 'p' || p_partkey) AS t FROM part)
-SELECT doc_id, '{level}' AS level, {head} || {named} || lf || w || ' = ... [1]' || lf || lf || bar || lf || 'Use read(path, offset=LINE, limit=N) for targeted reads.' || lf || bar AS map_text FROM p"""
+SELECT doc_id, '{level}' AS level, {head} || {named} || lf || w || ' = ... [1]' || lf || lf || bar || lf || 'A slice from LINE on shows a symbol''s text.' || lf || bar AS map_text FROM p"""
 
 
 def _diff_sql(last_only: bool) -> str:
