@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import chat, decontam, jaccard, langid, lm, packing, pii, quality, secrets, suffixes
 
@@ -493,6 +494,25 @@ def test_op1_enum_and_items(spark):
     assert [got[str(i)] for i in range(7)] == [[], ["$.on: enum"], [], ["$.l: items"], ["$.l: items"], [], []]
 
 
+def test_op1_schema_words(spark):
+    """Lists of types, combinators, references, bounds, members of any name; a plain reading of each rule decides."""
+    even = {"$defs": {"small": {"maximum": 5}}, "type": "object", "properties": {
+        "n": {"type": ["string", "null"]}, "a b": {"type": "integer"}, "x": {"anyOf": [{"type": "string"}, {"$ref": "#/$defs/small"}]}, "o": {"oneOf": [{"minimum": 3}, {"maximum": 4}]},
+        "e": {"exclusiveMinimum": 1, "exclusiveMaximum": 3}, "l": {"minItems": 1, "maxItems": 2}, "c": {"const": "k"}, "m": {"allOf": [{"minLength": 2}, {"not": {"pattern": "^z"}}]},
+    }, "format": "note only"}
+    cases = [
+        ('{"n": null}', []), ('{"n": "s"}', []), ('{"n": 1}', ["$.n: not string or null"]), ('{"a b": 1}', []), ('{"a b": "1"}', ["$.a b: not integer"]), ('{"x": "s"}', []), ('{"x": 4}', []), ('{"x": 6}', ["$.x: anyOf"]),
+        ('{"o": 2}', []), ('{"o": 5}', []), ('{"o": 3.5}', ["$.o: oneOf"]), ('{"e": 2}', []), ('{"e": 1}', ["$.e: exclusiveMinimum"]), ('{"e": 3}', ["$.e: exclusiveMaximum"]), ('{"l": []}', ["$.l: minItems"]), ('{"l": [1, 2, 3]}', ["$.l: maxItems"]),
+        ('{"l": [1]}', []), ('{"c": "k"}', []), ('{"c": "q"}', ["$.c: const"]), ('{"m": "ab"}', []), ('{"m": "z"}', ["$.m: minLength", "$.m: not"]), ("[]", ["$: not object"]),
+    ]
+    calls = calls_of(spark, [(1, str(i), "t", t, i, None) for i, (t, _) in enumerate(cases)])
+    got = {r.call_id: r.errors for r in chat.link(calls, spark.createDataFrame([], "conv_id long, call_id string, content string, position long"), {"t": even}).collect()}
+    assert {i: sorted(got[str(i)]) for i in range(len(cases))} == {i: e for i, (_, e) in enumerate(cases)}
+    for bad in ({"uniqueItems": True}, {"properties": {"a": {"multipleOf": 2}}}, {"$ref": "#/$defs/x", "$defs": {"x": {"$ref": "#/$defs/x"}}}):
+        with pytest.raises(ValueError, match="unknown words|references"):
+            chat.schema_errors(F.col("v"), bad)
+
+
 def calls_of(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, call_id string, name string, arguments string, position long, after array<string>")
 

@@ -4,7 +4,8 @@ Calls and results are joined by (conversation, call id). A call's level is the l
 it depends on; calls in the order of (level, position, id) follow all that they depend on. Chains of calls with one
 dependency are followed by pointer doubling, in as many rounds as the logarithm of their length; only calls with several
 dependencies are peeled, a round for each such call on a path. Arguments are validated against JSON schemas that are
-compiled to expressions. Canonical JSON has sorted keys at every depth, no blanks, and no null members at the top.
+compiled to expressions: types and lists of them, bounds, patterns, enumerations, members, items, allOf, anyOf, oneOf, not
+and local references; a schema with any other rule is refused. Canonical JSON has sorted keys at every depth, no blanks, and no null members at the top.
 
 Scale: everything is DataFrame expressions; the join's key holds the call id, so a conversation with a third of all
 turns is dealt out like any other. No conversation is gathered in one task.
@@ -19,6 +20,7 @@ own row without a level; null text is an empty argument or result; extra columns
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -36,37 +38,105 @@ _TYPES = {
 }
 
 
-def schema_errors(value: Column, schema: dict[str, Any], path: str = "$") -> list[Column]:
-    """One expression a rule: null, or what is wrong. value: a variant (null: absent)."""
+#: Words of a schema that say nothing about values.
+_NOTES = {"title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly", "format", "$schema", "$id", "$comment", "$defs", "definitions"}
+
+
+def _member(path: str, name: str) -> str:
+    """A variant's path to a member of any name."""
+    if name.isidentifier():
+        return f"{path}.{name}"
+    quote = next((q for q in "'\"" if q not in name), None)
+    if quote is None:
+        raise ValueError(f"a member's name with both kinds of quotes can't be reached: {name}")
+    return f"{path}[{quote}{name}{quote}]"
+
+
+def _referred(schema: dict[str, Any], whole: dict[str, Any], above: tuple[str, ...]) -> tuple[dict[str, Any], tuple[str, ...]]:
+    """The schema that a local ``$ref`` names; one that leads to itself has no expression."""
+    ref = schema["$ref"]
+    if not ref.startswith("#/") or ref in above:
+        raise ValueError(f"only local references that don't repeat are known: {ref}")
+    found: Any = whole
+    for part in ref[2:].split("/"):
+        found = found[part.replace("~1", "/").replace("~0", "~")]
+    return found, (*above, ref)
+
+
+def schema_errors(value: Column, schema: dict[str, Any] | bool, path: str = "$", at: str = "$", whole: dict[str, Any] | None = None, above: tuple[str, ...] = ()) -> list[Column]:
+    """One expression a rule: null, or what is wrong. value: a variant (null: absent); path: as shown; at: as variants
+    are asked. A word of the schema that isn't known is an error when the schema is compiled, never passed over."""
+    if isinstance(schema, bool):
+        schema = {} if schema else {"not": {}}
+    whole = schema if whole is None else whole
+    unknown = set(schema) - _NOTES - _RULES.keys() - {"type", "$ref", "required", "properties", "items", "additionalProperties", "anyOf", "oneOf", "allOf", "not"}
+    if unknown:
+        raise ValueError(f"{path}: unknown words in a schema: {', '.join(sorted(unknown))}")
     here = lambda p: F.try_variant_get(value, p, "variant")
-    kind = F.schema_of_variant(here(path))
-    there = here(path).isNotNull()
+    inner = lambda s, v=value, p=path, q=at, seen=above: schema_errors(v, s, p, q, whole, seen)
+    holds = lambda s: F.coalesce(*inner(s), F.lit(None).cast("string")).isNull()
+    there = here(at).isNotNull()
+    wrong = lambda fails, what: F.when(there & fails, f"{path}: {what}")
     out = []
+    if "$ref" in schema:
+        found, seen = _referred(schema, whole, above)
+        out += inner(found, seen=seen)
     if want := schema.get("type"):
-        out.append(F.when(there & ~kind.rlike(_TYPES[want]), f"{path}: not {want}"))
-    text = F.try_variant_get(value, path, "string")
-    number = F.try_variant_get(value, path, "double")
-    checks = {
-        "minimum": lambda x: number < x, "maximum": lambda x: number > x, "minLength": lambda x: F.length(text) < x, "maxLength": lambda x: F.length(text) > x,
-        "pattern": lambda x: ~text.rlike(x), "enum": lambda x: ~text.isin([v if isinstance(v, str) else json.dumps(v) for v in x]),
-    }
-    for rule, fails in checks.items():
+        kinds = [want] if isinstance(want, str) else want
+        out.append(wrong(~F.schema_of_variant(here(at)).rlike("|".join(_TYPES[k] for k in kinds)), f"not {' or '.join(kinds)}"))
+    for rule, fails in _RULES.items():
         if rule in schema:
-            out.append(F.when(there & fails(schema[rule]), f"{path}: {rule}"))
+            out.append(wrong(fails(value, at, schema[rule]), rule))
+    for s in schema.get("allOf", ()):
+        out += inner(s)
+    if "anyOf" in schema:
+        out.append(wrong(~F.array_contains(F.array(*map(holds, schema["anyOf"])), True), "anyOf"))
+    if "oneOf" in schema:
+        out.append(wrong(F.size(F.filter(F.array(*map(holds, schema["oneOf"])), lambda x: x)) != 1, "oneOf"))
+    if "not" in schema:
+        out.append(wrong(holds(schema["not"]), "not"))
     for name in schema.get("required", ()):
-        out.append(F.when(there & here(f"{path}.{name}").isNull(), f"{path}.{name}: missing"))
-    for name, inner in schema.get("properties", {}).items():
-        out += schema_errors(value, inner, f"{path}.{name}")
+        out.append(F.when(there & F.schema_of_variant(here(at)).rlike(_TYPES["object"]) & here(_member(at, name)).isNull(), f"{path}.{name}: missing"))
+    for name, s in schema.get("properties", {}).items():
+        out += inner(s, p=f"{path}.{name}", q=_member(at, name))
     if "items" in schema:
-        wrong = lambda x: F.coalesce(*schema_errors(x, schema["items"]), F.lit(None).cast("string")).isNotNull()
-        out.append(F.when(F.exists(F.try_variant_get(value, path, "array<variant>"), wrong), f"{path}: items"))
-    if schema.get("additionalProperties", True) is False:
-        known = F.array(*(F.lit(k) for k in schema.get("properties", {})))
-        keys = F.json_object_keys(F.to_json(here(path)))
-        out.append(F.when(F.size(F.array_except(keys, known)) > 0, f"{path}: additional members"))
+        bad = lambda x: F.coalesce(*inner(schema["items"], v=x, p="$", q="$"), F.lit(None).cast("string")).isNotNull()
+        out.append(F.when(F.exists(F.try_variant_get(value, at, "array<variant>"), bad), f"{path}: items"))
+    more = schema.get("additionalProperties", True)
+    if more is False:
+        known = F.array(*(F.lit(k) for k in schema.get("properties", {}))).cast("array<string>")
+        out.append(F.when(F.size(F.array_except(F.json_object_keys(F.to_json(here(at))), known)) > 0, f"{path}: additional members"))
+    elif more is not True:
+        raise ValueError(f"{path}: schemas of additional members aren't known")
     return out
 
 
+def _text(value: Column, at: str) -> Column:
+    return F.try_variant_get(value, at, "string")
+
+
+def _number(value: Column, at: str) -> Column:
+    return F.try_variant_get(value, at, "double")
+
+
+def _length(value: Column, at: str) -> Column:
+    return F.size(F.try_variant_get(value, at, "array<variant>"))
+
+
+def _one_of(value: Column, at: str, of: list) -> Column:
+    return ~_text(value, at).isin([v if isinstance(v, str) else json.dumps(v) for v in of])
+
+
+#: rule: whether a value (a variant, the path in it) fails it.
+_RULES: dict[str, Callable[[Column, str, Any], Column]] = {
+    "minimum": lambda v, at, x: _number(v, at) < x, "maximum": lambda v, at, x: _number(v, at) > x,
+    "exclusiveMinimum": lambda v, at, x: _number(v, at) <= x, "exclusiveMaximum": lambda v, at, x: _number(v, at) >= x,
+    "minLength": lambda v, at, x: F.length(_text(v, at)) < x, "maxLength": lambda v, at, x: F.length(_text(v, at)) > x,
+    "minItems": lambda v, at, x: _length(v, at) < x, "maxItems": lambda v, at, x: _length(v, at) > x,
+    "pattern": lambda v, at, x: ~_text(v, at).rlike(x), "enum": _one_of, "const": lambda v, at, x: _one_of(v, at, [x]),
+}
+
+
 def canonical(text: Column) -> Column:
     """JSON text with sorted keys and no blanks; what isn't JSON becomes a JSON string."""
     as_string = F.to_json(F.struct(F.coalesce(text, F.lit("")).alias("s")))
@@ -137,7 +207,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
 CONVERSATION_TOOLS = {
     "reply": {
         "type": "object", "required": ["prompt", "turn"], "additionalProperties": False,
-        "properties": {"prompt": {"type": "string", "minLength": 1, "maxLength": 500, "pattern": r"(?s)^(?!.*\S{21})"}, "turn": {"type": "integer", "minimum": 0}},
+        "properties": {"prompt": {"type": "string", "minLength": 1, "maxLength": 500, "pattern": r"(?s)^(?!.*\S{21})", "anyOf": [{"pattern": r"\?\s*$"}, {"maxLength": 300}]}, "turn": {"type": ["integer", "null"], "minimum": 0}},
     },
     "set_context": {"type": "object", "required": ["prompt"], "properties": {"prompt": {"type": "string"}, "turn": {"type": "integer", "maximum": 0}}},
 }
