@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 
 from textloom.operators import commands, condense
@@ -109,3 +110,15 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     stream.write_condensed(stream.read_events(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"), once=True).awaitTermination(120)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, commands.condensed(d).collect()))
     assert {r.route for r in stream.savings(d).collect()} == {"build tools", "git log", "none"}
+
+
+def test_a_reducer_that_breaks_shows(spark, monkeypatch):
+    def broken(command, output):
+        raise KeyError
+
+    events = spark.createDataFrame([(1, "git diff", "diff --git a/x b/x\n"), (2, "find . -name x", "a/b\n" * 30), (3, "echo", "x")], "event_id long, command string, output string")
+    assert {r.status for r in commands.condensed(events).collect()} == {"ok"}
+    monkeypatch.setitem(commands.REDUCERS, "listing", broken)
+    route = pa.array(["listing", "git diff", "listing"])
+    got = commands._stateful.func(route, pa.array(["find", "git diff", "find"]), pa.array(["a", "x", None]))
+    assert got.field("failed").to_pylist() == [True, False, False]

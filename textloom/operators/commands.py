@@ -10,7 +10,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from ..functions import text as T
 from . import condense as C
@@ -72,20 +72,28 @@ def condensed_log(output: Column) -> Column:
     return F.array_join(F.when(F.size(parts) > C.LOG_LINES, F.concat(shown, more)).otherwise(shown), "\n")
 
 
-@F.arrow_udf(StringType())
+#: Reducers that follow state over lines, by route.
+REDUCERS = {
+    "git diff": lambda c, o: C.condensed_diff(o), "git status": lambda c, o: C.condensed_status(o), "lint": lambda c, o: C.condensed_lint(o, c),
+    "lint strict": lambda c, o: C.condensed_lint(o, c, True), "build": lambda c, o: C.condensed_build(o), "build strict": lambda c, o: C.condensed_build(o, True),
+    "listing": lambda c, o: C.condensed_listing(o), "http": lambda c, o: C.condensed_http(o),
+}
+
+
+@F.arrow_udf(StructType([StructField("text", StringType()), StructField("failed", BooleanType())]))
 def _stateful(route: pa.Array, command: pa.Array, output: pa.Array) -> pa.Array:
-    made = {
-        "git diff": lambda c, o: C.condensed_diff(o), "git status": lambda c, o: C.condensed_status(o), "lint": lambda c, o: C.condensed_lint(o, c),
-        "lint strict": lambda c, o: C.condensed_lint(o, c, True), "build": lambda c, o: C.condensed_build(o), "build strict": lambda c, o: C.condensed_build(o, True),
-        "listing": lambda c, o: C.condensed_listing(o), "http": lambda c, o: C.condensed_http(o),
-    }
-    out = []
+    """Of rows with an output (null: another route's); a reducer that fails leaves the output as it was, and says so."""
+    texts, failed = [], []
     for r, c, o in zip(route.to_pylist(), command, output, strict=True):
-        try:
-            out.append(made[r](c.as_py(), o.as_py()) if r in made else None)
-        except Exception:  # a reducer that fails leaves the output as it was
-            out.append(None)
-    return pa.array(out, pa.string())
+        text, broke = None, False
+        if o.is_valid and r in REDUCERS:
+            try:
+                text = REDUCERS[r](c.as_py(), o.as_py())
+            except Exception:
+                broke = True
+        texts.append(text)
+        failed.append(broke)
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(failed, pa.bool_())], names=["text", "failed"])
 
 
 def routed(events: DataFrame, strict: bool = False) -> DataFrame:
@@ -128,20 +136,21 @@ def _starts_or_follows(command: Column, parts: tuple[str, ...]) -> Column:
 
 
 def condensed(events: DataFrame, strict: bool = False) -> DataFrame:
-    """``events`` with route, condensed and saved (UTF-16 units fewer than ``output``).
+    """``events`` with route, status (``ok``, or ``failed`` where a reducer broke), condensed and saved (UTF-16 units fewer
+    than ``output``).
 
     strict: lint and build reports in forms that are otherwise passed over as clean are read too.
     """
     d = routed(events, strict)
-    d = d.withColumn("_state", _stateful("route", F.coalesce("command", F.lit("")), "stripped"))
+    d = d.withColumn("_state", _stateful("route", F.coalesce("command", F.lit("")), F.when(F.col("route").isin(*REDUCERS), F.col("stripped"))))
     made = F.coalesce(
-        F.when(F.col("route") == "git log", condensed_log(F.col("stripped"))), F.col("_state"),
+        F.when(F.col("route") == "git log", condensed_log(F.col("stripped"))), F.col("_state.text"),
         *(F.when(F.col("route") == n, F.col(f"_{n}")) for n in ("build tools", "install", "docker", "transfer")),
         F.col("stripped"),
     )
     d = d.withColumn("condensed", made)
     saved = T.utf16_length(F.coalesce("output", F.lit(""))) - T.utf16_length("condensed")
-    return d.select(*events.columns, "route", "condensed", saved.cast("long").alias("saved"))
+    return d.select(*events.columns, "route", F.when(F.col("_state.failed"), "failed").otherwise("ok").alias("status"), "condensed", saved.cast("long").alias("saved"))
 
 
 @F.arrow_udf(StringType())
