@@ -125,12 +125,12 @@ def candidates(docs: DataFrame) -> DataFrame:
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
     # blanks and cues that a candidate begins with go to the piece before it
     d = d.withColumn("_leads", F.transform("_values", lambda v: F.regexp_extract(v, _LEADING, 0)))
-    d = d.withColumn("_values", F.transform("_values", lambda v, i: F.substring(v, F.length(F.get("_leads", i)) + 1, F.length(v))))
+    d = d.withColumn("_values", F.transform(F.arrays_zip("_values", "_leads"), lambda z: F.substring(z["_values"], F.length(z["_leads"]) + 1, F.length(z["_values"]))))
     squeezed = lambda i: F.regexp_replace(F.get("_leads", i), r"\s+", " ")
     ahead = lambda i: F.concat(F.coalesce(F.get("_values", i - 1), F.lit("")), F.get("_pieces", i), squeezed(i))
     made = F.transform("_values", lambda v, i: features(v, F.right(ahead(i), F.lit(48)), F.left(F.get("_pieces", i + 1), F.lit(16)), path))
     d = d.withColumn("_features", made)
-    return d.withColumn("_pieces", F.transform("_pieces", lambda p, i: F.concat(p, F.coalesce(F.get("_leads", i), F.lit(""))))).drop("_leads")
+    return d.withColumn("_pieces", F.transform(F.arrays_zip("_pieces", "_leads"), lambda z: F.concat(z["_pieces"], F.coalesce(z["_leads"], F.lit(""))))).drop("_leads")
 
 
 @dataclass
