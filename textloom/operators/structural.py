@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import pieces
 from .outline import arrow_schema
 
 #: Elements that have no end tag.
@@ -145,7 +146,7 @@ def trees(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [
                 {key: k, "source": text, "status": "unreadable" if text is None else "read", **{c: [list(x.items()) for x in v] if c == "attrs" else v for c, v in _rows(text or "").items()}}
                 for k, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)
