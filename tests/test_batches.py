@@ -2,6 +2,11 @@ import pyarrow as pa
 
 from textloom.functions import batches
 from textloom.operators import structural
+from textloom.operators.outline.code import TYPESCRIPT
+from textloom.operators.outline.tokens import tokenise
+from textloom.plans import composed, samples
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_pieces_bound_rows_and_bytes_and_lose_none():
@@ -33,3 +38,21 @@ def _function_of(operator, monkeypatch):
     monkeypatch.setattr(structural.F, "col", lambda _: types.SimpleNamespace(alias=lambda _: None))
     operator(types.SimpleNamespace(select=lambda *_: frame))
     return said[0]
+
+
+def test_made_up_sources_are_spread_and_scanned_once(spark, monkeypatch):
+    """The table of a few bytes is one split; scanning its sources is the work of all cores, and more tasks for more rows."""
+    for made in (samples.sources(spark, SMALL, "go"), composed.sources(spark, SMALL, "go")):
+        assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(batches, "TASK_ROWS", 20)
+    parts = spark.read.parquet(f"{SMALL}/part.parquet")
+    assert samples.sources(spark, SMALL, "go").rdd.getNumPartitions() == -(-parts.count() // 20)
+    for query in (composed.outlined("go"), samples.mapped(300)):
+        plan = query(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") == 1 and "Join" not in plan
+
+
+def test_a_slash_looks_at_the_last_word_only():
+    for word, literal in (("return", True), ("x" * 40 + "return", False), ("a" * 6 + "instanceof", False)):
+        found = tokenise(f"{word} /[}}]/\n", TYPESCRIPT)
+        assert bool(found.literals) is literal, word

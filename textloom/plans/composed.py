@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import spread
 from ..operators import outline
 from ..sources.tables import table
 
@@ -78,7 +79,7 @@ def sources(spark: SparkSession, folder: str, language: str) -> DataFrame:
     form = lambda j: ((F.col("p_partkey") * (2 * j + 1) + F.col("p_size") + j * j) % len(forms)).cast("int")
     named = lambda j: F.replace(F.get(texts, form(j)), F.lit("WORD"), F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit("_"), j.cast("string")))
     text = F.concat(F.lit(before), F.array_join(F.transform(places, named), ""))
-    return table(spark, folder, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"), F.lit(language).alias("language_id"))
+    return spread(table(spark, folder, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("doc_id"), text.alias("text"), F.lit(language).alias("language_id"))
 
 
 def outlined(language: str):  # noqa: ANN201
@@ -86,12 +87,11 @@ def outlined(language: str):  # noqa: ANN201
 
     def query(spark: SparkSession, folder: str) -> DataFrame:
         maps = outline.file_maps(sources(spark, folder, language))
-        found = maps.select("doc_id", "status", F.inline("symbols")).select(
-            "doc_id", "status", "name", F.get("path", F.size("path") - 2).alias("parent"), "kind", "is_exported", "start_line", "end_line"
-        )
         none = lambda kind: F.lit(None).cast(kind)
-        zero = F.lit(0)
-        return found.union(maps.select("doc_id", "status", F.explode("imports"), none("string"), F.lit(IMPORT), none("boolean"), zero, zero))
+        row = lambda *values: F.struct(*(v.alias(n) for v, n in zip(values, ("name", "parent", "kind", "is_exported", "start_line", "end_line"), strict=True)))
+        symbols = F.transform("symbols", lambda s: row(s["name"], F.get(s["path"], F.size(s["path"]) - 2), s["kind"], s["is_exported"], s["start_line"], s["end_line"]))
+        imports = F.transform("imports", lambda x: row(x, none("string"), F.lit(IMPORT), none("boolean"), F.lit(0), F.lit(0)))
+        return maps.select("doc_id", "status", F.inline(F.concat(symbols, imports)))  # one pass: a second use would scan again
 
     return query
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import spread
 from ..operators import commands, edits, maps, outline
 from ..sources.tables import table
 
@@ -56,7 +57,7 @@ def sources(spark: SparkSession, folder: str, language: str) -> DataFrame:
     word = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
     whole = F.concat(F.lit(before), F.repeat(F.lit(middle), "p_size"), F.lit(after))
     named: Column = F.replace(F.replace(whole, F.lit("WORD"), word), F.lit("UPPER"), F.upper(word))
-    return table(spark, folder, "part").select(F.col("p_partkey").alias("doc_id"), named.alias("text"), F.lit(language).alias("language_id"))
+    return spread(table(spark, folder, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("doc_id"), named.alias("text"), F.lit(language).alias("language_id"))
 
 
 def outlined(language: str):  # noqa: ANN201
@@ -124,7 +125,7 @@ def condensed(route: str):  # noqa: ANN201
         word = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
         said = lambda x: F.replace(x, F.lit("WORD"), word)
         output = said(F.concat(F.lit(before), F.repeat(F.lit(middle), "p_size"), F.lit(after)))
-        events = table(spark, folder, "part").select(F.col("p_partkey").alias("event_id"), said(F.lit(command)).alias("command"), output.alias("output"))
+        events = spread(table(spark, folder, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("event_id"), said(F.lit(command)).alias("command"), output.alias("output"))
         return commands.condensed(events).select("event_id", "condensed", "saved")
 
     return query
@@ -240,7 +241,7 @@ def mapped(most: int):  # noqa: ANN201
 
     def query(spark: SparkSession, folder: str) -> DataFrame:
         docs = sources(spark, folder, "typescript")
-        found = outline.file_maps(docs).join(docs.select("doc_id", F.octet_length("text").alias("total_bytes")), "doc_id")
+        found = outline.file_maps(docs.withColumn("total_bytes", F.octet_length("text")), carried=("total_bytes",))
         return maps.rendered(found.withColumn("name", F.lit("src/f.ts")), most=most)
 
     return query
