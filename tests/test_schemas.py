@@ -15,3 +15,12 @@ def test_states_add_up(spark):
     }
     assert schemas.schema(schemas.state(make(rows), "t", "g"), "g").where("path = '$.a' AND g = 0").first().n == 1
     assert schemas.state(make([]), "t").count() == 0
+
+
+def test_documents_are_read_once(spark):
+    """Levels, and objects beside paths, come from one scan."""
+    docs = spark.range(9).selectExpr("'a' AS day", "'{\"a\":{\"b\":[1,{}]}}' AS text")
+    found = schemas.schema(schemas.state(docs, "text", "day"), "day")
+    assert {(r.path, r.types, r.n) for r in found.collect()} == {("$", "object", 9), ("$.a", "object", 9), ("$.a.b", "array", 9), ("$.a.b[]", "number|object", 18)}
+    state = schemas.state(docs, "text", "day")
+    assert state._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import spread
 from ..operators import schemas
 from ..sources import splits, work
 from ..sources.tables import table
@@ -23,7 +24,7 @@ def lines_of_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def json_schema(spark: SparkSession, folder: str) -> DataFrame:
     """The schema of the clicks' properties by kind of click, down to four steps."""
-    docs = table(spark, folder, "clicks").select("kind", "props")
+    docs = spread(table(spark, folder, "clicks").select("kind", "props"))
     return schemas.schema(schemas.state(docs, "props", "kind"), "kind").select("kind", "path", "types", "n", "optional")
 
 
