@@ -1,7 +1,7 @@
 import pyarrow as pa
 
 from textloom.functions import batches
-from textloom.operators import structural
+from textloom.operators import edits, structural
 from textloom.operators.outline.code import TYPESCRIPT
 from textloom.operators.outline.tokens import tokenise
 from textloom.plans import composed, samples
@@ -56,3 +56,12 @@ def test_a_slash_looks_at_the_last_word_only():
     for word, literal in (("return", True), ("x" * 40 + "return", False), ("a" * 6 + "instanceof", False)):
         found = tokenise(f"{word} /[}}]/\n", TYPESCRIPT)
         assert bool(found.literals) is literal, word
+
+
+def test_edits_of_one_batch_are_made_in_pieces(spark, monkeypatch):
+    seen = []
+    docs = spark.range(1).selectExpr("id AS doc_id", "'a' AS text")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, ddl: seen.append(run) or self)
+    edits.applied(docs, spark.createDataFrame([], "doc_id long, " + edits.EDITS))
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": "a", "edits": []} for i in range(1000)])
+    assert [b.num_rows for b in seen[0](iter([batch]))] == [256, 256, 256, 232]
