@@ -203,3 +203,18 @@ def test_maps_of_documents(spark):
     assert [(r.doc_id, r.name, r.path) for r in outline.symbols(found).collect()] == [(1, "f", ["f"])]
     made = maps.rendered(found.join(d.select("doc_id", "name", F.octet_length("text").alias("total_bytes")), "doc_id")).collect()
     assert len(made) == 1 and made[0].level == "full" and "File Map: f.py" in made[0].map_text
+
+
+@pytest.mark.parametrize(("language", "text"), [
+    ("rust", "pub struct A { pub x: i32 }\nenum E { B }\nimpl A {\n  // c\n  fn f(&self) -> char { '{' }\n}\n" * 20),
+    ("cpp", "namespace n {\nclass A {\npublic:\n  // c\n  A();\n  int v = 1;\n};\n}\nenum E { B };\nint f(int a) { return a; }\n" * 20),
+])
+def test_patterns_are_not_looked_up_again_for_a_statement(language, text, monkeypatch):
+    """Millions of small sources: what a statement costs is what they cost."""
+    import re
+
+    outline.outline(text, language)
+    asked = []
+    look_up = re._compile
+    monkeypatch.setattr(re, "_compile", lambda *given: asked.append(given) or look_up(*given))
+    assert len(outline.outline(text, language).symbols) > 20 and len(asked) == 0

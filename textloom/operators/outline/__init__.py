@@ -105,7 +105,8 @@ def _columns(found: list[Outline], schema: pa.Schema) -> list[pa.Array]:
         offsets.append(len(rows))
     of = schema.field("symbols").type
     fields = [of.value_type.field(i) for i in range(of.value_type.num_fields)]
-    members = pa.StructArray.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], fields=fields)
+    columns = zip(*rows, strict=True) if rows else ([] for _ in fields)
+    members = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
     names = ("language", "total_lines", "imports", "detail_level", "status")
     return [*(pa.array(x, schema.field(n).type) for n, x in zip(names, whole, strict=True)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), members)]
 
