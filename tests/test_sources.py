@@ -68,3 +68,33 @@ def test_split_lines_equal_whole_ones(spark, tmp_path):
     for name, text in texts.items():
         want = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n").split("\n")
         assert sorted(found[name]) == list(enumerate(want, 1)), name
+
+
+def test_parts_of_a_file_are_numbered_through(spark, tmp_path):
+    """Parts by the number in their names; a mark is text but at the very start; only the last part has a last empty line."""
+    texts = {"a": ["\ufeffx\ny\r\n", "\ufeffz\n\n", "\ufeff\ufeff\n", "w\r\n"], "b": ["one\n", "two"], "c": ["".join(f"{k} {i}\n" for i in range(500)) for k in range(12)]}
+    for name, parts in texts.items():
+        (tmp_path / f"file={name}").mkdir()
+        for i, text in enumerate(parts):
+            (tmp_path / f"file={name}" / f"part-{99_995 + i:05}-x.c000.txt").write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    rows = splits.numbered_lines(spark, f"file://{tmp_path}", parts=True).collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    for name, parts in texts.items():
+        want = "".join(parts).removeprefix("\ufeff").replace("\r\n", "\n").split("\n")
+        assert sorted((r.line_no, r.text) for r in rows if r.path.endswith(f"/file={name}")) == list(enumerate(want, 1)), name
+
+
+def test_a_file_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from textloom.plans import stored
+
+    spark.range(4000).selectExpr("id AS doc_id", "concat('d', id, '\n', repeat('x', 500)) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(stored.work, "folder", lambda spark, label: f"file://{tmp_path}/texts")
+    monkeypatch.setattr(stored, "PART_BYTES", 20_000, raising=False)
+    rows = stored.lines_of_files(spark, str(tmp_path)).where("file = 3").collect()
+    assert max(f.stat().st_size for f in tmp_path.glob("texts/file=*/part*")) < 60_000
+    want = [x for i in range(3, 4000, 16) for x in (f"d{i}", "x" * 500)] + [""]
+    assert [r.text for r in sorted(rows, key=lambda r: r.line_no)] == want and len({r.line_no for r in rows}) == len(want)

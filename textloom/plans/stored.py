@@ -11,15 +11,22 @@ from ..sources import splits, work
 from ..sources.tables import table
 
 FILES = 16
+#: Bytes of text that a task writes.
+PART_BYTES = 32 << 20
 
 
 def lines_of_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents one below the other in 16 files, and the files' lines, numbered by byte ranges."""
+    """Documents one below the other in 16 files, and the files' lines, numbered by byte ranges.
+
+    A file is a folder of parts by ranges of ids, so that tasks write as much of it each, however large it is.
+    """
     path = work.folder(spark, "texts")
     docs = table(spark, folder, "documents").select("doc_id", F.pmod("doc_id", F.lit(FILES)).alias("file"), F.coalesce("text", F.lit("")).alias("text"))
-    docs.repartition(FILES, "file").sortWithinPartitions("file", "doc_id").select("file", "text").write.partitionBy("file").text(path)
-    found = splits.numbered_lines(spark, path)
-    return found.select(F.regexp_extract("path", "file=([0-9]+)", 1).cast("long").alias("file"), "line_no", "text")
+    size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    docs.repartitionByRange(parts, "file", "doc_id").sortWithinPartitions("file", "doc_id").select("file", "text").write.partitionBy("file").text(path)
+    found = splits.numbered_lines(spark, path, parts=True)
+    return found.select(F.regexp_extract("path", "file=([0-9]+)$", 1).cast("long").alias("file"), "line_no", "text")
 
 
 def json_schema(spark: SparkSession, folder: str) -> DataFrame:
