@@ -16,7 +16,7 @@ that share an id are scored each by its text; texts of any length are read whole
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,13 +82,36 @@ class LanguageModel:
         return self.labels[best], float(p[best])
 
 
+class Vectors(Sequence):
+    """Grams and TF-IDF values of the rows numbered ``use``; a row's values are made when asked for and not kept."""
+
+    def __init__(self, model: LanguageModel, rows: list[tuple[np.ndarray, np.ndarray]], use: np.ndarray) -> None:
+        self.model, self.rows, self.use = model, rows, use
+
+    def __len__(self) -> int:
+        return len(self.use)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at, counts = self.rows[self.use[i]]
+        return at, self.model.vector(at, counts)
+
+
+def _views(lists: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists as arrays over the column's own buffers."""
+    found = []
+    for chunk in lists.chunks:
+        values, ends = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        found += [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return found
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max())
     return e / e.sum()
 
 
 def fit_ftrl(
-    rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_labels: int, *,
+    rows: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_labels: int, *,
     alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, epochs: int = 3, seed: int = 7,
 ) -> tuple[np.ndarray, np.ndarray]:
     """FTRL-proximal over sparse rows (indices, values): weights and biases of a multinomial logistic regression."""
@@ -101,7 +124,8 @@ def fit_ftrl(
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
-            at, x = np.append(rows[i][0], DIMS), np.append(rows[i][1], 1.0)  # the last feature is the bias
+            at, x = rows[i]
+            at, x = np.append(at, DIMS), np.append(x, 1.0)  # the last feature is the bias
             w = weights(at)
             p = softmax(x @ w)
             p[y[i]] -= 1
@@ -194,23 +218,22 @@ def fit(docs: DataFrame, trainable: Column, *, per_label: int = 800, calibrate_e
                     yield {"lang": [lang], "h": [h], "at": [at], "counts": [counts]}
 
     rows = arrow_map(sample, features, "lang string, h long, at array<int>, counts array<int>").toArrow()
-    rows = rows.sort_by([("lang", "ascending"), ("h", "ascending")])
-    names = rows.column("lang").to_pylist()
+    order = rows.select(["lang", "h"]).append_column("i", pa.array(range(len(rows)), pa.int64())).sort_by([("lang", "ascending"), ("h", "ascending")])
+    names, grams = order.column("lang").to_pylist(), list(zip(_views(rows.column("at")), _views(rows.column("counts")), strict=True))
+    grams = [grams[i] for i in order.column("i").to_pylist()]
     labels = sorted(set(names))
     idf = np.log((1 + n_docs) / (1 + df)) + 1
     model = LanguageModel(labels, idf, np.zeros((DIMS, len(labels))), np.zeros(len(labels)))
     if not labels:
         return model
     y = np.array([labels.index(x) for x in names])
-    at = [np.asarray(x.values) for x in rows.column("at")]
-    xs = [(a, model.vector(a, np.asarray(c.values))) for a, c in zip(at, rows.column("counts"), strict=True)]
     held = np.array([(i + 1) % calibrate_every == 0 for i in range(len(names))])
     if held.all() or not held.any():
         held[:] = False
     use = np.flatnonzero(~held)
-    model.weights, model.bias = fit_ftrl([xs[i] for i in use], y[use], len(labels))
+    model.weights, model.bias = fit_ftrl(Vectors(model, grams, use), y[use], len(labels))
     if held.any():
-        model.temperature = fit_temperature(np.array([model.logits(*xs[i]) for i in np.flatnonzero(held)]), y[held])
+        model.temperature = fit_temperature(np.array([model.logits(*x) for x in Vectors(model, grams, np.flatnonzero(held))]), y[held])
     return model
 
 
